@@ -158,3 +158,11 @@ def cost_of_delay(actions: DataFrame, sites: DataFrame, collision: DataFrame) ->
                     round_half_up(col("est_remedy_cost_usd") + delay, 0).alias("cost_act_at_wall_usd"),
                     round_half_up(delay, 0).alias("cost_of_delay_usd"),
                     col("est_delay_cost_usd_per_quarter").cast("double").alias("delay_cost_per_quarter_usd")))
+
+
+def site_binding(multiplier=None) -> dict:
+    """Binding-constraint columns of a collision-trend row at a growth factor."""
+    m = F.lit(1.0) if multiplier is None else multiplier
+    floor = project("available_sqft", "last_sqft", col("growth_sqft") * m, "last_q")
+    power = project("available_kw", "last_kw", col("growth_kw") * m, "last_q")
+    return binding([("power", power), ("floor", floor)], default="floor")

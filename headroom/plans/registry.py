@@ -3,32 +3,204 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from headroom.operators import accountability as A
+from headroom.operators import measures as M
+from headroom.operators import occupancy as O
 from headroom.operators import projection as P
+from headroom.operators import whatif as H
+from headroom.operators import workflow as G
 from headroom.sources.driver import DriverCatalog
 
+col = F.col
+
+# Fixed values of the driver plan: backtest cut-offs (run date, first period
+# not yet known) — the last one is the as-of date itself.
+CUTOFFS = [("2001-01-01", 8004), ("2001-04-01", 8005), ("2001-07-01", 8006)]
+
 
 class Plan:
-    """Composed operators over one catalog; shared parents are built once per
-    plan object (as logical plans — Spark reuses identical exchanges)."""
+    """Composed operators over one catalog.  Shared parents are built once per
+    plan object as logical plans; identical sub-plans inside one query reuse
+    their shuffle output (ReuseExchange)."""
 
     def __init__(self, cat: DriverCatalog):
         self.cat = cat
+        self.as_of = cat.as_of
 
-    @property
+    # D ---------------------------------------------------------------------
+    @cached_property
+    def trend(self) -> DataFrame:
+        return P.collision_trend(self.cat.sites, self.cat.production_demand)
+
+    @cached_property
     def collision(self) -> DataFrame:
-        return P.capacity_collision(self.cat.sites, self.cat.production_demand)
+        return P._project_sites(self.trend).select(*P.COLLISION_COLUMNS)
+
+    @cached_property
+    def cliff(self) -> DataFrame:
+        return P.lease_cliff(self.cat.sites, self.collision)
+
+    @cached_property
+    def cost_of_delay(self) -> DataFrame:
+        return P.cost_of_delay(self.cat.actions, self.cat.sites, self.collision)
+
+    # C ---------------------------------------------------------------------
+    @cached_property
+    def quality_sq(self) -> DataFrame:
+        return M.quality_by_site_quarter(self.cat.quality_issues, self.cat.sites)
+
+    @cached_property
+    def cost(self) -> DataFrame:
+        return M.cost_per_sqft(self.cat.sites, self.cat.leases)
+
+    @cached_property
+    def integration(self) -> DataFrame:
+        return M.integration_pipeline(self.cat.sites, self.as_of)
+
+    # E ---------------------------------------------------------------------
+    @cached_property
+    def space_demand(self) -> DataFrame:
+        c = self.cat
+        return O.space_demand(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
+                              c.archetype_space_map, c.space_types)
+
+    @cached_property
+    def space_collision(self) -> DataFrame:
+        c = self.cat
+        return O.space_collision(self.space_demand, c.sites, c.space_types, c.space_capacity)
+
+    @cached_property
+    def time_to_seat(self) -> DataFrame:
+        c = self.cat
+        return O.time_to_seat(c.requisition_pipeline, c.archetypes, c.sites, self.space_collision,
+                              c.archetype_space_map)
+
+    @cached_property
+    def plan_reconciliation(self) -> DataFrame:
+        c = self.cat
+        return O.plan_reconciliation(c.headcount_snapshots, c.requisition_pipeline, c.sites, self.space_collision)
+
+    # F ---------------------------------------------------------------------
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        c = self.cat
+        return A.backtest_snapshots(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
+                                    c.archetype_space_map, c.space_types, c.sites, c.space_capacity, CUTOFFS)
+
+    @cached_property
+    def accuracy(self) -> DataFrame:
+        return A.forecast_accuracy(self.snapshots, self.cat.sites, self.cat.space_types)
+
+    @cached_property
+    def readiness(self) -> DataFrame:
+        c = self.cat
+        return A.day_one_readiness(c.onboarding_cohorts, c.headcount_snapshots, c.sites, c.archetypes)
+
+    @cached_property
+    def scorecard(self) -> DataFrame:
+        c = self.cat
+        return A.kpi_scorecard(self.time_to_seat, self.accuracy, c.actions, self.collision, self.space_collision,
+                               c.space_types, self.readiness, self.plan_reconciliation, c.decisions, self.as_of)
+
+    # G ---------------------------------------------------------------------
+    @cached_property
+    def lrm(self) -> DataFrame:
+        return G.last_responsible_moment(self.space_collision, self.as_of)
+
+    @cached_property
+    def open_actions(self) -> DataFrame:
+        return G.open_actions(self.cat.actions, self.cat.sites)
+
+    @cached_property
+    def at_risk(self) -> DataFrame:
+        return G.at_risk_sites(self.collision, self.cliff)
+
+    # H ---------------------------------------------------------------------
+    @cached_property
+    def adjacency(self) -> DataFrame:
+        return H.adjacency_frame(self.cat.spark, H.WORLD_REGION_ADJACENCY)
+
+    @cached_property
+    def relocation(self) -> DataFrame:
+        return H.relocation(self.trend, self.adjacency)
+
+    @cached_property
+    def program_changes(self) -> DataFrame:
+        """Driver scenario: every program with a baseline asks for +10 units/period."""
+        p = self.cat.programs
+        base = F.coalesce(F.when(col("units_per_quarter_target") != 0, col("units_per_quarter_target")),
+                          F.when(col("units_per_quarter_current") != 0, col("units_per_quarter_current")))
+        return p.where(base.isNotNull()).select("program_name", (base + 10).alias("target"))
+
+    @cached_property
+    def growth_factors(self) -> DataFrame:
+        """Driver scenario: regional growth factors by region (as data)."""
+        return self.cat.sites.select("site_id", F.when(col("region") == "ASIA", 1.5)
+                                     .when(col("region") == "EUROPE", 0.5).otherwise(1.0).alias("factor"))
 
 
 def _q(fn: Callable[[Plan], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(Plan(DriverCatalog(spark, sf_dir)))
-    run.__name__ = fn.__name__
+    run.__name__ = getattr(fn, "__name__", "query")
     return run
 
 
+def _delay_by_site(p: Plan) -> DataFrame:
+    return (p.cost_of_delay.groupBy("site_id")
+            .agg(F.sum("delay_cost_per_quarter_usd").alias("delay_cost_per_quarter_usd")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    # D — projection
     "capacity_collision": _q(lambda p: p.collision),
+    "program_facility_risk": _q(lambda p: P.program_facility_risk(p.cat.programs, p.cat.sites, p.collision)),
+    "lease_cliff": _q(lambda p: p.cliff),
+    "cost_of_delay": _q(lambda p: p.cost_of_delay),
+    # C — measures
+    "quality_by_site_quarter": _q(lambda p: p.quality_sq),
+    "quality_by_site": _q(lambda p: M.quality_by_site(p.quality_sq)),
+    "cost_per_sqft": _q(lambda p: p.cost),
+    "headcount_vs_seats": _q(lambda p: M.headcount_vs_seats(p.cat.headcount_snapshots, p.cat.sites)),
+    "capacity_vs_demand": _q(lambda p: P.capacity_vs_demand(p.cat.sites, p.cat.production_demand)),
+    "site_health": _q(lambda p: M.site_health(p.cat.sites, p.quality_sq, p.collision, p.cost)),
+    "integration_pipeline": _q(lambda p: p.integration),
+    "integration_summary": _q(lambda p: M.integration_summary(p.integration)),
+    # E — occupancy
+    "space_demand": _q(lambda p: p.space_demand),
+    "space_collision": _q(lambda p: p.space_collision),
+    "time_to_seat": _q(lambda p: p.time_to_seat),
+    "plan_reconciliation": _q(lambda p: p.plan_reconciliation),
+    "space_capacity_effective": _q(lambda p: O.space_capacity_effective(
+        p.cat.space_capacity, p.cat.space_types, p.cat.accreditation_milestones)),
+    "accreditation_pipeline": _q(lambda p: O.accreditation_pipeline(
+        p.cat.accreditation_milestones, p.cat.sites, p.cat.space_types)),
+    # F — accountability
+    "forecast_snapshots": _q(lambda p: p.snapshots),
+    "forecast_accuracy": _q(lambda p: p.accuracy),
+    "material_changes": _q(lambda p: A.material_changes(p.snapshots, p.cat.sites, p.cat.space_types)),
+    "incentive_compliance": _q(lambda p: A.incentive_compliance(
+        p.cat.incentive_agreements, p.cat.headcount_snapshots, p.cat.sites, p.as_of)),
+    "day_one_readiness": _q(lambda p: p.readiness),
+    "kpi_scorecard": _q(lambda p: p.scorecard),
+    "scorecard_headline": _q(lambda p: A.scorecard_headline(p.scorecard)),
+    # G — workflow
+    "open_actions": _q(lambda p: p.open_actions),
+    "actions_aged": _q(lambda p: G.with_age_band(p.open_actions, p.as_of)),
+    "action_summary": _q(lambda p: G.action_summary(G.with_age_band(p.open_actions, p.as_of))),
+    "last_responsible_moment": _q(lambda p: p.lrm),
+    "decision_queue": _q(lambda p: G.decision_queue(p.cat.decisions, p.cat.sites, p.cat.space_types, p.as_of)),
+    "queue_decisions": _q(lambda p: G.queue_decisions(p.cat.decisions, p.lrm, p.as_of)),
+    "at_risk_sites": _q(lambda p: p.at_risk),
+    "alert_feed": _q(lambda p: G.alert_feed(p.at_risk, p.collision, p.cliff, p.relocation)),
+    # H — what-if
+    "what_if": _q(lambda p: H.what_if(p.trend, p.growth_factors)),
+    "scenario_grid": _q(lambda p: H.scenario_grid(p.trend)),
+    "relocation": _q(lambda p: p.relocation),
+    "change_impact": _q(lambda p: H.change_impact(p.trend, p.cat.programs, p.program_changes, _delay_by_site(p))),
 }
