@@ -43,7 +43,9 @@ def quality_by_site(quality_sq: DataFrame) -> DataFrame:
     """Per site — open issues, mean of the quarterly mean severities, issues."""
     return (quality_sq.groupBy("site_id", "site_name")
             .agg(F.sum("open_count").alias("open_issues"),
-                 round_half_up(F.avg("avg_severity"), 2).alias("mean_quarter_severity"),
+                 # quarterly means are 2-dp values: average them as exact hundredths
+                 round_half_up(F.sum(round_half_up(col("avg_severity") * 100, 0).cast("long"))
+                               / (F.count(F.lit(1)) * 100.0), 2).alias("mean_quarter_severity"),
                  F.sum("issue_count").alias("issues"))
             .orderBy(col("open_issues").desc(), "site_id"))
 

@@ -76,4 +76,7 @@ class CteSet:
         if not order:
             return body
         parts = ",\n".join(f"{n} AS (\n{self._defs[n][0]}\n)" for n in order)
+        stripped = body.lstrip()
+        if stripped[:5].upper() == "WITH ":      # the query's own CTEs follow ours
+            return f"WITH {parts},\n{stripped[5:]}"
         return f"WITH {parts}\n{body}"
