@@ -4,10 +4,10 @@ from headroom.functions.numeric import round_half_up, safe_ratio, pct
 from headroom.functions.period import (
     q_index_of_date, q_index_of_label, q_label, q_start_date, q_number_of_label,
 )
-from headroom.functions.projection import WALL, project, binding
+from headroom.functions.projection import WALL, with_binding, with_projection
 
 __all__ = [
     "round_half_up", "safe_ratio", "pct",
     "q_index_of_date", "q_index_of_label", "q_label", "q_start_date", "q_number_of_label",
-    "WALL", "project", "binding",
+    "WALL", "with_projection", "with_binding",
 ]

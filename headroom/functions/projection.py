@@ -1,14 +1,16 @@
 """Linear projection of demand to a planning wall (the engine's core).
 
-``project`` turns (capacity, latest demand, growth per period, latest period)
-into utilisation now / in two periods, whole periods to the wall, the dated
-breach period and a status band.  ``binding`` picks, across any number of
-constraints, the one whose wall is reached first.
+``with_projection`` adds, for one constraint, utilisation now / in two
+periods, whole periods to the wall, the dated breach period and a status band.
+``with_binding`` picks, across any number of constraints, the one whose wall is
+reached first.  Both add named columns in stages, so each intermediate value is
+computed once per row (Catalyst keeps non-trivial expressions that are used
+twice in their own projection) and generated code stays small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headroom.functions.numeric import round_half_up
@@ -27,59 +29,70 @@ WARNING = "COLLISION WARNING"
 WATCH = "watch"
 OK = "ok"
 
+OUTPUTS = ["util_pct", "util_2q_pct", "periods", "breach", "status"]
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def project(capacity, last, growth, last_q, known: Column | None = None) -> dict[str, Column]:
-    """Column expressions for one constraint.
+def with_projection(df: DataFrame, prefix: str, capacity, last, growth, last_q,
+                    known: Column | None = None) -> DataFrame:
+    """Add ``{prefix}util_pct, {prefix}util_2q_pct, {prefix}periods,
+    {prefix}breach, {prefix}status`` for one constraint.
 
     ``known`` (optional) is an extra gate; when false the constraint is treated
     as having no usable capacity (util, periods and breach are null).
     """
+    p = prefix
     cap = _c(capacity).cast("double")
-    last = _c(last).cast("double")
-    growth = _c(growth).cast("double")
-    last_q = _c(last_q)
     usable = cap.isNotNull() & (cap != 0)
     if known is not None:
         usable = usable & known
-    wall = F.lit(WALL) * cap
-    raw = (wall - last) / F.when(growth > 0, growth)
-    periods = (F.when(~usable | (growth <= 0), F.lit(None).cast("int"))
-               .when(last >= wall, F.lit(0))
+    df = df.select("*", F.when(usable, cap).alias(f"_{p}cap"), _c(last).cast("double").alias(f"_{p}last"),
+                   _c(growth).cast("double").alias(f"_{p}g"), _c(last_q).alias(f"_{p}lq"))
+    c, l, g = F.col(f"_{p}cap"), F.col(f"_{p}last"), F.col(f"_{p}g")
+    wall = F.lit(WALL) * c
+    df = df.select("*", ((wall - l) / F.when(g > 0, g)).alias(f"_{p}raw"))
+    raw = F.col(f"_{p}raw")
+    periods = (F.when(c.isNull() | (g <= 0), F.lit(None).cast("int"))
+               .when(l >= wall, F.lit(0))
                .otherwise((raw + F.lit(CEIL_FUDGE)).cast("int")))
-    capd = F.when(usable, cap)
-    status = (F.when(~usable, F.lit(UNKNOWN_STATUS))
-              .when(growth <= 0, F.lit(STABLE))
-              .when(last >= wall, F.lit(AT_WALL))
+    status = (F.when(c.isNull(), F.lit(UNKNOWN_STATUS))
+              .when(g <= 0, F.lit(STABLE))
+              .when(l >= wall, F.lit(AT_WALL))
               .when(raw <= WARNING_PERIODS, F.lit(WARNING))
               .when(raw <= WATCH_PERIODS, F.lit(WATCH))
               .otherwise(F.lit(OK)))
-    return {
-        "util_pct": round_half_up(F.lit(100.0) * last / capd, 1),
-        "util_2q_pct": round_half_up(F.lit(100.0) * (last + 2 * growth) / capd, 1),
-        "periods": periods,
-        "breach": F.when(periods.isNotNull(), q_label(last_q + periods)),
-        "status": status,
-    }
+    df = df.select("*",
+                   round_half_up(F.lit(100.0) * l / c, 1).alias(f"{p}util_pct"),
+                   round_half_up(F.lit(100.0) * (l + 2 * g) / c, 1).alias(f"{p}util_2q_pct"),
+                   periods.alias(f"{p}periods"), status.alias(f"{p}status"))
+    per = F.col(f"{p}periods")
+    df = df.select("*", F.when(per.isNotNull(), q_label(F.col(f"_{p}lq") + per)).alias(f"{p}breach"))
+    return df.drop(f"_{p}cap", f"_{p}last", f"_{p}g", f"_{p}lq", f"_{p}raw")
+
+
+def with_binding(df: DataFrame, constraints: list[tuple[str, str]], default: str, out: str) -> DataFrame:
+    """Add ``{out}name, {out}periods, {out}breach, {out}status``: the constraint
+    with the fewest periods to its wall (ties go to the one listed first).
+    ``constraints`` are ``(name, prefix)`` pairs of ``with_projection``
+    outputs.  With no projected breach the name is ``'none'`` and the status is
+    the ``default`` constraint's."""
+    pers = [F.col(f"{pre}periods") for _, pre in constraints]
+    best = pers[0] if len(pers) == 1 else F.least(*pers)          # nulls are skipped
+    df = df.select("*", best.alias(f"{out}periods"))
+    b = F.col(f"{out}periods")
 
+    def pick(field: str, fallback: Column) -> Column:
+        expr = None
+        for name, pre in constraints:
+            cond = F.col(f"{pre}periods") == b
+            val = F.lit(name) if field == "name" else F.col(f"{pre}{field}")
+            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+        return expr.otherwise(fallback)
 
-def binding(constraints: list[tuple[str, dict[str, Column]]], default: str) -> dict[str, Column]:
-    """Pick the binding constraint: fewest periods to the wall; ties go to the
-    constraint listed first.  When none has a projected breach the name is
-    ``'none'`` and the status is the ``default`` constraint's status."""
-    cands = [F.when(p["periods"].isNotNull(),
-                    F.struct(p["periods"].alias("p"), F.lit(i).alias("prio"),
-                             F.lit(name).alias("name"), p["breach"].alias("breach"),
-                             p["status"].alias("status")))
-             for i, (name, p) in enumerate(constraints)]
-    best = cands[0] if len(cands) == 1 else F.least(*cands)
-    default_status = dict(constraints)[default]["status"]
-    return {
-        "name": F.coalesce(best["name"], F.lit("none")),
-        "periods": best["p"],
-        "breach": best["breach"],
-        "status": F.coalesce(best["status"], default_status),
-    }
+    default_pre = dict(constraints)[default]
+    return df.select("*", pick("name", F.lit("none")).alias(f"{out}name"),
+                     pick("breach", F.lit(None).cast("string")).alias(f"{out}breach"),
+                     pick("status", F.col(f"{default_pre}status")).alias(f"{out}status"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from headroom.functions.numeric import round_half_up, safe_ratio
 from headroom.functions.period import q_label
-from headroom.functions.projection import CEIL_FUDGE, WALL, project
+from headroom.functions.projection import CEIL_FUDGE, WALL, with_projection
 from headroom.operators.projection import endpoint_trend
 
 col = F.col
@@ -76,11 +76,11 @@ def space_collision(demand: DataFrame, sites: DataFrame, space_types: DataFrame,
                 ["site_id", "space_type_id"]))
     cap, status = col("capacity"), col("capacity_status")
     last, growth = col("last_demanded_units"), col("growth_demanded_units")
-    p = project(cap, last, growth, "last_q", known=(status == "confirmed"))
+    df = with_projection(df, "p_", cap, last, growth, "last_q", known=(status == "confirmed"))
     space_status = (F.when(cap.isNull() | (status == "audit_pending"), PENDING)
                     .when(status == "planned", PLANNED)
                     .when(cap == 0, PENDING)
-                    .otherwise(p["status"]))
+                    .otherwise(col("p_status")))
     supportable = F.when(cap.isNull() | (cap == 0) | (status == "audit_pending"), F.lit(None)) \
         .otherwise(round_half_up(F.lit(WALL) * cap, 0))
     df = df.select(*by, "site_id", "site_name", "space_type_id", "space_type", "unit_label", "lead_time_days",
@@ -88,10 +88,10 @@ def space_collision(demand: DataFrame, sites: DataFrame, space_types: DataFrame,
                    q_label("last_q").alias("latest_quarter"),
                    round_half_up(last, 1).alias("latest_demanded_units"),
                    round_half_up(growth, 2).alias("growth_per_quarter"),
-                   p["util_pct"].alias("current_util_pct"),
-                   p["util_2q_pct"].alias("projected_util_2q_pct"),
-                   p["periods"].alias("quarters_to_wall"),
-                   p["breach"].alias("breach_quarter"),
+                   col("p_util_pct").alias("current_util_pct"),
+                   col("p_util_2q_pct").alias("projected_util_2q_pct"),
+                   col("p_periods").alias("quarters_to_wall"),
+                   col("p_breach").alias("breach_quarter"),
                    space_status.alias("space_status"),
                    supportable.alias("supportable_units"))
     # at most a handful of space types per site: a small window per site

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from headroom.functions.numeric import pct, round_half_up
 from headroom.functions.period import q_label, q_start_date
-from headroom.functions.projection import binding, project
+from headroom.functions.projection import OUTPUTS, with_binding, with_projection
 
 col = F.col
 
@@ -54,32 +54,41 @@ def collision_trend(sites: DataFrame, demand: DataFrame) -> DataFrame:
         col("last_demanded_kw").alias("last_kw"), col("growth_demanded_kw").alias("growth_kw"))
 
 
-def _project_sites(t: DataFrame, multiplier=None) -> DataFrame:
+def with_site_binding(t: DataFrame, multiplier=None, out: str = "b_", keep: bool = False) -> DataFrame:
+    """Project floor and power of a collision-trend row at a growth factor and
+    add the binding constraint as ``{out}name/periods/breach/status``."""
     m = F.lit(1.0) if multiplier is None else multiplier
-    floor = project("available_sqft", "last_sqft", col("growth_sqft") * m, "last_q")
-    power = project("available_kw", "last_kw", col("growth_kw") * m, "last_q")
-    b = binding([("power", power), ("floor", floor)], default="floor")
-    return t.select(
-        "*",
+    f, p = f"{out}f_", f"{out}p_"
+    df = with_projection(t, f, "available_sqft", "last_sqft", col("growth_sqft") * m, "last_q")
+    df = with_projection(df, p, "available_kw", "last_kw", col("growth_kw") * m, "last_q")
+    df = with_binding(df, [("power", p), ("floor", f)], default="floor", out=out)
+    return df if keep else df.drop(*[f"{x}{o}" for x in (f, p) for o in OUTPUTS])
+
+
+def _project_sites(t: DataFrame, multiplier=None) -> DataFrame:
+    df = with_site_binding(t, multiplier, out="b_", keep=True)
+    f, p = "b_f_", "b_p_"
+    return df.select(
+        *t.columns,
         q_label("last_q").alias("latest_quarter"),
         round_half_up("last_sqft", 0).alias("latest_demanded_sqft"),
         round_half_up(col("growth_sqft"), 0).alias("growth_sqft_per_quarter"),
-        floor["util_pct"].alias("current_util_pct"),
-        floor["util_2q_pct"].alias("projected_util_2q_pct"),
-        floor["periods"].alias("quarters_to_wall"),
-        floor["breach"].alias("projected_breach_quarter"),
-        floor["status"].alias("collision_status"),
+        col(f"{f}util_pct").alias("current_util_pct"),
+        col(f"{f}util_2q_pct").alias("projected_util_2q_pct"),
+        col(f"{f}periods").alias("quarters_to_wall"),
+        col(f"{f}breach").alias("projected_breach_quarter"),
+        col(f"{f}status").alias("collision_status"),
         round_half_up("last_kw", 0).alias("latest_demanded_kw"),
         round_half_up(col("growth_kw"), 0).alias("growth_kw_per_quarter"),
-        power["util_pct"].alias("power_util_pct"),
-        power["util_2q_pct"].alias("projected_power_util_2q_pct"),
-        power["periods"].alias("power_quarters_to_wall"),
-        power["breach"].alias("power_breach_quarter"),
-        power["status"].alias("power_status"),
-        b["name"].alias("binding_constraint"),
-        b["periods"].alias("binding_quarters_to_wall"),
-        b["breach"].alias("binding_breach_quarter"),
-        b["status"].alias("binding_status"),
+        col(f"{p}util_pct").alias("power_util_pct"),
+        col(f"{p}util_2q_pct").alias("projected_power_util_2q_pct"),
+        col(f"{p}periods").alias("power_quarters_to_wall"),
+        col(f"{p}breach").alias("power_breach_quarter"),
+        col(f"{p}status").alias("power_status"),
+        col("b_name").alias("binding_constraint"),
+        col("b_periods").alias("binding_quarters_to_wall"),
+        col("b_breach").alias("binding_breach_quarter"),
+        col("b_status").alias("binding_status"),
     )
 
 
@@ -159,10 +168,3 @@ def cost_of_delay(actions: DataFrame, sites: DataFrame, collision: DataFrame) ->
                     round_half_up(delay, 0).alias("cost_of_delay_usd"),
                     col("est_delay_cost_usd_per_quarter").cast("double").alias("delay_cost_per_quarter_usd")))
 
-
-def site_binding(multiplier=None) -> dict:
-    """Binding-constraint columns of a collision-trend row at a growth factor."""
-    m = F.lit(1.0) if multiplier is None else multiplier
-    floor = project("available_sqft", "last_sqft", col("growth_sqft") * m, "last_q")
-    power = project("available_kw", "last_kw", col("growth_kw") * m, "last_q")
-    return binding([("power", power), ("floor", floor)], default="floor")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headroom.functions.numeric import round_half_up
 from headroom.functions.projection import WALL
-from headroom.operators.projection import COLLISION_COLUMNS, _project_sites, site_binding
+from headroom.operators.projection import COLLISION_COLUMNS, _project_sites, with_site_binding
 
 col = F.col
 
@@ -56,10 +56,10 @@ def scenario_grid(trend: DataFrame) -> DataFrame:
     n = int(GRID_MAX / GRID_STEP)
     t = trend.select("*", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step")) \
         .withColumn("growth_multiplier", col("step") * F.lit(GRID_STEP))
-    b = site_binding(col("growth_multiplier"))
+    t = with_site_binding(t, col("growth_multiplier"), out="b_")
     return t.select("site_id", "site_name", "growth_multiplier",
-                    b["name"].alias("binding_constraint"), b["periods"].alias("binding_quarters_to_wall"),
-                    b["breach"].alias("binding_breach_quarter"), b["status"].alias("binding_status"))
+                    col("b_name").alias("binding_constraint"), col("b_periods").alias("binding_quarters_to_wall"),
+                    col("b_breach").alias("binding_breach_quarter"), col("b_status").alias("binding_status"))
 
 
 def relocation(scenario_trend: DataFrame, adjacency: DataFrame) -> DataFrame:
@@ -73,8 +73,7 @@ def relocation(scenario_trend: DataFrame, adjacency: DataFrame) -> DataFrame:
     """
     t = scenario_trend
     m = col("growth_multiplier") if "growth_multiplier" in t.columns else F.lit(1.0)
-    b = site_binding(m)
-    t = t.select("*", b["name"].alias("bind"))
+    t = with_site_binding(t, m, out="b_").withColumnRenamed("b_name", "bind")
     units = {"floor": ("available_sqft", "last_sqft", "growth_sqft", "sq ft"),
              "power": ("available_kw", "last_kw", "growth_kw", "kW")}
 
@@ -131,14 +130,15 @@ def change_impact(trend: DataFrame, programs: DataFrame, changes: DataFrame,
           .where(col("baseline").isNotNull())
           .withColumn("growth_multiplier", col("new_target").cast("double") / col("baseline")))
     df = ch.join(trend, "site_id").join(delay_by_site, "site_id", "left")
-    before, after = site_binding(None), site_binding(col("growth_multiplier"))
+    df = with_site_binding(df, None, out="bb_")
+    df = with_site_binding(df, col("growth_multiplier"), out="ba_")
     dc = col("delay_cost_per_quarter_usd")
-    cod_b = round_half_up(dc * before["periods"], 0)
-    cod_a = round_half_up(dc * after["periods"], 0)
-    changed = ((~before["name"].eqNullSafe(after["name"])) | (~before["breach"].eqNullSafe(after["breach"]))
-               | (~cod_b.eqNullSafe(cod_a)))
+    df = df.select("*", round_half_up(dc * col("bb_periods"), 0).alias("cod_b"),
+                   round_half_up(dc * col("ba_periods"), 0).alias("cod_a"))
+    changed = ((~col("bb_name").eqNullSafe(col("ba_name"))) | (~col("bb_breach").eqNullSafe(col("ba_breach")))
+               | (~col("cod_b").eqNullSafe(col("cod_a"))))
     return df.select("program_name", "new_target", "site_id", "site_name", "growth_multiplier",
-                     before["name"].alias("constraint_before"), after["name"].alias("constraint_after"),
-                     before["breach"].alias("breach_before"), after["breach"].alias("breach_after"),
-                     cod_b.alias("cost_of_delay_before"), cod_a.alias("cost_of_delay_after"),
+                     col("bb_name").alias("constraint_before"), col("ba_name").alias("constraint_after"),
+                     col("bb_breach").alias("breach_before"), col("ba_breach").alias("breach_after"),
+                     col("cod_b").alias("cost_of_delay_before"), col("cod_a").alias("cost_of_delay_after"),
                      changed.alias("changed"))

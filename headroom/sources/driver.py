@@ -202,10 +202,14 @@ class DriverCatalog:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.as_of = as_of
+        self._raw: dict[str, DataFrame] = {}
 
     # raw tables -------------------------------------------------------------
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """The driver table (read once per catalog: one listing and footer read)."""
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     def _literal(self, rows, schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
