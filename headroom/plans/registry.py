@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headroom.operators import accountability as A
+from headroom.operators import clean as B
 from headroom.operators import measures as M
 from headroom.operators import occupancy as O
 from headroom.operators import projection as P
 from headroom.operators import whatif as H
 from headroom.operators import workflow as G
+from headroom.functions.clean import int_value, quarter_label
+from headroom.sources.dirty import DirtyExports
 from headroom.sources.driver import DriverCatalog
 
 col = F.col
@@ -144,6 +147,69 @@ class Plan:
                                      .when(col("region") == "EUROPE", 0.5).otherwise(1.0).alias("factor"))
 
 
+class CleanPlan:
+    """The cleaning pipeline over the raw exports of one catalog."""
+
+    def __init__(self, plan: Plan):
+        self.plan = plan
+        self.raw = DirtyExports(plan.cat)
+
+    @cached_property
+    def codes(self) -> DataFrame:
+        r = self.raw
+        codes = r.hris.select(col("site_code").alias("c")).unionByName(
+            r.acquired_dump.select(col("facility_code").alias("c")))
+        return B.canonical_codes(codes, "c", r.aliases, r.known_codes)
+
+    @cached_property
+    def hris_split(self):
+        r = self.raw
+        res = B.resolve_codes(r.hris, "site_code", r.aliases, r.known_codes)
+        return B.quarantine_split(res, B.HRIS_RAW_COLS, "hris_export.csv",
+                                  F.concat(F.lit("unknown site code '"), col("site_code"), F.lit("'")))
+
+    @cached_property
+    def hris_dedupe(self):
+        good = self.hris_split[0].select("seq", "site_id", quarter_label("quarter_raw").alias("quarter"), "program",
+                                         "archetype", int_value("headcount_raw").alias("headcount"))
+        return B.keep_last(good, ["site_id", "quarter", "program"], "seq", ["archetype", "headcount"], "headcount")
+
+    @cached_property
+    def clean_headcount(self) -> DataFrame:
+        kept = self.hris_dedupe[0]
+        return B.with_surrogate_ids(kept, ["seq"], "snapshot_id").select(
+            "snapshot_id", "site_id", "quarter", "program", "archetype", "headcount")
+
+    @cached_property
+    def acquired(self):
+        r = self.raw
+        res = B.resolve_codes(r.acquired_dump, "facility_code", r.aliases, r.known_codes)
+        return B.merge_entities(res)
+
+    @cached_property
+    def exceptions(self) -> DataFrame:
+        ex = self.hris_split[1].unionByName(self.acquired[1])
+        return B.with_surrogate_ids(ex, ["source_file", "seq"], "exception_id").select(
+            "exception_id", "source_file", "raw_row", "reason")
+
+    @cached_property
+    def reconciliation_log(self) -> DataFrame:
+        """One typed log of everything reconciliation did."""
+        d = self.hris_dedupe[1].select(
+            F.lit("dedupe").alias("kind"), F.lit("hris_export.csv").alias("source"),
+            F.concat_ws("|", col("site_id").cast("string"), "quarter", "program").alias("key"),
+            F.concat(F.lit("kept "), col("kept_value").cast("string"), F.lit(" (dropped conflicting "),
+                     col("dropped_value").cast("string"), F.lit(")")).alias("message"))
+        e = self.exceptions.select(F.lit("exception").alias("kind"), col("source_file").alias("source"),
+                                   col("exception_id").cast("string").alias("key"), col("reason").alias("message"))
+        a = (B.resolve_codes(self.raw.acquired_dump, "facility_code", self.raw.aliases, self.raw.known_codes)
+             .select(F.lit("acquired_code").alias("kind"), F.lit("acquired_site_dump.csv").alias("source"),
+                     col("facility_code").alias("key"),
+                     F.concat(F.lit("acquired code '"), col("facility_code"), F.lit("' -> site "),
+                              F.coalesce(col("site_id").cast("string"), F.lit("(unresolved)"))).alias("message")))
+        return d.unionByName(e).unionByName(a)
+
+
 def _q(fn: Callable[[Plan], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(Plan(DriverCatalog(spark, sf_dir)))
@@ -203,4 +269,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scenario_grid": _q(lambda p: H.scenario_grid(p.trend)),
     "relocation": _q(lambda p: p.relocation),
     "change_impact": _q(lambda p: H.change_impact(p.trend, p.cat.programs, p.program_changes, _delay_by_site(p))),
+    # B — cleaning and reconciliation
+    "canonical_codes": _q(lambda p: CleanPlan(p).codes),
+    "clean_headcount": _q(lambda p: CleanPlan(p).clean_headcount),
+    "dedupe_log": _q(lambda p: CleanPlan(p).hris_dedupe[1]),
+    "etl_exceptions": _q(lambda p: CleanPlan(p).exceptions),
+    "acquired_sites": _q(lambda p: CleanPlan(p).acquired[0]),
+    "reconciliation_log": _q(lambda p: CleanPlan(p).reconciliation_log),
+    "reconciliation_status": _q(lambda p: M.reconciliation_status(p.cat.sites, CleanPlan(p).exceptions)),
 }
