@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headroom.operators import accountability as A
+from headroom.operators import ask as Q
+from headroom.operators import integrity as I
 from headroom.operators import clean as B
 from headroom.operators import measures as M
 from headroom.operators import occupancy as O
@@ -18,6 +20,7 @@ from headroom.operators import workflow as G
 from headroom.functions.clean import int_value, quarter_label
 from headroom.sources.dirty import DirtyExports
 from headroom.sources.driver import DriverCatalog
+from headroom.streaming import intake as S
 
 col = F.col
 
@@ -210,6 +213,34 @@ class CleanPlan:
         return d.unionByName(e).unionByName(a)
 
 
+def driver_integrity(p: Plan) -> DataFrame:
+    c = p.cat
+    return I.integrity_check([
+        I.PrimaryKey("sites", c.sites, ["site_id"]),
+        I.PrimaryKey("space_capacity", c.space_capacity, ["site_id", "space_type_id"]),
+        I.PrimaryKey("actions", c.actions, ["action_id"]),
+        I.PrimaryKey("decisions", c.decisions, ["decision_id"]),
+        I.PrimaryKey("archetype_space_map", c.archetype_space_map, ["archetype_id", "space_type_id"]),
+        I.ForeignKey("headcount_snapshots", c.headcount_snapshots, ["site_id"], "sites", c.sites, ["site_id"]),
+        I.ForeignKey("space_capacity", c.space_capacity, ["space_type_id"], "space_types", c.space_types,
+                     ["space_type_id"]),
+        I.ForeignKey("actions", c.actions, ["site_id"], "sites", c.sites, ["site_id"]),
+        I.ForeignKey("decisions", c.decisions, ["site_id"], "sites", c.sites, ["site_id"]),
+        I.ForeignKey("accreditation_milestones", c.accreditation_milestones, ["site_id", "space_type_id"],
+                     "space_capacity", c.space_capacity, ["site_id", "space_type_id"]),
+        I.NotNull("sites", c.sites, "site_name"),
+        I.NotNull("actions", c.actions, "title"),
+        I.NotNull("headcount_snapshots", c.headcount_snapshots, "headcount"),
+    ])
+
+
+def saved_views(p: Plan) -> dict:
+    return {"quality_sq": lambda: p.quality_sq, "cost": lambda: p.cost,
+            "headcount_vs_seats": lambda: M.headcount_vs_seats(p.cat.headcount_snapshots, p.cat.sites),
+            "capacity_vs_demand": lambda: P.capacity_vs_demand(p.cat.sites, p.cat.production_demand),
+            "collision": lambda: p.collision}
+
+
 def _q(fn: Callable[[Plan], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(Plan(DriverCatalog(spark, sf_dir)))
@@ -276,5 +307,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "etl_exceptions": _q(lambda p: CleanPlan(p).exceptions),
     "acquired_sites": _q(lambda p: CleanPlan(p).acquired[0]),
     "reconciliation_log": _q(lambda p: CleanPlan(p).reconciliation_log),
+    # A — sources, sinks, integrity
+    "integrity_check": _q(driver_integrity),
+    "saved_query_collision": _q(lambda p: Q.saved_query(saved_views(p), "collision",
+                                                        {"status": "AT THE WALL NOW"})),
+    "saved_query_quality": _q(lambda p: Q.saved_query(saved_views(p), "quality", {"quarter": "2001-Q1"})),
+    "intake_issues": _q(lambda p: S.valid_issues(S.intake_rows(p.cat.raw("events"), p.cat.sites))),
+    "intake_quarantine": _q(lambda p: S.quarantined(S.intake_rows(p.cat.raw("events"), p.cat.sites))),
     "reconciliation_status": _q(lambda p: M.reconciliation_status(p.cat.sites, CleanPlan(p).exceptions)),
 }
