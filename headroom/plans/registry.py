@@ -41,7 +41,7 @@ class Plan:
     # D ---------------------------------------------------------------------
     @cached_property
     def trend(self) -> DataFrame:
-        return P.collision_trend(self.cat.sites, self.cat.production_demand)
+        return self.cat.keep(P.collision_trend(self.cat.sites, self.cat.production_demand))
 
     @cached_property
     def collision(self) -> DataFrame:
@@ -78,7 +78,7 @@ class Plan:
     @cached_property
     def space_collision(self) -> DataFrame:
         c = self.cat
-        return O.space_collision(self.space_demand, c.sites, c.space_types, c.space_capacity)
+        return c.keep(O.space_collision(self.space_demand, c.sites, c.space_types, c.space_capacity))
 
     @cached_property
     def time_to_seat(self) -> DataFrame:
@@ -95,8 +95,8 @@ class Plan:
     @cached_property
     def snapshots(self) -> DataFrame:
         c = self.cat
-        return A.backtest_snapshots(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
-                                    c.archetype_space_map, c.space_types, c.sites, c.space_capacity, CUTOFFS)
+        return c.keep(A.backtest_snapshots(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
+                                           c.archetype_space_map, c.space_types, c.sites, c.space_capacity, CUTOFFS))
 
     @cached_property
     def accuracy(self) -> DataFrame:

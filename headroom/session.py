@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +24,7 @@ DEFAULT_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -43,6 +45,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def materialize(df):
+    """Cut the lineage of a shared intermediate: write it once as a Parquet
+    table under the cluster's ``spark.checkpoint.dir`` (a shared folder, never
+    a local checkpoint) and read it back.  Later uses scan the table (with
+    column pruning and filter pushdown) instead of recomputing the facts, and a
+    lost executor does not force the upstream joins to run again."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/headroom-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (tests,
     local runs) fall back to a private scratch folder."""

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headroom.functions.period import q_index_of_date, q_label
+from headroom.session import materialize
 
 # Fixed values of the driver adapter: the as-of date of every time-relative
 # operator and the fact windows.
@@ -198,12 +199,17 @@ class DriverCatalog:
     logical plan that Catalyst prunes and pushes down when composed.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF):
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.as_of = as_of
+        self.materialize = materialize
         self._raw: dict[str, DataFrame] = {}
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Checkpoint a shared aggregate (see ``headroom.session.materialize``)."""
+        return materialize(df) if self.materialize else df
+
     # raw tables -------------------------------------------------------------
     def raw(self, name: str) -> DataFrame:
         """The driver table (read once per catalog: one listing and footer read)."""
@@ -287,8 +293,8 @@ class DriverCatalog:
                .groupBy(F.col("l_suppkey").alias("site_id"))
                .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("annual_rent_usd"),
                     (F.sum("l_quantity").cast("decimal(18,2)") * F.lit(40)).alias("opex_usd_yr")))
-        return agg.select(F.col("site_id").alias("lease_id"), "site_id", "annual_rent_usd", "opex_usd_yr",
-                          *[F.expr(e).alias(n) for n, e in LEASE_COLUMNS])
+        return self.keep(agg.select(F.col("site_id").alias("lease_id"), "site_id", "annual_rent_usd", "opex_usd_yr",
+                                    *[F.expr(e).alias(n) for n, e in LEASE_COLUMNS]))
 
     def _shipments(self, li_where=None, orders_where=None) -> DataFrame:
         li = self.raw("lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_shipdate")
@@ -311,8 +317,8 @@ class DriverCatalog:
                           q_index_of_date("l_shipdate").alias("q_index"),
                           F.col("c_mktsegment").alias("archetype"))
                .agg(F.countDistinct("o_custkey").cast("int").alias("headcount")))
-        return agg.select("site_id", q_label("q_index").alias("quarter"), "q_index",
-                          F.col("archetype").alias("program"), "archetype", "headcount")
+        return self.keep(agg.select("site_id", q_label("q_index").alias("quarter"), "q_index",
+                                    F.col("archetype").alias("program"), "archetype", "headcount"))
 
     @cached_property
     def requisition_pipeline(self) -> DataFrame:
@@ -323,8 +329,8 @@ class DriverCatalog:
                           q_index_of_date("o_orderdate").alias("q_index"))
                .agg(F.countDistinct("o_orderkey").cast("int").alias("open_reqs"),
                     F.max((F.lit(20) + F.col("l_partkey") % 300).cast("int")).alias("avg_time_to_fill_days")))
-        return agg.select("site_id", "archetype_id", q_label("q_index").alias("quarter"), "q_index",
-                          "open_reqs", "avg_time_to_fill_days")
+        return self.keep(agg.select("site_id", "archetype_id", q_label("q_index").alias("quarter"), "q_index",
+                                    "open_reqs", "avg_time_to_fill_days"))
 
     @cached_property
     def _orders_with_site(self) -> DataFrame:
@@ -335,7 +341,8 @@ class DriverCatalog:
                   .where((F.col("o_orderdate") >= ts(ACTION_FROM)) & (F.col("o_orderdate") < ts(self.as_of))))
         site = (self.raw("lineitem").select("l_orderkey", "l_suppkey")
                 .groupBy("l_orderkey").agg(F.min("l_suppkey").alias("site_key")))
-        return orders.join(site, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        return self.keep(orders.join(site, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+                         .drop("l_orderkey"))
 
     @cached_property
     def actions(self) -> DataFrame:
