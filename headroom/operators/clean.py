@@ -107,6 +107,7 @@ def merge_entities(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
 ACQUIRED_RAW_COLS = ["seq", "facility_code", "facility_name", "loc_region", "gross_sq_ft", "workstations",
                      "annual_rent", "op_ex", "currency"]
 HRIS_RAW_COLS = ["seq", "site_code", "quarter_raw", "program", "archetype", "headcount_raw"]
+CAPACITY_RAW_COLS = ["seq", "site_code", "space_type_id", "capacity", "capacity_status"]
 
 
 def with_surrogate_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -125,7 +125,7 @@ def integration_pipeline(sites: DataFrame, as_of: str) -> DataFrame:
 
 def integration_summary(pipeline: DataFrame) -> DataFrame:
     """One row — integrating sites, below 80 %, stalled."""
-    return pipeline.agg(F.count(F.lit(1)).alias("integrating_sites"),
+    return pipeline.agg(F.count(F.when(col("site_status") == "acquired_integrating", 1)).alias("integrating_sites"),
                         F.sum((col("completeness_pct") < 80).cast("int")).alias("below_80_pct"),
                         F.sum("stalled_flag").alias("stalled_sites"))
 

@@ -17,7 +17,7 @@ from headroom.operators import occupancy as O
 from headroom.operators import projection as P
 from headroom.operators import whatif as H
 from headroom.operators import workflow as G
-from headroom.functions.clean import int_value, quarter_label
+from headroom.functions.clean import blank_null, int_value, quarter_label
 from headroom.sources.dirty import DirtyExports
 from headroom.sources.driver import DriverCatalog
 from headroom.streaming import intake as S
@@ -183,6 +183,18 @@ class CleanPlan:
         return B.with_surrogate_ids(kept, ["seq"], "snapshot_id").select(
             "snapshot_id", "site_id", "quarter", "program", "archetype", "headcount")
 
+    @cached_property
+    def capacity_split(self):
+        """B5 + B8: capacity rows of unknown sites are not loaded (and reported);
+        a blank status means 'confirmed'."""
+        r = self.raw
+        res = B.resolve_codes(r.capacity_export, "site_code", r.aliases, r.known_codes)
+        good, bad = B.semi_filter(res, B.CAPACITY_RAW_COLS, "space_capacity.csv")
+        good = good.select("site_id", int_value("space_type_id").alias("space_type_id"),
+                           int_value("capacity").alias("capacity"),
+                           F.coalesce(blank_null("capacity_status"), F.lit("confirmed")).alias("capacity_status"))
+        return good, bad
+
     @cached_property
     def acquired(self):
         r = self.raw
@@ -191,7 +203,7 @@ class CleanPlan:
 
     @cached_property
     def exceptions(self) -> DataFrame:
-        ex = self.hris_split[1].unionByName(self.acquired[1])
+        ex = self.hris_split[1].unionByName(self.acquired[1]).unionByName(self.capacity_split[1])
         return B.with_surrogate_ids(ex, ["source_file", "seq"], "exception_id").select(
             "exception_id", "source_file", "raw_row", "reason")
 
@@ -295,6 +307,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "queue_decisions": _q(lambda p: G.queue_decisions(p.cat.decisions, p.lrm, p.as_of)),
     "at_risk_sites": _q(lambda p: p.at_risk),
     "alert_feed": _q(lambda p: G.alert_feed(p.at_risk, p.collision, p.cliff, p.relocation)),
+    "brief_at_risk": _q(lambda p: G.brief_at_risk(p.collision)),
+    "brief_space_binding": _q(lambda p: G.brief_space_binding(p.space_collision)),
+    "brief_bottlenecks": _q(lambda p: G.brief_bottlenecks(p.time_to_seat)),
+    "brief_decisions": _q(lambda p: G.brief_decisions(
+        G.decision_queue(p.cat.decisions, p.cat.sites, p.cat.space_types, p.as_of))),
     # H — what-if
     "what_if": _q(lambda p: H.what_if(p.trend, p.growth_factors)),
     "scenario_grid": _q(lambda p: H.scenario_grid(p.trend)),
@@ -306,6 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedupe_log": _q(lambda p: CleanPlan(p).hris_dedupe[1]),
     "etl_exceptions": _q(lambda p: CleanPlan(p).exceptions),
     "acquired_sites": _q(lambda p: CleanPlan(p).acquired[0]),
+    "clean_space_capacity": _q(lambda p: CleanPlan(p).capacity_split[0]),
     "reconciliation_log": _q(lambda p: CleanPlan(p).reconciliation_log),
     # A — sources, sinks, integrity
     "integrity_check": _q(driver_integrity),

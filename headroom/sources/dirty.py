@@ -85,6 +85,25 @@ ACQ_CAD_COLUMNS = [
 ACQ_FILTER = "s_suppkey % 10 = 1"
 
 
+# space capacity rows rendered as an export; blank status means 'confirmed'
+_W = "(site_id + space_type_id)"
+CAPACITY_COLUMNS = [
+    ("seq", "site_id * 10 + space_type_id"),
+    ("site_code", f"CASE {_W} % 3 WHEN 0 THEN code WHEN 1 THEN upper(code) ELSE replace(code, '-', '_') END"),
+    ("space_type_id", "CAST(space_type_id AS STRING)"),
+    ("capacity", "COALESCE(CAST(capacity AS STRING), '')"),
+    ("capacity_status", f"CASE WHEN capacity_status = 'confirmed' AND {_W} % 4 = 0 THEN '' ELSE capacity_status END"),
+]
+CAPACITY_ORPHAN_COLUMNS = [
+    ("seq", "site_id * 10 + space_type_id + 5"),
+    ("site_code", "'closed-' || code"),
+    ("space_type_id", "CAST(space_type_id AS STRING)"),
+    ("capacity", "'10'"),
+    ("capacity_status", "'confirmed'"),
+]
+CAPACITY_ORPHAN_FILTER = "(site_id * 3 + space_type_id) % 17 = 0"
+
+
 def _select(df: DataFrame, columns) -> DataFrame:
     return df.select(*[F.expr(e).alias(n) for n, e in columns])
 
@@ -113,6 +132,14 @@ class DirtyExports:
                 .unionByName(_select(hc.where(F.expr(HRIS_DUP_FILTER)), HRIS_DUP_COLUMNS))
                 .unionByName(_select(hc.where(F.expr(HRIS_ORPHAN_FILTER)), HRIS_ORPHAN_COLUMNS)))
 
+    @cached_property
+    def capacity_export(self) -> DataFrame:
+        names = self.cat.raw("supplier").select(F.col("s_suppkey").alias("site_id"),
+                                                F.expr(SITE_CODE).alias("code"))
+        cap = self.cat.space_capacity.join(names, "site_id")
+        return (_select(cap, CAPACITY_COLUMNS)
+                .unionByName(_select(cap.where(F.expr(CAPACITY_ORPHAN_FILTER)), CAPACITY_ORPHAN_COLUMNS)))
+
     @cached_property
     def acquired_dump(self) -> DataFrame:
         s = self.cat.supplier_geo.where(F.expr(ACQ_FILTER))
