@@ -253,10 +253,24 @@ def saved_views(p: Plan) -> dict:
             "collision": lambda: p.collision}
 
 
-def _q(fn: Callable[[Plan], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+# Queries that read a shared intermediate once: materialising it would only add a
+# write and a read, so these stream their aggregates straight through.
+SINGLE_USE = {
+    "capacity_collision", "program_facility_risk", "lease_cliff", "quality_by_site_quarter", "quality_by_site",
+    "cost_per_sqft", "headcount_vs_seats", "capacity_vs_demand", "integration_pipeline", "integration_summary",
+    "space_demand", "space_collision", "space_capacity_effective", "accreditation_pipeline", "forecast_snapshots",
+    "incentive_compliance", "day_one_readiness", "open_actions", "actions_aged", "action_summary",
+    "last_responsible_moment", "decision_queue", "brief_decisions", "brief_space_binding", "what_if",
+    "scenario_grid", "saved_query_collision", "saved_query_quality", "intake_issues", "intake_quarantine",
+    "clean_space_capacity", "acquired_sites",
+}
+
+
+def _q(fn: Callable[[Plan], DataFrame], reuse: bool = True) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Plan(DriverCatalog(spark, sf_dir)))
+        return fn(Plan(DriverCatalog(spark, sf_dir, materialize=reuse)))
     run.__name__ = getattr(fn, "__name__", "query")
+    run._plan_fn = fn
     return run
 
 
@@ -265,7 +279,7 @@ def _delay_by_site(p: Plan) -> DataFrame:
             .agg(F.sum("delay_cost_per_quarter_usd").alias("delay_cost_per_quarter_usd")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # D — projection
     "capacity_collision": _q(lambda p: p.collision),
     "program_facility_risk": _q(lambda p: P.program_facility_risk(p.cat.programs, p.cat.sites, p.collision)),
@@ -334,3 +348,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "intake_quarantine": _q(lambda p: S.quarantined(S.intake_rows(p.cat.raw("events"), p.cat.sites))),
     "reconciliation_status": _q(lambda p: M.reconciliation_status(p.cat.sites, CleanPlan(p).exceptions)),
 }
+
+
+def _register(name: str, fn):
+    if name in SINGLE_USE:
+        # rebuild with materialisation off (fn closes over the plan lambda)
+        return _q(fn._plan_fn, reuse=False)
+    return fn
+
+
+QUERIES = {}
+for _name, _fn in _QUERIES.items():
+    QUERIES[_name] = _register(_name, _fn)
