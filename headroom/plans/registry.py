@@ -78,7 +78,24 @@ class Plan:
     @cached_property
     def space_collision(self) -> DataFrame:
         c = self.cat
-        return c.keep(O.space_collision(self.space_demand, c.sites, c.space_types, c.space_capacity))
+        if self._shared_history:
+            # the last cut-off is the as-of date itself: the current projection
+            last = len(CUTOFFS)
+            return self.space_history.where(col("k") == last).drop("k", "snapshot_date")
+        return O.space_collision(self.space_demand, c.sites, c.space_types, c.space_capacity)
+
+    @property
+    def _shared_history(self) -> bool:
+        """Materialised plans evaluate the current projection and the backtest
+        cut-offs in one occupancy pipeline (one pass over the aggregated facts)."""
+        return self.cat.materialize and CUTOFFS[-1][0] == self.as_of
+
+    @cached_property
+    def space_history(self) -> DataFrame:
+        c = self.cat
+        return c.keep(A.backtest_collision(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
+                                           c.archetype_space_map, c.space_types, c.sites, c.space_capacity,
+                                           CUTOFFS))
 
     @cached_property
     def time_to_seat(self) -> DataFrame:
@@ -94,9 +111,11 @@ class Plan:
     # F ---------------------------------------------------------------------
     @cached_property
     def snapshots(self) -> DataFrame:
+        if self._shared_history:
+            return A.snapshot_rows(self.space_history)
         c = self.cat
-        return c.keep(A.backtest_snapshots(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
-                                           c.archetype_space_map, c.space_types, c.sites, c.space_capacity, CUTOFFS))
+        return A.backtest_snapshots(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
+                                    c.archetype_space_map, c.space_types, c.sites, c.space_capacity, CUTOFFS)
 
     @cached_property
     def accuracy(self) -> DataFrame:

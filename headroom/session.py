@@ -55,7 +55,7 @@ def materialize(df):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/headroom-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

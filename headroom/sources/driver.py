@@ -29,6 +29,21 @@ DEMAND_TO = "2001-07-01"        # exclusive
 REQ_FROM = "2000-10-01"         # order-date window for open requisitions
 ACTION_FROM = "2000-07-01"      # order-date window for actions and decisions
 
+# Explicit schemas of the driver tables (no inference: no footer-reading job per read).
+DRIVER_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 # --- per-column rules shared with the oracle --------------------------------
 
 SITE_COLUMNS = [
@@ -214,7 +229,10 @@ class DriverCatalog:
     def raw(self, name: str) -> DataFrame:
         """The driver table (read once per catalog: one listing and footer read)."""
         if name not in self._raw:
-            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            reader = self.spark.read
+            if name in DRIVER_SCHEMAS:
+                reader = reader.schema(DRIVER_SCHEMAS[name])
+            self._raw[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._raw[name]
 
     def _literal(self, rows, schema: str) -> DataFrame:

@@ -66,3 +66,15 @@ def test_scorecard_shape(spark):
     rows = QUERIES["kpi_scorecard"](spark, "/root/testdata/sf0.001").collect()
     assert [r.sort_order for r in rows] == list(range(1, 8))
     assert all(r.value is not None and r.status in ("ok", "watch", "AT RISK") for r in rows)
+
+
+def test_shared_history_equals_direct_projection(spark):
+    from headroom.plans.registry import Plan
+    from headroom.sources.driver import DriverCatalog
+    shared = Plan(DriverCatalog(spark, "/root/testdata/sf0.01", materialize=True))
+    direct = Plan(DriverCatalog(spark, "/root/testdata/sf0.01", materialize=False))
+    assert shared._shared_history and not direct._shared_history
+    a, b = shared.space_collision, direct.space_collision.select(*shared.space_collision.columns)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    s1, s2 = shared.snapshots, direct.snapshots
+    assert s1.exceptAll(s2).count() == 0 and s2.exceptAll(s1).count() == 0
