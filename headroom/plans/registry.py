@@ -34,9 +34,10 @@ class Plan:
     plan object as logical plans; identical sub-plans inside one query reuse
     their shuffle output (ReuseExchange)."""
 
-    def __init__(self, cat: DriverCatalog):
+    def __init__(self, cat: DriverCatalog, share_history: bool = False):
         self.cat = cat
         self.as_of = cat.as_of
+        self.share_history = share_history
 
     # D ---------------------------------------------------------------------
     @cached_property
@@ -86,9 +87,10 @@ class Plan:
 
     @property
     def _shared_history(self) -> bool:
-        """Materialised plans evaluate the current projection and the backtest
-        cut-offs in one occupancy pipeline (one pass over the aggregated facts)."""
-        return self.cat.materialize and CUTOFFS[-1][0] == self.as_of
+        """Queries that need both the current projection and the backtest
+        evaluate them in one occupancy pipeline (one pass over the aggregated
+        facts, materialised once)."""
+        return self.share_history and self.cat.materialize and CUTOFFS[-1][0] == self.as_of
 
     @cached_property
     def space_history(self) -> DataFrame:
@@ -114,8 +116,9 @@ class Plan:
         if self._shared_history:
             return A.snapshot_rows(self.space_history)
         c = self.cat
-        return A.backtest_snapshots(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
-                                    c.archetype_space_map, c.space_types, c.sites, c.space_capacity, CUTOFFS)
+        return c.keep(A.backtest_snapshots(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
+                                           c.archetype_space_map, c.space_types, c.sites, c.space_capacity,
+                                           CUTOFFS))
 
     @cached_property
     def accuracy(self) -> DataFrame:
@@ -285,9 +288,14 @@ SINGLE_USE = {
 }
 
 
-def _q(fn: Callable[[Plan], DataFrame], reuse: bool = True) -> Callable[[SparkSession, str], DataFrame]:
+# Queries that read both the current space projection and the backtest snapshots.
+SHARED_HISTORY = {"kpi_scorecard", "scorecard_headline"}
+
+
+def _q(fn: Callable[[Plan], DataFrame], reuse: bool = True,
+       share: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Plan(DriverCatalog(spark, sf_dir, materialize=reuse)))
+        return fn(Plan(DriverCatalog(spark, sf_dir, materialize=reuse), share_history=share))
     run.__name__ = getattr(fn, "__name__", "query")
     run._plan_fn = fn
     return run
@@ -371,8 +379,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _register(name: str, fn):
     if name in SINGLE_USE:
-        # rebuild with materialisation off (fn closes over the plan lambda)
         return _q(fn._plan_fn, reuse=False)
+    if name in SHARED_HISTORY:
+        return _q(fn._plan_fn, reuse=True, share=True)
     return fn
 
 

@@ -71,7 +71,7 @@ def test_scorecard_shape(spark):
 def test_shared_history_equals_direct_projection(spark):
     from headroom.plans.registry import Plan
     from headroom.sources.driver import DriverCatalog
-    shared = Plan(DriverCatalog(spark, "/root/testdata/sf0.01", materialize=True))
+    shared = Plan(DriverCatalog(spark, "/root/testdata/sf0.01", materialize=True), share_history=True)
     direct = Plan(DriverCatalog(spark, "/root/testdata/sf0.01", materialize=False))
     assert shared._shared_history and not direct._shared_history
     a, b = shared.space_collision, direct.space_collision.select(*shared.space_collision.columns)
