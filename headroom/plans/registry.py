@@ -297,7 +297,6 @@ def _q(fn: Callable[[Plan], DataFrame], reuse: bool = True,
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(Plan(DriverCatalog(spark, sf_dir, materialize=reuse), share_history=share))
     run.__name__ = getattr(fn, "__name__", "query")
-    run._plan_fn = fn
     return run
 
 
@@ -306,85 +305,78 @@ def _delay_by_site(p: Plan) -> DataFrame:
             .agg(F.sum("delay_cost_per_quarter_usd").alias("delay_cost_per_quarter_usd")))
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+PLANS: dict[str, Callable[[Plan], DataFrame]] = {
     # D — projection
-    "capacity_collision": _q(lambda p: p.collision),
-    "program_facility_risk": _q(lambda p: P.program_facility_risk(p.cat.programs, p.cat.sites, p.collision)),
-    "lease_cliff": _q(lambda p: p.cliff),
-    "cost_of_delay": _q(lambda p: p.cost_of_delay),
+    "capacity_collision": (lambda p: p.collision),
+    "program_facility_risk": (lambda p: P.program_facility_risk(p.cat.programs, p.cat.sites, p.collision)),
+    "lease_cliff": (lambda p: p.cliff),
+    "cost_of_delay": (lambda p: p.cost_of_delay),
     # C — measures
-    "quality_by_site_quarter": _q(lambda p: p.quality_sq),
-    "quality_by_site": _q(lambda p: M.quality_by_site(p.quality_sq)),
-    "cost_per_sqft": _q(lambda p: p.cost),
-    "headcount_vs_seats": _q(lambda p: M.headcount_vs_seats(p.cat.headcount_snapshots, p.cat.sites)),
-    "capacity_vs_demand": _q(lambda p: P.capacity_vs_demand(p.cat.sites, p.cat.production_demand)),
-    "site_health": _q(lambda p: M.site_health(p.cat.sites, p.quality_sq, p.collision, p.cost)),
-    "integration_pipeline": _q(lambda p: p.integration),
-    "integration_summary": _q(lambda p: M.integration_summary(p.integration)),
+    "quality_by_site_quarter": (lambda p: p.quality_sq),
+    "quality_by_site": (lambda p: M.quality_by_site(p.quality_sq)),
+    "cost_per_sqft": (lambda p: p.cost),
+    "headcount_vs_seats": (lambda p: M.headcount_vs_seats(p.cat.headcount_snapshots, p.cat.sites)),
+    "capacity_vs_demand": (lambda p: P.capacity_vs_demand(p.cat.sites, p.cat.production_demand)),
+    "site_health": (lambda p: M.site_health(p.cat.sites, p.quality_sq, p.collision, p.cost)),
+    "integration_pipeline": (lambda p: p.integration),
+    "integration_summary": (lambda p: M.integration_summary(p.integration)),
     # E — occupancy
-    "space_demand": _q(lambda p: p.space_demand),
-    "space_collision": _q(lambda p: p.space_collision),
-    "time_to_seat": _q(lambda p: p.time_to_seat),
-    "plan_reconciliation": _q(lambda p: p.plan_reconciliation),
-    "space_capacity_effective": _q(lambda p: O.space_capacity_effective(
+    "space_demand": (lambda p: p.space_demand),
+    "space_collision": (lambda p: p.space_collision),
+    "time_to_seat": (lambda p: p.time_to_seat),
+    "plan_reconciliation": (lambda p: p.plan_reconciliation),
+    "space_capacity_effective": (lambda p: O.space_capacity_effective(
         p.cat.space_capacity, p.cat.space_types, p.cat.accreditation_milestones)),
-    "accreditation_pipeline": _q(lambda p: O.accreditation_pipeline(
+    "accreditation_pipeline": (lambda p: O.accreditation_pipeline(
         p.cat.accreditation_milestones, p.cat.sites, p.cat.space_types)),
     # F — accountability
-    "forecast_snapshots": _q(lambda p: p.snapshots),
-    "forecast_accuracy": _q(lambda p: p.accuracy),
-    "material_changes": _q(lambda p: A.material_changes(p.snapshots, p.cat.sites, p.cat.space_types)),
-    "incentive_compliance": _q(lambda p: A.incentive_compliance(
+    "forecast_snapshots": (lambda p: p.snapshots),
+    "forecast_accuracy": (lambda p: p.accuracy),
+    "material_changes": (lambda p: A.material_changes(p.snapshots, p.cat.sites, p.cat.space_types)),
+    "incentive_compliance": (lambda p: A.incentive_compliance(
         p.cat.incentive_agreements, p.cat.headcount_snapshots, p.cat.sites, p.as_of)),
-    "day_one_readiness": _q(lambda p: p.readiness),
-    "kpi_scorecard": _q(lambda p: p.scorecard),
-    "scorecard_headline": _q(lambda p: A.scorecard_headline(p.scorecard)),
+    "day_one_readiness": (lambda p: p.readiness),
+    "kpi_scorecard": (lambda p: p.scorecard),
+    "scorecard_headline": (lambda p: A.scorecard_headline(p.scorecard)),
     # G — workflow
-    "open_actions": _q(lambda p: p.open_actions),
-    "actions_aged": _q(lambda p: G.with_age_band(p.open_actions, p.as_of)),
-    "action_summary": _q(lambda p: G.action_summary(G.with_age_band(p.open_actions, p.as_of))),
-    "last_responsible_moment": _q(lambda p: p.lrm),
-    "decision_queue": _q(lambda p: G.decision_queue(p.cat.decisions, p.cat.sites, p.cat.space_types, p.as_of)),
-    "queue_decisions": _q(lambda p: G.queue_decisions(p.cat.decisions, p.lrm, p.as_of)),
-    "at_risk_sites": _q(lambda p: p.at_risk),
-    "alert_feed": _q(lambda p: G.alert_feed(p.at_risk, p.collision, p.cliff, p.relocation)),
-    "brief_at_risk": _q(lambda p: G.brief_at_risk(p.collision)),
-    "brief_space_binding": _q(lambda p: G.brief_space_binding(p.space_collision)),
-    "brief_bottlenecks": _q(lambda p: G.brief_bottlenecks(p.time_to_seat)),
-    "brief_decisions": _q(lambda p: G.brief_decisions(
+    "open_actions": (lambda p: p.open_actions),
+    "actions_aged": (lambda p: G.with_age_band(p.open_actions, p.as_of)),
+    "action_summary": (lambda p: G.action_summary(G.with_age_band(p.open_actions, p.as_of))),
+    "last_responsible_moment": (lambda p: p.lrm),
+    "decision_queue": (lambda p: G.decision_queue(p.cat.decisions, p.cat.sites, p.cat.space_types, p.as_of)),
+    "queue_decisions": (lambda p: G.queue_decisions(p.cat.decisions, p.lrm, p.as_of)),
+    "at_risk_sites": (lambda p: p.at_risk),
+    "alert_feed": (lambda p: G.alert_feed(p.at_risk, p.collision, p.cliff, p.relocation)),
+    "brief_at_risk": (lambda p: G.brief_at_risk(p.collision)),
+    "brief_space_binding": (lambda p: G.brief_space_binding(p.space_collision)),
+    "brief_bottlenecks": (lambda p: G.brief_bottlenecks(p.time_to_seat)),
+    "brief_decisions": (lambda p: G.brief_decisions(
         G.decision_queue(p.cat.decisions, p.cat.sites, p.cat.space_types, p.as_of))),
     # H — what-if
-    "what_if": _q(lambda p: H.what_if(p.trend, p.growth_factors)),
-    "scenario_grid": _q(lambda p: H.scenario_grid(p.trend)),
-    "relocation": _q(lambda p: p.relocation),
-    "change_impact": _q(lambda p: H.change_impact(p.trend, p.cat.programs, p.program_changes, _delay_by_site(p))),
+    "what_if": (lambda p: H.what_if(p.trend, p.growth_factors)),
+    "scenario_grid": (lambda p: H.scenario_grid(p.trend)),
+    "relocation": (lambda p: p.relocation),
+    "change_impact": (lambda p: H.change_impact(p.trend, p.cat.programs, p.program_changes, _delay_by_site(p))),
     # B — cleaning and reconciliation
-    "canonical_codes": _q(lambda p: CleanPlan(p).codes),
-    "clean_headcount": _q(lambda p: CleanPlan(p).clean_headcount),
-    "dedupe_log": _q(lambda p: CleanPlan(p).hris_dedupe[1]),
-    "etl_exceptions": _q(lambda p: CleanPlan(p).exceptions),
-    "acquired_sites": _q(lambda p: CleanPlan(p).acquired[0]),
-    "clean_space_capacity": _q(lambda p: CleanPlan(p).capacity_split[0]),
-    "reconciliation_log": _q(lambda p: CleanPlan(p).reconciliation_log),
+    "canonical_codes": (lambda p: CleanPlan(p).codes),
+    "clean_headcount": (lambda p: CleanPlan(p).clean_headcount),
+    "dedupe_log": (lambda p: CleanPlan(p).hris_dedupe[1]),
+    "etl_exceptions": (lambda p: CleanPlan(p).exceptions),
+    "acquired_sites": (lambda p: CleanPlan(p).acquired[0]),
+    "clean_space_capacity": (lambda p: CleanPlan(p).capacity_split[0]),
+    "reconciliation_log": (lambda p: CleanPlan(p).reconciliation_log),
     # A — sources, sinks, integrity
-    "integrity_check": _q(driver_integrity),
-    "saved_query_collision": _q(lambda p: Q.saved_query(saved_views(p), "collision",
+    "integrity_check": driver_integrity,
+    "saved_query_collision": (lambda p: Q.saved_query(saved_views(p), "collision",
                                                         {"status": "AT THE WALL NOW"})),
-    "saved_query_quality": _q(lambda p: Q.saved_query(saved_views(p), "quality", {"quarter": "2001-Q1"})),
-    "intake_issues": _q(lambda p: S.valid_issues(S.intake_rows(p.cat.raw("events"), p.cat.sites))),
-    "intake_quarantine": _q(lambda p: S.quarantined(S.intake_rows(p.cat.raw("events"), p.cat.sites))),
-    "reconciliation_status": _q(lambda p: M.reconciliation_status(p.cat.sites, CleanPlan(p).exceptions)),
+    "saved_query_quality": (lambda p: Q.saved_query(saved_views(p), "quality", {"quarter": "2001-Q1"})),
+    "intake_issues": (lambda p: S.valid_issues(S.intake_rows(p.cat.raw("events"), p.cat.sites))),
+    "intake_quarantine": (lambda p: S.quarantined(S.intake_rows(p.cat.raw("events"), p.cat.sites))),
+    "reconciliation_status": (lambda p: M.reconciliation_status(p.cat.sites, CleanPlan(p).exceptions)),
 }
 
 
-def _register(name: str, fn):
-    if name in SINGLE_USE:
-        return _q(fn._plan_fn, reuse=False)
-    if name in SHARED_HISTORY:
-        return _q(fn._plan_fn, reuse=True, share=True)
-    return fn
 
-
-QUERIES = {}
-for _name, _fn in _QUERIES.items():
-    QUERIES[_name] = _register(_name, _fn)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: _q(fn, reuse=name not in SINGLE_USE, share=name in SHARED_HISTORY) for name, fn in PLANS.items()
+}
