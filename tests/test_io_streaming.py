@@ -31,7 +31,8 @@ def test_publish_and_read_export(spark, scratch):
     back = io.read_export(spark, paths["one"], ["name", "v"])
     assert sorted((r.name, r.v) for r in back.collect()) == [("a,b", "1"), ("c", None)]
     assert back.select("seq").distinct().count() == 2
-    assert os.path.isdir(paths["empty"])
+    parts = glob.glob(os.path.join(paths["empty"], "part-*.csv"))
+    assert parts and open(parts[0]).read().splitlines() == ["name,v"]      # header kept when empty
 
 
 def test_pipeline_build(spark, scratch):
