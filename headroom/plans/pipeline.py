@@ -9,7 +9,6 @@ decisions are queued, and both precede the published extracts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from headroom.operators import accountability as A
 from headroom.operators import workflow as G
@@ -70,4 +69,4 @@ def accuracy_from(spark: SparkSession, sf_dir: str, snapshot_path: str) -> DataF
     return A.forecast_accuracy(io.read_snapshots(spark, snapshot_path), cat.sites, cat.space_types)
 
 
-__all__ = ["build", "snapshots_from", "accuracy_from", "PUBLISHED", "F"]
+__all__ = ["build", "snapshots_from", "accuracy_from", "PUBLISHED"]

@@ -3,8 +3,6 @@
 import random
 import statistics
 
-from pyspark.sql import functions as F
-
 from headroom.operators import whatif as H
 from headroom.operators.stats import exact_median
 
