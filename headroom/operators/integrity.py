@@ -50,9 +50,8 @@ def integrity_check(checks: list) -> DataFrame:
             dup = (c.df.groupBy(*c.keys).agg(F.count(F.lit(1)).alias("n"))
                    .agg(F.sum(F.when(col("n") > 1, col("n")).otherwise(0)).alias("dups")))
             any_null = reduce(lambda a, b: a | b, [col(k).isNull() for k in c.keys])
-            nulls = c.df.agg(F.count(F.when(any_null, 1)).alias("nulls"))
-            counted = dup.join(nulls, how="inner").select(
-                (F.coalesce("dups", F.lit(0)) + col("nulls")).alias("violations"))
+            nulls = c.df.agg(F.count(F.when(any_null, 1))).scalar()
+            counted = dup.select((F.coalesce("dups", F.lit(0)) + nulls).alias("violations"))
             row = _row("primary_key", c.table, c.keys, counted)
         elif isinstance(c, ForeignKey):
             ref = c.ref.select(*[col(r).alias(f"_fk{i}") for i, r in enumerate(c.ref_cols)]).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from headroom.functions.numeric import pct, round_half_up, safe_ratio
 from headroom.functions.period import q_label
-from headroom.operators.stats import exact_median, one_row_attach
+from headroom.operators.stats import exact_median
 
 col = F.col
 
@@ -87,7 +87,8 @@ def site_health(sites: DataFrame, quality_sq: DataFrame, collision: DataFrame,
         .alias("tightest_util"),
         (col("current_util_pct").isNull() & col("power_util_pct").isNull()).alias("util_unknown"))
     c = cost.select("site_id", "cost_per_sqft_usd")
-    df = (one_row_attach(sites.select("site_id", "site_name", "region", "site_status", *HEALTH_FIELDS), med)
+    df = (sites.select("site_id", "site_name", "region", "site_status", *HEALTH_FIELDS,
+                       med.scalar().alias("median_cost"))
           .join(q, "site_id", "left").join(u, "site_id", "left").join(c, "site_id", "left"))
     m = col("median_cost")
     cps = col("cost_per_sqft_usd")
@@ -133,8 +134,8 @@ def integration_summary(pipeline: DataFrame) -> DataFrame:
 def reconciliation_status(sites: DataFrame, exceptions: DataFrame) -> DataFrame:
     """Acquired sites and open exceptions (one row)."""
     a = sites.agg(F.count(F.when(col("source_system") == "acquired_import", 1)).alias("acquired_sites"))
-    e = exceptions.agg(F.count(F.lit(1)).alias("open_exceptions"))
-    return one_row_attach(a, e)
+    e = exceptions.agg(F.count(F.lit(1))).scalar()
+    return a.select("acquired_sites", e.alias("open_exceptions"))
 
 
 def period_label(df: DataFrame, idx: str = "q_index", name: str = "quarter") -> DataFrame:

@@ -17,31 +17,24 @@ ACCURACY = 100000
 MARGIN = 50.0 / ACCURACY     # bracket half-width in quantile units (50x the sketch error)
 
 
-def one_row_attach(df: DataFrame, scalar_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame (a global aggregate: exactly one
-    row, so the broadcast is bounded) to every row of ``df``."""
-    return df.join(F.broadcast(scalar_row), how="inner")
-
-
 def exact_median(df: DataFrame, value: str, alias: str = "median") -> DataFrame:
     """One-row frame with the exact median of ``value`` (mean of the two middle
-    values for an even count; null when there are no values)."""
+    values for an even count; null when there are no values).  Global scalars
+    (count, bracket, rank targets) enter the plan as scalar subqueries."""
     v = df.select(col(value).cast("double").alias("v")).where(col("v").isNotNull())
     stats = v.agg(F.count(F.lit(1)).alias("n"),
                   F.percentile_approx("v", F.array(F.lit(0.5 - MARGIN), F.lit(0.5 + MARGIN)),
                                       ACCURACY).alias("br"))
-    stats = stats.select("n", col("br")[0].alias("lo"), col("br")[1].alias("hi"),
-                         F.floor((col("n") - 1) / 2).alias("k1"), F.floor(col("n") / 2).alias("k2"))
-    tagged = one_row_attach(v, stats)
-    below = tagged.where(col("v") < col("lo")).agg(F.count(F.lit(1)).alias("below"))
-    inside = (tagged.where((col("v") >= col("lo")) & (col("v") <= col("hi")))
-              .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
+    s = stats.select(F.struct(col("br")[0].alias("lo"), col("br")[1].alias("hi"),
+                              F.floor((col("n") - 1) / 2).alias("k1"), F.floor(col("n") / 2).alias("k2"))).scalar()
+    lo, hi, k1, k2 = s["lo"], s["hi"], s["k1"], s["k2"]
+    below = v.where(col("v") < lo).agg(F.count(F.lit(1))).scalar()
+    inside = v.where((col("v") >= lo) & (col("v") <= hi)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     # The bracket holds ~2*MARGIN of the values (ties collapsed): a bounded,
     # single ordered partition.
     w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (one_row_attach(inside, one_row_attach(stats, below))
-              .withColumn("cum", col("below") + F.sum("c").over(w))
+    ranked = (inside.withColumn("cum", below + F.sum("c").over(w))
               .withColumn("prev", col("cum") - col("c")))
-    m1 = ranked.where((col("prev") <= col("k1")) & (col("k1") < col("cum"))).agg(F.max("v").alias("m1"))
-    m2 = ranked.where((col("prev") <= col("k2")) & (col("k2") < col("cum"))).agg(F.max("v").alias("m2"))
-    return one_row_attach(m1, m2).select(((col("m1") + col("m2")) / 2).alias(alias))
+    m1 = F.max(F.when((col("prev") <= k1) & (k1 < col("cum")), col("v")))
+    m2 = F.max(F.when((col("prev") <= k2) & (k2 < col("cum")), col("v")))
+    return ranked.agg(((m1 + m2) / 2).alias(alias))

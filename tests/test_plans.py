@@ -14,9 +14,10 @@ def physical(df) -> str:
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
-def test_no_python_udf_no_cartesian(spark, name):
+def test_no_python_udf_no_cross_join(spark, name):
     plan = physical(E.queries()[name](spark, SF))
-    for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "FlatMapGroupsInPandas"):
+    for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin",
+                "FlatMapGroupsInPandas"):
         assert bad not in plan, f"{name}: {bad}"
 
 
