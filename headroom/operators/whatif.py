@@ -102,8 +102,11 @@ def relocation(scenario_trend: DataFrame, adjacency: DataFrame) -> DataFrame:
                        F.when(F.greatest(F.lit(0.0), over) <= 0, F.lit(1.0)).otherwise(over).alias("overflow"))
     adj = adjacency.select(col("region").alias("region"), col("adjacent_region").alias("c_region"),
                            F.lit(1).alias("adj"))
-    joined = (risk.join(champs, "constraint").where(col("slack") >= col("overflow"))
-              .join(adj, ["region", "c_region"], "left"))
+    # champions: one row per (constraint, region) — bounded, so broadcast; a
+    # shuffle join on the 2-valued constraint key would put all at-risk sites
+    # into two tasks.  The adjacency table is configuration.
+    joined = (risk.join(F.broadcast(champs), "constraint").where(col("slack") >= col("overflow"))
+              .join(F.broadcast(adj), ["region", "c_region"], "left"))
     tier = (F.when(col("c_region").eqNullSafe(col("region")), 0)
             .when(col("adj").isNotNull(), 1).otherwise(2))
     best = (joined.groupBy("site_id", "constraint", "unit", "overflow", "region")

@@ -70,3 +70,30 @@ def test_relocation_matches_brute_force(spark):
                   g_kw=r[9], bind=binds[r[0]]) for r in rows]
     assert got == brute_relocation(plain, H.WORLD_REGION_ADJACENCY)
     assert len(got) > 5
+
+
+def test_hot_site_third_of_rows(spark):
+    """One site holds a third of all demand rows: results equal a plain-Python
+    aggregation, and the heavy aggregation is partial before its shuffle."""
+    from collections import defaultdict
+    from headroom.operators.projection import collision_trend
+    rnd = random.Random(5)
+    rows = []
+    for i in range(30000):
+        site = 1 if i % 3 == 0 else rnd.randint(2, 400)
+        rows.append((site, 8000 + rnd.randint(0, 3), float(rnd.randint(1, 50)), 1.0, float(rnd.randint(1, 9))))
+    demand = spark.createDataFrame(rows, "site_id long, q_index int, units_planned double, sqft_per_unit double, "
+                                         "kw_per_unit double")
+    sites = spark.createDataFrame([(i, f"s{i}", "ASIA", 5000, 50000) for i in range(1, 401)],
+                                  "site_id long, site_name string, region string, sq_ft long, power_kw_capacity long")
+    t = collision_trend(sites, demand)
+    got = {r.site_id: (r.last_q, r.last_sqft, r.growth_sqft) for r in t.collect()}
+    per = defaultdict(lambda: defaultdict(float))
+    for s, q, u, sq, _ in rows:
+        per[s][q] += u * sq
+    for s, qs in per.items():
+        first, last = min(qs), max(qs)
+        growth = 0.0 if first == last else (qs[last] - qs[first]) / (last - first)
+        assert got[s] == (last, qs[last], growth)
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan
