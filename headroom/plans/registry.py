@@ -284,7 +284,7 @@ SINGLE_USE = {
     "incentive_compliance", "day_one_readiness", "open_actions", "actions_aged", "action_summary",
     "last_responsible_moment", "decision_queue", "brief_decisions", "brief_space_binding", "what_if",
     "scenario_grid", "saved_query_collision", "saved_query_quality", "intake_issues", "intake_quarantine",
-    "clean_space_capacity", "acquired_sites",
+    "clean_space_capacity", "acquired_sites", "cost_of_delay", "canonical_codes", "brief_at_risk",
 }
 
 
