@@ -59,3 +59,21 @@ def test_intake_stream_matches_batch(spark, scratch):
     quar = spark.read.parquet(os.path.join(scratch, "quar"))
     assert quar.where(F.col("reason").startswith("unknown site")).count() == quar.count()
     assert glob.glob(os.path.join(scratch, "issues", "batch_id=*"))
+
+
+def test_snapshot_history_scores_itself(spark, scratch):
+    """Three runs append their predictions under their own dates; accuracy is
+    scored from the written snapshot table (older runs vs the newest)."""
+    from headroom.plans.pipeline import accuracy_from
+    from headroom.plans.registry import Plan
+    from headroom.sources.driver import DriverCatalog
+    p = Plan(DriverCatalog(spark, SF))
+    path = os.path.join(scratch, "snapshots")
+    n = 0
+    for day in ("2001-04-01", "2001-05-01", "2001-06-01"):
+        n = io.append_snapshot(p.space_collision, day, path).count()
+    acc = accuracy_from(spark, SF, path)
+    rows = acc.collect()
+    assert len(rows) == 2 * n                                  # two older runs scored per prediction
+    assert all(r.actual_date.isoformat() == "2001-06-01" for r in rows)
+    assert all(r.outcome in ("hit", None) for r in rows)       # same inputs: every dated forecast hits
