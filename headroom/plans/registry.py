@@ -42,7 +42,7 @@ class Plan:
     # D ---------------------------------------------------------------------
     @cached_property
     def trend(self) -> DataFrame:
-        return self.cat.keep(P.collision_trend(self.cat.sites, self.cat.production_demand))
+        return self.cat.keep(P.collision_trend(self.cat.sites, self.cat.production_demand), "trend")
 
     @cached_property
     def collision(self) -> DataFrame:
@@ -90,14 +90,14 @@ class Plan:
         """Queries that need both the current projection and the backtest
         evaluate them in one occupancy pipeline (one pass over the aggregated
         facts, materialised once)."""
-        return self.share_history and self.cat.materialize and CUTOFFS[-1][0] == self.as_of
+        return self.share_history and CUTOFFS[-1][0] == self.as_of
 
     @cached_property
     def space_history(self) -> DataFrame:
         c = self.cat
         return c.keep(A.backtest_collision(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
                                            c.archetype_space_map, c.space_types, c.sites, c.space_capacity,
-                                           CUTOFFS))
+                                           CUTOFFS), "space_history")
 
     @cached_property
     def time_to_seat(self) -> DataFrame:
@@ -118,7 +118,7 @@ class Plan:
         c = self.cat
         return c.keep(A.backtest_snapshots(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
                                            c.archetype_space_map, c.space_types, c.sites, c.space_capacity,
-                                           CUTOFFS))
+                                           CUTOFFS), "snapshots")
 
     @cached_property
     def accuracy(self) -> DataFrame:
@@ -275,27 +275,40 @@ def saved_views(p: Plan) -> dict:
             "collision": lambda: p.collision}
 
 
-# Queries that read a shared intermediate once: materialising it would only add a
-# write and a read, so these stream their aggregates straight through.
-SINGLE_USE = {
-    "capacity_collision", "program_facility_risk", "lease_cliff", "quality_by_site_quarter", "quality_by_site",
-    "cost_per_sqft", "headcount_vs_seats", "capacity_vs_demand", "integration_pipeline", "integration_summary",
-    "space_demand", "space_collision", "space_capacity_effective", "accreditation_pipeline", "forecast_snapshots",
-    "incentive_compliance", "day_one_readiness", "open_actions", "actions_aged", "action_summary",
-    "last_responsible_moment", "decision_queue", "brief_decisions", "brief_space_binding", "what_if",
-    "scenario_grid", "saved_query_collision", "saved_query_quality", "intake_issues", "intake_quarantine",
-    "clean_space_capacity", "acquired_sites", "cost_of_delay", "canonical_codes", "brief_at_risk",
+# Shared parents each query reads more than once: these are written once as
+# tables under the checkpoint dir; every other parent streams straight through.
+_CLEAN = {"headcount_snapshots"}                 # the HRIS export is resolved twice
+_SCORECARD = {"space_history", "headcount_snapshots", "requisition_pipeline", "orders_with_site"}
+REUSED: dict[str, set[str]] = {
+    "site_health": {"leases"},
+    "time_to_seat": {"requisition_pipeline"},
+    "brief_bottlenecks": {"requisition_pipeline"},
+    "plan_reconciliation": {"headcount_snapshots", "requisition_pipeline"},
+    "forecast_accuracy": {"snapshots"},
+    "material_changes": {"snapshots"},
+    "kpi_scorecard": _SCORECARD,
+    "scorecard_headline": _SCORECARD,
+    "queue_decisions": {"orders_with_site"},
+    "integrity_check": {"orders_with_site"},
+    "relocation": {"trend"},
+    "at_risk_sites": {"trend"},
+    "alert_feed": {"trend"},
+    "change_impact": {"trend"},
+    "clean_headcount": _CLEAN,
+    "dedupe_log": _CLEAN,
+    "etl_exceptions": _CLEAN,
+    "reconciliation_log": _CLEAN,
+    "reconciliation_status": _CLEAN,
 }
 
-
 # Queries that read both the current space projection and the backtest snapshots.
 SHARED_HISTORY = {"kpi_scorecard", "scorecard_headline"}
 
 
-def _q(fn: Callable[[Plan], DataFrame], reuse: bool = True,
+def _q(fn: Callable[[Plan], DataFrame], keep=frozenset(),
        share: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Plan(DriverCatalog(spark, sf_dir, materialize=reuse), share_history=share))
+        return fn(Plan(DriverCatalog(spark, sf_dir, materialize=set(keep)), share_history=share))
     run.__name__ = getattr(fn, "__name__", "query")
     return run
 
@@ -378,5 +391,5 @@ PLANS: dict[str, Callable[[Plan], DataFrame]] = {
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    name: _q(fn, reuse=name not in SINGLE_USE, share=name in SHARED_HISTORY) for name, fn in PLANS.items()
+    name: _q(fn, keep=REUSED.get(name, frozenset()), share=name in SHARED_HISTORY) for name, fn in PLANS.items()
 }

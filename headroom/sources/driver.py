@@ -214,16 +214,22 @@ class DriverCatalog:
     logical plan that Catalyst prunes and pushes down when composed.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF, materialize: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF, materialize=True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.as_of = as_of
+        # True (all shared parents), False (none) or the names to write once
         self.materialize = materialize
         self._raw: dict[str, DataFrame] = {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Checkpoint a shared aggregate (see ``headroom.session.materialize``)."""
-        return materialize(df) if self.materialize else df
+    def keeps(self, name: str) -> bool:
+        m = self.materialize
+        return bool(m) if isinstance(m, bool) else name in m
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a shared aggregate once when this plan reads it more than once
+        (see ``headroom.session.materialize``); otherwise stream it through."""
+        return materialize(df) if self.keeps(name) else df
 
     # raw tables -------------------------------------------------------------
     def raw(self, name: str) -> DataFrame:
@@ -312,7 +318,7 @@ class DriverCatalog:
                .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("annual_rent_usd"),
                     (F.sum("l_quantity").cast("decimal(18,2)") * F.lit(40)).alias("opex_usd_yr")))
         return self.keep(agg.select(F.col("site_id").alias("lease_id"), "site_id", "annual_rent_usd", "opex_usd_yr",
-                                    *[F.expr(e).alias(n) for n, e in LEASE_COLUMNS]))
+                                    *[F.expr(e).alias(n) for n, e in LEASE_COLUMNS]), "leases")
 
     def _shipments(self, li_where=None, orders_where=None) -> DataFrame:
         li = self.raw("lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_shipdate")
@@ -336,7 +342,8 @@ class DriverCatalog:
                           F.col("c_mktsegment").alias("archetype"))
                .agg(F.countDistinct("o_custkey").cast("int").alias("headcount")))
         return self.keep(agg.select("site_id", q_label("q_index").alias("quarter"), "q_index",
-                                    F.col("archetype").alias("program"), "archetype", "headcount"))
+                                    F.col("archetype").alias("program"), "archetype", "headcount"),
+                         "headcount_snapshots")
 
     @cached_property
     def requisition_pipeline(self) -> DataFrame:
@@ -348,7 +355,7 @@ class DriverCatalog:
                .agg(F.countDistinct("o_orderkey").cast("int").alias("open_reqs"),
                     F.max((F.lit(20) + F.col("l_partkey") % 300).cast("int")).alias("avg_time_to_fill_days")))
         return self.keep(agg.select("site_id", "archetype_id", q_label("q_index").alias("quarter"), "q_index",
-                                    "open_reqs", "avg_time_to_fill_days"))
+                                    "open_reqs", "avg_time_to_fill_days"), "requisition_pipeline")
 
     @cached_property
     def _orders_with_site(self) -> DataFrame:
@@ -360,7 +367,7 @@ class DriverCatalog:
         site = (self.raw("lineitem").select("l_orderkey", "l_suppkey")
                 .groupBy("l_orderkey").agg(F.min("l_suppkey").alias("site_key")))
         return self.keep(orders.join(site, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-                         .drop("l_orderkey"))
+                         .drop("l_orderkey"), "orders_with_site")
 
     @cached_property
     def actions(self) -> DataFrame:
