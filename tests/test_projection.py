@@ -96,3 +96,24 @@ def test_lease_cliff_window(spark):
     assert r[1].decision_window_days == 59 and r[1].cliff_status == "AT RISK"
     assert r[2].cliff_status == "no lease cliff"
     assert r[3].cliff_status == "no breach projected"
+
+
+def test_change_impact_isolates_the_program_site(spark):
+    """A target equal to the baseline moves nothing; doubling it changes only
+    the program's primary site (faster growth reaches the wall sooner)."""
+    sites = spark.createDataFrame([(1, "a", "West", 1000, None), (2, "b", "West", 1000, None)], SITES)
+    demand = spark.createDataFrame([(1, q(2026, 1), 1.0, 500.0, 0.0), (1, q(2026, 3), 1.0, 600.0, 0.0),
+                                    (2, q(2026, 1), 1.0, 500.0, 0.0), (2, q(2026, 3), 1.0, 600.0, 0.0)], DEMAND)
+    trend = P.collision_trend(sites, demand)
+    programs = spark.createDataFrame([("Fury", 1, 10, 12)], "program_name string, primary_site_id long, "
+                                                            "units_per_quarter_current int, units_per_quarter_target int")
+    delay = spark.createDataFrame([(1, 1000.0)], "site_id long, delay_cost_per_quarter_usd double")
+    same = H.change_impact(trend, programs, spark.createDataFrame([("Fury", 12)], "program_name string, target int"),
+                           delay).collect()
+    assert [(r.site_id, r.changed) for r in same] == [(1, False)]
+    double = H.change_impact(trend, programs, spark.createDataFrame([("Fury", 24)], "program_name string, target int"),
+                             delay).collect()[0]
+    # growth 50/quarter -> 100/quarter: (850-600)/50 = 5 quarters -> 3 quarters
+    assert (double.site_id, double.growth_multiplier) == (1, 2.0)
+    assert (double.breach_before, double.breach_after) == ("2027-Q4", "2027-Q2")
+    assert (double.cost_of_delay_before, double.cost_of_delay_after, double.changed) == (5000.0, 3000.0, True)
