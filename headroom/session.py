@@ -53,14 +53,24 @@ def materialize(df):
     lost executor does not force the upstream joins to run again."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/headroom-tables/{uuid.uuid4().hex}"
+    path = f"{base}/headroom-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, when no result still reads them."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+            f"{base.rstrip('/')}/headroom-tables/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (tests,
-    local runs) fall back to a private scratch folder."""
+    """The folder named by ``spark.checkpoint.dir``.  Only a local master (tests,
+    one machine) gets a private scratch folder when it is unset; on a cluster a
+    machine-local folder would lose rows, so an unset folder is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
@@ -68,6 +78,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="headroom-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
