@@ -15,8 +15,10 @@ task numbers and are fixed by that write.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,8 @@ OPEN_BINS = 4096
 #: (more than those pieces can fill to over a half).
 SECOND_PASS_PIECES = 200_000
 SECOND_PASS_BINS = 1 << 18
-#: Entries of a worker's word cache; a full cache is emptied.
-CACHE_WORDS = 400_000
+#: Entries of a worker's caches of words as written and of lower-case letter runs.
+CACHE_WORDS, CACHE_STEMS = 400_000, 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -78,41 +80,64 @@ class BestFit:
             yield self._take((self.free & -self.free).bit_length() - 1)
 
 
-class WordCache:
-    """Token ids of whole texts through a bounded cache of white-space-free words.
+class WordCache(dict):
+    """Token ids (little-endian unsigned 32-bit) of white-space-free words, and of whole texts.
 
-    No token spans white space, so a text's ids are its words' ids in a row.  Only
-    plain ASCII white space separates words here; anything else stays inside a word
-    and is left to the tokenizer."""
+    No token spans white space, so a text's ids are its words' ids in a row.  Only plain
+    ASCII white space separates words here; anything else stays inside a word.  A word of
+    Latin letters with closing punctuation is two tokenizer words, and goes straight to the
+    model (lower-cased, byte by byte in its alphabet); every other word goes through the
+    whole tokenizer.  Both caches are bounded: a full one is emptied."""
 
     def __init__(self, path: str):
+        super().__init__()
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        # The byte-level alphabet: printable bytes stand for themselves, the rest for 256 upwards.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.letters: dict[str, bytes] = {"": b""}
+        self[""] = b""
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(".,!?;:")
+        if stem.isalpha() and max(stem) < "\u0250" and is_normalized("NFC", stem):
+            found = self._letters(stem.lower())
+            if len(stem) < len(word):
+                end = word[len(stem):]
+                found += self.letters.get(end) or self.letters.setdefault(end, self._whole(end))
+        else:
+            found = self._whole(word)
+        self[word] = found
+        return found
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        import numpy as np
+    def _letters(self, stem: str) -> bytes:
+        found = self.letters.get(stem)
+        if found is None:
+            if len(self.letters) > CACHE_STEMS:
+                self.letters = {"": b""}
+            spelt = stem if stem.isascii() else "".join(map(self.alphabet.__getitem__, stem.encode()))
+            ids = [t.id for t in self.model.tokenize(spelt)]
+            found = self.letters[stem] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
-        split = []
-        for text in texts:
-            if text.isascii() and "<|" not in text:
-                text = text.lower()  # the tokenizer lower-cases too; fewer different words
-            split.append(text.replace("\n", " ").replace("\t", " ").split(" "))
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
+    def _whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         out = []
-        for words in split:
-            new = list({w for w in words if w not in self.known})
-            for k in range(0, len(new), 4096):
-                part = new[k:k + 4096]
-                for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
-            out.append(b"".join(map(self.known.__getitem__, words)))
+        for text in texts:
+            if len(self) > CACHE_WORDS:
+                self.clear()
+                self[""] = b""
+            out.append(b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" "))))
         return out
 
 
