@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +32,24 @@ def stored(df: DataFrame) -> DataFrame:
 def whole_text(name: str = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Runs of two rows or more with equal (integer) keys, from batches sorted by them; holds one run and one batch."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not len(batch):
+            continue
+        if batch is not None:
+            held = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        if held is None:
+            return
+        change = np.zeros(len(held) - 1, bool)
+        for key in keys:
+            values = held.column(key).to_numpy()
+            change |= values[1:] != values[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()] + ([len(held)] if batch is None else [])
+        for low, high in zip(cuts, cuts[1:]):
+            if high - low > 1:
+                yield held.slice(low, high - low)
+        held = held.slice(cuts[-1])

@@ -11,14 +11,13 @@ Scale.  Equal sets collapse to one class first (a hash aggregation), so a hot te
 row.  Regions are counted by partial aggregation; only members of regions of two or more go
 on, carrying an 8-bit signature and no text; regions over ``BLOCK`` members are split into
 pairs of blocks, so no task holds a whole hot region.  Only connectivity is asked for: a
-first round confirms a spanning forest of proposals, a second one every remaining proposal
-between different groups.  Texts move once, and only classes with a proposal go on.
+first round confirms a spanning forest of proposals; a second one compares exactly, inside its
+region, every remaining proposal between different groups.  Texts move once.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored, whole_text
+from .common import read_table, runs, stored, whole_text
 from .graph import components
 
 SHINGLE = 3
@@ -149,29 +148,6 @@ def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """Columns of one region and pair of blocks after another (two rows or more), from rows sorted by them."""
-    held = None
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None and not len(batch):
-            continue
-        if batch is not None:
-            parts = [batch] if held is None else [held, batch]
-            held = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        if held is None:
-            return
-        keys = list(zip(*(held.column(c).to_pylist() for c in ("region", "i", "j"))))
-        cuts = [0] + [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]] + ([len(keys)] if batch is None else [])
-        names, rest = held.column("class").to_pylist(), held.schema.names[7:]
-        side, n = (held.column(c).to_numpy() for c in ("side", "n_shingles"))
-        sigs = np.frombuffer(b"".join(held.column("sig").to_pylist()), np.uint8).reshape(len(names), -1)
-        extra = [held.column(c).to_pylist() for c in rest]
-        for low, high in zip(cuts, cuts[1:]):
-            if high - low > 1:
-                yield [c[low:high] for c in (names, side, n, sigs, *extra)]
-        held = held.slice(cuts[-1])
-
-
 def _forest(x: np.ndarray, y: np.ndarray, like: np.ndarray) -> list[int]:
     """Numbers of the edges of a spanning forest, most alike first."""
     parent: dict[int, int] = {}
@@ -190,35 +166,76 @@ def _forest(x: np.ndarray, y: np.ndarray, like: np.ndarray) -> list[int]:
     return kept
 
 
-def _proposals(low: float, between: bool):
-    """Proposed pairs of one region and pair of blocks: a spanning forest of its likely links, or with
-    ``between`` every possible link of members in different groups."""
+def _allowed(group: pa.RecordBatch, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of all pairs of a run, and which pairs of its two blocks may link at an estimate of ``low``."""
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(group), -1)
+    side, n = (group.column(c).to_numpy() for c in ("side", "n_shingles"))
+    like = _likeness(sigs, sigs)
+    good = (like >= low) & (np.minimum(n[:, None], n) * DENOMINATOR >= NUMERATOR * np.maximum(n[:, None], n))
+    return like, good & ((side[:, None] == 3) | (side[:, None] != side))
+
+
+def _pairs(left: list, right: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    def batch_of(pairs: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+def _forests(low: float):
+    """A spanning forest of each run's likely links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[tuple] = []
-        for names, side, n, sigs, *group in _groups(batches):
-            like = _likeness(sigs, sigs)
-            allowed = (like >= low) & (np.minimum(n[:, None], n) * DENOMINATOR >= NUMERATOR * np.maximum(n[:, None], n))
-            allowed &= (side[:, None] == 3) | (side[:, None] != side)
-            if between:
-                number = pd.factorize(pd.Series(group[0]))[0]
-                allowed &= number[:, None] != number
-            x, y = np.nonzero(np.triu(allowed, 1))
-            if not between and len(x) > 1:
-                kept = _forest(x, y, like[x, y])
-                x, y = x[kept], y[kept]
-            pairs += [(min(names[p], names[q]), max(names[p], names[q])) for p, q in zip(x.tolist(), y.tolist())]
-            if len(pairs) > 50_000:
-                yield batch_of(pairs)
-                pairs = []
-        yield batch_of(pairs)
+        for group in runs(batches, ("region", "i", "j")):
+            like, good = _allowed(group, low)
+            x, y = np.nonzero(np.triu(good, 1))
+            if len(x):
+                names, kept = group.column("class").to_pylist(), _forest(x, y, like[x, y])
+                ends = [(names[x[e]], names[y[e]]) for e in kept]
+                yield _pairs([min(e) for e in ends], [max(e) for e in ends])
 
     return run
 
 
+def _undecided(low: float):
+    """Members of a run with a possible link to another group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ("region", "i", "j")):
+            number = pd.factorize(pd.Series(group.column("component").to_pylist()))[0]
+            if number.max() == 0:
+                continue
+            _, good = _allowed(group, low)
+            marked = (good & (number[:, None] != number)).any(1)
+            yield group.select(["region", "i", "j", "side", "class", "component"]).filter(pa.array(marked))
+
+    return run
+
+
+def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different groups of a run, by exact intersection of full sets."""
+    for group in runs(batches, ("region", "i", "j")):
+        number = pd.factorize(pd.Series(group.column("component").to_pylist()))[0]
+        sets = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
+        side, size = group.column("side").to_numpy(), np.array([len(s) for s in sets])
+        whole, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        mark, names = np.zeros(len(whole), np.int64), group.column("class").to_pylist()
+        largest = np.bincount(number).argmax()
+        left, right = [], []
+        for x in np.flatnonzero(number != largest).tolist():
+            own = inverse[starts[x]:starts[x] + size[x]]
+            mark[own] = 1
+            inter = np.add.reduceat(mark[inverse], starts)
+            mark[own] = 0
+            linked = (DENOMINATOR * inter >= NUMERATOR * (size + size[x] - inter)) & (number != number[x])
+            linked &= (side == 3) | (side != side[x])
+            # One link to each other group joins it; more would say the same.
+            _, first = np.unique(number[linked], return_index=True)
+            for y in np.flatnonzero(linked)[first].tolist():
+                left.append(min(names[x], names[y]))
+                right.append(max(names[x], names[y]))
+        if left:
+            yield _pairs(left, right)
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,12 +284,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     members = (_blocks(_regions(orders)).join(classes.select("class", "n_shingles", "sig"), "class"))
     members = stored(members.select("region", "i", "j", "side", "class", "n_shingles", "sig"))
 
-    def propose(rows: DataFrame, low: float, between: bool) -> DataFrame:
-        dealt = rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
-        return stored(dealt.mapInArrow(_proposals(low, between), "a binary, b binary").distinct())
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
 
-    share = NUMERATOR / DENOMINATOR
-    first = propose(members, share, False)
+    share, pair = NUMERATOR / DENOMINATOR, "a binary, b binary"
+    first = stored(dealt(members).mapInArrow(_forests(share), pair).distinct())
     least = share - SLACK * (share * (1 - share) / HASHES) ** 0.5
     # Full sets of the classes that stand in a region, from one text each (found by its row's id).
     carriers = classes.join(members.select("class").distinct(), "class", "left_semi").select(F.col("least").alias("id"))
@@ -282,8 +298,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     groups = stored(components(linked, "a", "b"))
     grouped = members.join(groups.withColumnRenamed("node", "class"), "class", "left").select(
         "region", "i", "j", "side", "class", "n_shingles", "sig", F.coalesce("component", "class").alias("component"))
-    second = propose(grouped, least, True).join(first, ["a", "b"], "left_anti")
-    linked = linked.unionByName(stored(_confirmed(second, sets)))
+    schema = "region long, i int, j int, side int, class binary, component binary"
+    second = dealt(grouped).mapInArrow(_undecided(least), schema).join(sets, "class")
+    linked = linked.unionByName(stored(dealt(second).mapInArrow(_exact_links, pair)))
     groups = components(linked, "a", "b").withColumnRenamed("node", "class")
     joined = classes.select("class", "least").join(groups, "class", "left").withColumn(
         "component", F.coalesce("component", "class"))

@@ -16,7 +16,6 @@ links are summed as partial counts per vector, never emitted as pairs.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import read_table, runs, stored
 from .graph import components
 
 THRESHOLD = 0.95
@@ -97,25 +96,6 @@ def _blocks(members: DataFrame) -> DataFrame:
                     .otherwise(2).alias("side")))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket's pair of blocks after another (two rows or more), from rows sorted by key, i and j."""
-    held = None
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None and not len(batch):
-            continue
-        if batch is not None:
-            held = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-        if held is None:
-            return
-        key, i, j = (held.column(c).to_numpy() for c in ("key", "i", "j"))
-        change = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        cuts = [0, *change.tolist()] + ([len(key)] if batch is None else [])
-        for low, high in zip(cuts, cuts[1:]):
-            if high - low > 1:
-                yield held.slice(low, high - low)
-        held = held.slice(cuts[-1])
-
-
 def _matrix(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
@@ -129,7 +109,7 @@ def _suspects(threshold: float):
     """Members of a bucket with a partner whose estimated cosine may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
+        for group in runs(batches, ("key", "i", "j")):
             dim = group.column("dim")[0].as_py()
             turns = _turn(dim)
             bits = np.unpackbits(_matrix(group.column("code"), np.uint8), axis=1)[:, :len(turns)]
@@ -152,7 +132,7 @@ def _exact(threshold: float):
     """Exact links of a bucket: partial link counts (in the pair's first shared band) and a star per group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
+        for group in runs(batches, ("key", "i", "j")):
             unit = _unit(np.array(group.column("vector").to_pylist(), np.float64))
             linked = (unit @ unit.T >= threshold) & _sides(group)
             x, y = np.nonzero(linked)
