@@ -67,6 +67,22 @@ def _cosines(words: Column, idf: dict[str, float], rare: float) -> Column:
     return F.array_sort(F.array(*scored))
 
 
+def _needed(idf: dict[str, float]) -> list[str]:
+    """Words of which a match holds at least one: of each template the heaviest, until the words left
+    could not reach LEAST (a cosine is at most the shared words' part of the template's length)."""
+    out = set()
+    for _, text in TEMPLATES:
+        words = _tokens(text)
+        weight = {w: (words.count(w) * idf[w]) ** 2 for w in words}
+        left = whole = sum(weight.values())
+        for w in sorted(weight, key=lambda w: (-weight[w], w)):
+            if left < LEAST**2 * whole * 0.999:
+                break
+            out.add(w)
+            left -= weight[w]
+    return sorted(out)
+
+
 def _ancestors(directory: Column) -> Column:
     """The directory and those above it, the nearest first; the root is empty."""
     parts = F.split(directory, "/")
@@ -76,26 +92,28 @@ def _ancestors(directory: Column) -> Column:
 def scan(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``path``, the columns ``keep``, ``own_license``, ``cosine``, ``license``, ``inherited_from``.
 
-    Every line of a whole text is judged that shares two words with a template (a match needs
-    them).  Null text is empty; a null path has no directory and inherits nothing; repeated
-    rows are each judged; ties go to the smaller name; an empty table gives no rows."""
+    Every line of a whole text is judged.  Null text is empty; a null path has no directory
+    and inherits nothing; repeated rows are each judged; ties go to the smaller name; an empty
+    table gives no rows."""
     vocabulary = F.array(*map(F.lit, VOCABULARY))
     text = files.select("path", *keep, whole_text().alias("text"))
     words = text.select("path", *keep, F.transform(F.split(F.lower("text"), "\n"), lambda x: F.split(x, _SPLIT)).alias("words"))
-    hits = F.filter("words", lambda ws: F.size(F.array_intersect(ws, vocabulary)) > 1)
-    rest = F.aggregate("words", F.lit(0), lambda n, ws: n + F.size(F.array_remove(ws, "")))
-    present = F.array_distinct(F.flatten(F.transform("words", lambda ws: F.array_intersect(ws, vocabulary))))
-    seen = stored(words.select("path", *keep, F.transform(hits, lambda ws: F.array_remove(ws, "")).alias("hits"),
-                               rest.alias("total"), present.alias("present")))
-    counted = seen.select(F.explode("present").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()  # one row per template word
-    counts, n = {r["w"]: r["n"] for r in counted}, seen.count()
+    present = F.array_distinct(F.array_intersect(F.flatten("words"), vocabulary))
+    counted = words.select(F.explode(present).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()  # one row per template word
+    counts, n = {r["w"]: r["n"] for r in counted}, files.count()
     rare = math.log((1 + n) / 2) + 1
     idf = {w: math.log((1 + n) / (1 + counts.get(w, 0))) + 1 for w in VOCABULARY}
-    best = F.array_min(F.transform("hits", lambda ws: F.get(_cosines(ws, idf, rare), 0)))
-    judged = seen.select("path", *keep, "total", F.aggregate("hits", F.lit(0), lambda k, ws: k + F.size(ws)).alias("hit"), best.alias("best"))
+    needed = F.array(*map(F.lit, _needed(idf)))
+    total = F.aggregate("words", F.lit(0), lambda k, ws: k + F.size(F.array_remove(ws, "")))
+    hits = F.transform(F.filter("words", lambda ws: F.arrays_overlap(ws, needed)), lambda ws: F.array_remove(ws, ""))
+    scored = F.transform("hits", lambda ws: F.struct(F.get(_cosines(ws, idf, rare), 0).alias("best"), F.size(ws).alias("size")))
+    judged = (words.select("path", *keep, total.alias("total"), hits.alias("hits"))
+              .select("path", *keep, "total", scored.alias("scored"))
+              .select("path", *keep, "total", "scored", F.array_min("scored")["best"].alias("best")))
+    matched = F.aggregate(F.filter("scored", lambda x: -x["best"]["order"] >= LEAST), F.lit(0), lambda k, x: k + x["size"])
     judged = stored(judged.select(
         "path", *keep, (-F.col("best.order")).alias("cosine"), F.when(-F.col("best.order") >= LEAST, F.col("best.name")).alias("own_license"),
-        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("__dir"), (F.col("hit") == F.col("total")).alias("__whole")))
+        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("__dir"), (matched == F.col("total")).alias("__whole")))
     speaks = judged.where("own_license is not null").where(F.col("path").rlike(LICENSE_FILE) | F.col("__whole"))
     holders = speaks.groupBy("__dir").agg(F.min(F.struct(-F.col("cosine"), "own_license")).alias("m")).select(
         F.col("__dir").alias("__above"), F.col("m.own_license").alias("__license"))
