@@ -30,7 +30,8 @@ from .common import read_table, runs, stored, whole_text
 from .graph import components
 
 SHINGLE = 3
-NUMERATOR, DENOMINATOR = 85, 100
+#: Least similarity of a link, as numerator and denominator.
+SHARE = (85, 100)
 #: Sorted orders, and the prefix lengths at which their regions may be read.
 TREES, DEPTHS = 24, (4, 6, 8)
 #: A region of at most this many members is not read any deeper.
@@ -166,12 +167,12 @@ def _forest(x: np.ndarray, y: np.ndarray, like: np.ndarray) -> list[int]:
     return kept
 
 
-def _allowed(group: pa.RecordBatch, low: float) -> tuple[np.ndarray, np.ndarray]:
+def _allowed(group: pa.RecordBatch, low: float, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Estimates of all pairs of a run, and which pairs of its two blocks may link at an estimate of ``low``."""
     sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(group), -1)
     side, n = (group.column(c).to_numpy() for c in ("side", "n_shingles"))
     like = _likeness(sigs, sigs)
-    good = (like >= low) & (np.minimum(n[:, None], n) * DENOMINATOR >= NUMERATOR * np.maximum(n[:, None], n))
+    good = (like >= low) & (np.minimum(n[:, None], n) * share[1] >= share[0] * np.maximum(n[:, None], n))
     return like, good & ((side[:, None] == 3) | (side[:, None] != side))
 
 
@@ -179,12 +180,12 @@ def _pairs(left: list, right: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
-def _forests(low: float):
+def _forests(share: tuple[int, int]):
     """A spanning forest of each run's likely links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ("region", "i", "j")):
-            like, good = _allowed(group, low)
+            like, good = _allowed(group, share[0] / share[1], share)
             x, y = np.nonzero(np.triu(good, 1))
             if len(x):
                 names, kept = group.column("class").to_pylist(), _forest(x, y, like[x, y])
@@ -194,7 +195,7 @@ def _forests(low: float):
     return run
 
 
-def _undecided(low: float):
+def _undecided(low: float, share: tuple[int, int]):
     """Members of a run with a possible link to another group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,38 +203,42 @@ def _undecided(low: float):
             number = pd.factorize(pd.Series(group.column("component").to_pylist()))[0]
             if number.max() == 0:
                 continue
-            _, good = _allowed(group, low)
+            _, good = _allowed(group, low, share)
             marked = (good & (number[:, None] != number)).any(1)
             yield group.select(["region", "i", "j", "side", "class", "component"]).filter(pa.array(marked))
 
     return run
 
 
-def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exact_links(share: tuple[int, int]):
     """Links between different groups of a run, by exact intersection of full sets."""
-    for group in runs(batches, ("region", "i", "j")):
-        number = pd.factorize(pd.Series(group.column("component").to_pylist()))[0]
-        sets = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
-        side, size = group.column("side").to_numpy(), np.array([len(s) for s in sets])
-        whole, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        mark, names = np.zeros(len(whole), np.int64), group.column("class").to_pylist()
-        largest = np.bincount(number).argmax()
-        left, right = [], []
-        for x in np.flatnonzero(number != largest).tolist():
-            own = inverse[starts[x]:starts[x] + size[x]]
-            mark[own] = 1
-            inter = np.add.reduceat(mark[inverse], starts)
-            mark[own] = 0
-            linked = (DENOMINATOR * inter >= NUMERATOR * (size + size[x] - inter)) & (number != number[x])
-            linked &= (side == 3) | (side != side[x])
-            # One link to each other group joins it; more would say the same.
-            _, first = np.unique(number[linked], return_index=True)
-            for y in np.flatnonzero(linked)[first].tolist():
-                left.append(min(names[x], names[y]))
-                right.append(max(names[x], names[y]))
-        if left:
-            yield _pairs(left, right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ("region", "i", "j")):
+            number = pd.factorize(pd.Series(group.column("component").to_pylist()))[0]
+            sets = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
+            side, size = group.column("side").to_numpy(), np.array([len(s) for s in sets])
+            whole, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+            mark, names = np.zeros(len(whole), np.int64), group.column("class").to_pylist()
+            largest = np.bincount(number).argmax()
+            left, right = [], []
+            for x in np.flatnonzero(number != largest).tolist():
+                own = inverse[starts[x]:starts[x] + size[x]]
+                mark[own] = 1
+                inter = np.add.reduceat(mark[inverse], starts)
+                mark[own] = 0
+                linked = (share[1] * inter >= share[0] * (size + size[x] - inter)) & (number != number[x])
+                linked &= (side == 3) | (side != side[x])
+                # One link to each other group joins it; more would say the same.
+                _, first = np.unique(number[linked], return_index=True)
+                for y in np.flatnonzero(linked)[first].tolist():
+                    left.append(min(names[x], names[y]))
+                    right.append(max(names[x], names[y]))
+            if left:
+                yield _pairs(left, right)
+
+    return run
 
 
 def _sets(size: int):
@@ -247,28 +252,31 @@ def _sets(size: int):
     return run
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, good = batch.column(2), batch.column(3), []
-        for k in range(len(batch)):
-            p, q = (np.frombuffer(c[k].as_buffer(), np.uint64) for c in (a, b))
-            both = np.concatenate([p, q])
-            both.sort(kind="stable")
-            inter = int((both[1:] == both[:-1]).sum())
-            good.append(DENOMINATOR * inter >= NUMERATOR * (len(both) - inter))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
+def _confirm(share: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, good = batch.column(2), batch.column(3), []
+            for k in range(len(batch)):
+                p, q = (np.frombuffer(c[k].as_buffer(), np.uint64) for c in (a, b))
+                both = np.concatenate([p, q])
+                both.sort(kind="stable")
+                inter = int((both[1:] == both[:-1]).sum())
+                good.append(share[1] * inter >= share[0] * (len(both) - inter))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
+
+    return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     both = (pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb"))
-    return both.mapInArrow(_confirm, "a binary, b binary")
+    return both.mapInArrow(_confirm(share), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
-    Two documents link if 100 * |A & B| >= 85 * |A | B| over their sets of ``size``-word
+    Two documents link if 100 * |A & B| >= 85 * |A | B| (or another ``share``) over their sets of ``size``-word
     shingles; ``component_id`` is the smallest doc_id reachable.  A null or empty text, or
     one of white space, has an empty set and links with nothing.  Texts of equal sets are
     one class.  Rows that repeat a doc_id each count with their own text; a null doc_id
@@ -287,20 +295,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
 
-    share, pair = NUMERATOR / DENOMINATOR, "a binary, b binary"
+    pair, part = "a binary, b binary", share[0] / share[1]
     first = stored(dealt(members).mapInArrow(_forests(share), pair).distinct())
-    least = share - SLACK * (share * (1 - share) / HASHES) ** 0.5
+    least = part - SLACK * (part * (1 - part) / HASHES) ** 0.5
     # Full sets of the classes that stand in a region, from one text each (found by its row's id).
     carriers = classes.join(members.select("class").distinct(), "class", "left_semi").select(F.col("least").alias("id"))
     found = texts.join(carriers, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
     sets = stored(found.mapInArrow(_sets(size), "class binary, set binary").dropDuplicates(["class"]))
-    linked = stored(_confirmed(first, sets))
+    linked = stored(_confirmed(first, sets, share))
     groups = stored(components(linked, "a", "b"))
     grouped = members.join(groups.withColumnRenamed("node", "class"), "class", "left").select(
         "region", "i", "j", "side", "class", "n_shingles", "sig", F.coalesce("component", "class").alias("component"))
     schema = "region long, i int, j int, side int, class binary, component binary"
-    second = dealt(grouped).mapInArrow(_undecided(least), schema).join(sets, "class")
-    linked = linked.unionByName(stored(dealt(second).mapInArrow(_exact_links, pair)))
+    second = dealt(grouped).mapInArrow(_undecided(least, share), schema).join(sets, "class")
+    linked = linked.unionByName(stored(dealt(second).mapInArrow(_exact_links(share), pair)))
     groups = components(linked, "a", "b").withColumnRenamed("node", "class")
     joined = classes.select("class", "least").join(groups, "class", "left").withColumn(
         "component", F.coalesce("component", "class"))

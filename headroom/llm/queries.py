@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from .fingerprint import op6_fingerprints
+from .html import op4_html
 from .licenses import op10_licenses
 from .lines import op9_lines
 from .neardup import op7_minhash
 from .packing import op1_packing
+from .pieces import op2_sentencepiece
 from .secrets import op8_secrets
 from .toxicity import op5_toxicity
 from .vectors import op3_embeddings
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_embeddings, op5_toxicity, op6_fingerprints, op7_minhash,
-                                 op8_secrets, op9_lines, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_embeddings, op4_html, op5_toxicity, op6_fingerprints,
+                                 op7_minhash, op8_secrets, op9_lines, op10_licenses)}
 
 OP3_SQL = """
 WITH RECURSIVE v AS (
