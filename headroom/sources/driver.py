@@ -22,12 +22,13 @@ from headroom.functions.period import q_index_of_date, q_label
 from headroom.session import materialize
 
 # Fixed values of the driver adapter: the as-of date of every time-relative
-# operator and the fact windows.
+# operator, and the lower ends of the fact windows: by default all history up to the
+# as-of date is read (a later start is an explicit choice of the caller's fork of these).
 AS_OF = "2001-07-01"
-DEMAND_FROM = "2000-07-01"      # ship-date window for demand, headcount, leases
+DEMAND_FROM = "0001-01-01"      # ship-date window for demand, headcount, leases
 DEMAND_TO = "2001-07-01"        # exclusive
-REQ_FROM = "2000-10-01"         # order-date window for open requisitions
-ACTION_FROM = "2000-07-01"      # order-date window for actions and decisions
+REQ_FROM = "0001-01-01"         # order-date window for open requisitions
+ACTION_FROM = "0001-01-01"      # order-date window for actions and decisions
 
 # Explicit schemas of the driver tables (no inference: no footer-reading job per read).
 DRIVER_SCHEMAS = {
@@ -300,9 +301,8 @@ class DriverCatalog:
 
     @cached_property
     def quality_issues(self) -> DataFrame:
-        """Returned lines of orders placed in the trailing year are issues."""
-        li = (self.raw("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
-              .where(F.col("l_returnflag") == "R"))
+        """Every line of an order placed before the as-of date is an issue."""
+        li = self.raw("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
         orders = (self.raw("orders")
                   .select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
                   .where((F.col("o_orderdate") >= ts(ACTION_FROM)) & (F.col("o_orderdate") < ts(self.as_of))))
@@ -311,10 +311,9 @@ class DriverCatalog:
 
     @cached_property
     def leases(self) -> DataFrame:
-        """One lease per site with shipments in the window (none for a few)."""
+        """One lease per site with shipments."""
         li = self._lineitem_window(["l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"])
-        agg = (li.where(F.col("l_suppkey") % 19 != 0)
-               .groupBy(F.col("l_suppkey").alias("site_id"))
+        agg = (li.groupBy(F.col("l_suppkey").alias("site_id"))
                .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("annual_rent_usd"),
                     (F.sum("l_quantity").cast("decimal(18,2)") * F.lit(40)).alias("opex_usd_yr")))
         return self.keep(agg.select(F.col("site_id").alias("lease_id"), "site_id", "annual_rent_usd", "opex_usd_yr",
