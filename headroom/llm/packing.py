@@ -34,7 +34,7 @@ OPEN_BINS = 4096
 SECOND_PASS_PIECES = 200_000
 SECOND_PASS_BINS = 1 << 18
 #: Entries of a worker's caches of words as written and of lower-case letter runs.
-CACHE_WORDS, CACHE_STEMS = 400_000, 600_000
+CACHE_WORDS, CACHE_STEMS = 300_000, 450_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

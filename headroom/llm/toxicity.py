@@ -34,7 +34,7 @@ DISCOUNT = 0.75
 SLOT_BITS, OWN_BITS = 19, 20
 #: A word is split into stretches of this many characters, so one endless "word" stays cheap to count.
 WORD_CHARS = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Stretches of words over which likelihoods are compared, and the ratio from which a word speaks clearly.
 STRETCHES, CLEAR = (1, 2, 8, 32, 128), 2.5
 #: Bound on the labelled rows that the logistic curve is fitted on (taken by hashed id).
