@@ -76,18 +76,21 @@ def first_present(value, seq: str):
     return F.min_by(v, F.when(present, col(seq)))
 
 
-def merge_entities(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_entities(resolved: DataFrame, rates: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """Fold several raw rows of one acquired entity into one site:
     first present name / region / size / seats in file order; the USD row's
-    rent and opex are authoritative; every CAD row is quarantined with its
-    reference conversion and not loaded."""
+    rent and opex are authoritative.  Rows in another currency (or none) are quarantined with
+    their conversion at ``rates`` (currency -> USD; CAD by default), and rows without a site are
+    quarantined whole; neither amount is loaded."""
+    rates = {"CAD": CAD_TO_USD} if rates is None else rates
+    unit = F.coalesce(F.upper(F.trim("currency")), F.lit(""))
     rows = resolved.select(
         "seq", "site_id", "facility_code", "currency",
         F.when(F.trim("facility_name") != "", F.trim("facility_name")).alias("name"),
         F.when(F.trim("loc_region") != "", F.trim("loc_region")).alias("region"),
         int_value("gross_sq_ft").alias("sq_ft"), int_value("workstations").alias("seats"),
         money("annual_rent").alias("rent"), money("op_ex").alias("opex"))
-    usd = F.upper(F.trim("currency")) != "CAD"
+    usd = unit == "USD"
     merged = (rows.where(col("site_id").isNotNull()).groupBy("site_id")
               .agg(first_present(col("name"), "seq").alias("site_name"),
                    first_present(col("region"), "seq").alias("region"),
@@ -95,11 +98,16 @@ def merge_entities(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
                    first_present(col("seats"), "seq").alias("seat_capacity"),
                    F.min_by(col("rent"), F.when(usd, col("seq"))).cast("double").alias("annual_rent_usd"),
                    F.min_by(col("opex"), F.when(usd, col("seq"))).cast("double").alias("opex_usd_yr")))
-    cad = resolved.where(col("site_id").isNotNull() & (F.upper(F.trim("currency")) == "CAD"))
-    reason = F.concat(F.lit("currency/value conflict: CAD row for '"), col("facility_code"),
-                      F.lit("' (~USD "), F.format_number(round_half_up(money("annual_rent") * F.lit(CAD_TO_USD), 0), 0),
-                      F.lit(" at the reference rate); kept the USD row, CAD row needs sign-off"))
-    exceptions = cad.select("seq", F.lit("acquired_site_dump.csv").alias("source_file"),
+    held = resolved.where(col("site_id").isNull() | ~usd)
+    code = F.coalesce(col("facility_code"), F.lit(""))
+    reason = F.when(col("site_id").isNull(), F.concat(F.lit("no site for facility code '"), code, F.lit("'")))
+    for name, rate in rates.items():
+        value = F.coalesce(F.format_number(round_half_up(money("annual_rent") * F.lit(rate), 0), 0), F.lit("unknown"))
+        reason = reason.when(unit == name, F.concat(
+            F.lit(f"currency/value conflict: {name} row for '"), code, F.lit("' (~USD "), value,
+            F.lit(f" at the reference rate); kept the USD row, {name} row needs sign-off")))
+    reason = reason.otherwise(F.concat(F.lit("currency '"), unit, F.lit("' without a rate for '"), code, F.lit("'")))
+    exceptions = held.select("seq", F.lit("acquired_site_dump.csv").alias("source_file"),
                             raw_json(ACQUIRED_RAW_COLS).alias("raw_row"), reason.alias("reason"))
     return merged, exceptions
 

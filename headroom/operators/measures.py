@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headroom.functions.numeric import pct, round_half_up, safe_ratio
-from headroom.functions.period import q_label
 from headroom.operators.stats import exact_median
 
 col = F.col
@@ -136,7 +135,3 @@ def reconciliation_status(sites: DataFrame, exceptions: DataFrame) -> DataFrame:
     a = sites.agg(F.count(F.when(col("source_system") == "acquired_import", 1)).alias("acquired_sites"))
     e = exceptions.agg(F.count(F.lit(1))).scalar()
     return a.select("acquired_sites", e.alias("open_exceptions"))
-
-
-def period_label(df: DataFrame, idx: str = "q_index", name: str = "quarter") -> DataFrame:
-    return df.withColumn(name, q_label(idx))

@@ -102,10 +102,11 @@ def space_collision(demand: DataFrame, sites: DataFrame, space_types: DataFrame,
 
 def time_to_seat(reqs: DataFrame, archetypes: DataFrame, sites: DataFrame, collision: DataFrame,
                  ratio_map: DataFrame) -> DataFrame:
-    """Newest requisition per (site, archetype) vs the lead time of the
+    """Newest requisition per (site, archetype; ties go to the highest ``req_id``, then the larger values) vs the lead time of the
     site's binding space."""
+    order = F.struct("q_index", *(["req_id"] if "req_id" in reqs.columns else []), "open_reqs", "avg_time_to_fill_days")
     latest = (reqs.groupBy("site_id", "archetype_id")
-              .agg(F.max_by(F.struct("avg_time_to_fill_days", "open_reqs"), "q_index").alias("r"))
+              .agg(F.max_by(F.struct("avg_time_to_fill_days", "open_reqs"), order).alias("r"))
               .select("site_id", "archetype_id", col("r.open_reqs").alias("open_reqs"),
                       col("r.avg_time_to_fill_days").alias("time_to_fill_days")))
     b = collision.where(col("is_binding") == 1).select(

@@ -14,11 +14,12 @@ col = F.col
 
 def read_export(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A1: a CSV export with a header, quoted commas, every cell a string;
-    ``seq`` is the ingest order (increasing in file order)."""
+    ``seq`` orders the rows as ingested: by file path, place of the block in its file, row."""
     schema = ", ".join(f"`{c}` string" for c in columns)
     df = (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
           .csv(path))
-    return df.withColumn("seq", F.monotonically_increasing_id())
+    return df.withColumn("seq", F.struct(col("_metadata.file_path"), col("_metadata.file_block_start"),
+                                         F.monotonically_increasing_id().alias("row")))
 
 
 def rebuild(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:

@@ -37,18 +37,25 @@ def test_keep_last_logs_conflicts(spark):
     assert [(r.dropped_value, r.kept_value) for r in log.collect()] == [(10, 12)]
 
 
-def test_merge_entities_and_cad_quarantine(spark):
-    rows = [(1, "AIF", "", "Southeast", "", "120", "$1,200,000", "100", "USD", 9),
-            (2, "Advanced Imaging", "Advanced Imaging Facility", "", "48000", "", "1,500,000", "", "CAD", 9)]
+def test_merge_entities_and_quarantine(spark):
+    rows = [(1, "KX4", "", "Delta", "", "75", "$640,000", "250", "USD", 9),
+            (2, "Kiln Cross", "Kiln Cross Works", "", "31000", "", "800,000", "", "CAD", 9),
+            (3, "KX4", "", "", "", "", "500,000", "", "EUR", 9),
+            (4, "QQ1", "", "", "", "", "1", "", "USD", None),
+            (5, None, None, None, None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "seq long, facility_code string, facility_name string, loc_region string, "
                                      "gross_sq_ft string, workstations string, annual_rent string, op_ex string, "
                                      "currency string, site_id long")
     merged, ex = B.merge_entities(df)
-    m = merged.collect()[0]
-    assert (m.site_name, m.region, m.sq_ft, m.seat_capacity) == ("Advanced Imaging Facility", "Southeast", 48000, 120)
-    assert m.annual_rent_usd == 1200000.0 and m.opex_usd_yr == 100.0
-    e = ex.collect()
-    assert len(e) == 1 and "1,095,000" in e[0].reason and '"currency":"CAD"' in e[0].raw_row
+    m, = merged.collect()
+    assert (m.site_name, m.region, m.sq_ft, m.seat_capacity) == ("Kiln Cross Works", "Delta", 31000, 75)
+    assert m.annual_rent_usd == 640000.0 and m.opex_usd_yr == 250.0
+    e = {r.seq: r for r in ex.collect()}
+    assert sorted(e) == [2, 3, 4, 5]                                  # loaded + quarantined = read
+    assert "584,000" in e[2].reason and '"currency":"CAD"' in e[2].raw_row
+    assert "without a rate" in e[3].reason and "no site" in e[4].reason and "no site" in e[5].reason
+    rated = {r.seq: r.reason for r in B.merge_entities(df, {"EUR": 1.1})[1].collect()}
+    assert "550,000" in rated[3] and "without a rate" in rated[2]
 
 
 def test_surrogate_ids_dense(spark):

@@ -31,6 +31,13 @@ def test_publish_and_read_export(spark, scratch):
     back = io.read_export(spark, paths["one"], ["name", "v"])
     assert sorted((r.name, r.v) for r in back.collect()) == [("a,b", "1"), ("c", None)]
     assert back.select("seq").distinct().count() == 2
+    many = os.path.join(scratch, "many")
+    os.makedirs(many)
+    for name, n in (("a", 3), ("b", 3000)):                                # the larger file is read first
+        with open(os.path.join(many, f"{name}.csv"), "w") as f:
+            f.write("name,v\n" + "".join(f"{name}{k:04d},{k}\n" for k in range(n)))
+    ordered = [r.name for r in io.read_export(spark, many, ["name", "v"]).orderBy("seq").collect()]
+    assert ordered == sorted(ordered) and len(ordered) == 3003
     parts = glob.glob(os.path.join(paths["empty"], "part-*.csv"))
     assert parts and open(parts[0]).read().splitlines() == ["name,v"]      # header kept when empty
 
