@@ -240,6 +240,37 @@ def test_simhash_is_the_majority(spark, n):
     assert row["sim"] == sum(1 << b for b in range(56) if 2 * sum(h >> b & 1 for h in row["h"]) > n)
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_line_groups_match_all_pairs(spark):
+    """Chains of lengths, near copies of one line, and lines of equal words in another order (near bits, no link)."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    near = [" ".join(words[:k] + ["zzqq" + "abcdefgh"[k % 8]] + words[k + 1:]) for k in range(0, 40, 3)]
+    chains = [" ".join(words[:4] * n) for n in (1, 2, 3, 4, 5, 6, 8, 11, 14, 15)]
+    mixed = [" ".join(rnd.sample(words, 40)) for _ in range(12)]
+    texts = near + chains + mixed + [chains[3], mixed[0]]
+    docs = docs_of(spark, texts)
+    sims = {r["doc_id"]: r["sim"] for r in lines._lines(lines._row_key(docs)).collect()}
+
+    def linked(i, j):
+        longest = max(len(texts[i]), len(texts[j]))
+        return texts[i] == texts[j] or (bin(sims[i] ^ sims[j]).count("1") <= lines.MAX_DISTANCE and (
+            edits(texts[i], texts[j]) <= int((1 - lines.SIMILARITY) * longest + 1e-9)))
+
+    low = groups(len(texts), linked)
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect()}
+    assert got == {i: int(low[i] != i) for i in range(len(texts))}
+    assert 5 < sum(got.values()) < len(texts) - 12
+
+
 def test_line_dedup_keeps_one_of_each_group(spark):
     line = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120))
     near = line.replace("wordcb", "wordcc")
