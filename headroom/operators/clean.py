@@ -21,10 +21,18 @@ col = F.col
 CAD_TO_USD = 0.73
 
 
+def _one_value(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, value`` of the keys that have one value."""
+    return (pairs.groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("__high"))
+            .where(col(value) == col("__high")).select(key, value))
+
+
 def canonical_codes(raw_codes: DataFrame, code_col: str, aliases: DataFrame, known: DataFrame) -> DataFrame:
     """B1: map each distinct raw code to a site id: alias hit, else known code,
     else its slug if known, else null.  ``aliases(alias, code)`` and
-    ``known(code, site_id)`` hold lower-case keys."""
+    ``known(code, site_id)`` hold lower-case keys; a key that they repeat with different
+    values is ambiguous and maps to nothing, so its rows are quarantined, not multiplied."""
+    known, aliases = _one_value(known, "code", "site_id"), _one_value(aliases, "alias", "code")
     codes = raw_codes.select(col(code_col).alias("raw_code")).where(col("raw_code").isNotNull()).distinct()
     codes = codes.select("raw_code", code_key("raw_code").alias("key"))
     codes = codes.select("raw_code", "key", code_slug("key").alias("slug"))

@@ -37,6 +37,14 @@ def test_keep_last_logs_conflicts(spark):
     assert [(r.dropped_value, r.kept_value) for r in log.collect()] == [(10, 12)]
 
 
+def test_canonical_codes_never_multiply(spark):
+    raw = spark.createDataFrame([("AA",), ("bb",), ("x1",), ("x2",)], "c string")
+    aliases = spark.createDataFrame([("x1", "aa"), ("x1", "aa"), ("x2", "aa"), ("x2", "bb")], "alias string, code string")
+    known = spark.createDataFrame([("aa", 1), ("aa", 1), ("bb", 2), ("bb", 3)], "code string, site_id long")
+    got = sorted((r.raw_code, r.site_id) for r in B.canonical_codes(raw, "c", aliases, known).collect())
+    assert got == [("AA", 1), ("bb", None), ("x1", 1), ("x2", None)]
+
+
 def test_merge_entities_and_quarantine(spark):
     rows = [(1, "KX4", "", "Delta", "", "75", "$640,000", "250", "USD", 9),
             (2, "Kiln Cross", "Kiln Cross Works", "", "31000", "", "800,000", "", "CAD", 9),
