@@ -229,15 +229,25 @@ def test_secrets_against_regular_expressions(spark):
     assert secrets.scan(docs_of(spark, [])).count() == 0
 
 
-def _simhash(spark, words):
-    df = spark.createDataFrame([(words,)], "w array<string>").select(F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    return lines.with_simhash(df, "h", "sim").first()
-
-
 @pytest.mark.parametrize("n", [1, 2, 200, 300])
-def test_simhash_is_the_majority(spark, n):
-    row = _simhash(spark, [f"w{k * k % 97}" for k in range(n)])
-    assert row["sim"] == sum(1 << b for b in range(56) if 2 * sum(h >> b & 1 for h in row["h"]) > n)
+@pytest.mark.parametrize("copies", [1, 2])
+def test_simhash_is_the_majority(spark, n, copies):
+    """Over the words between what is no letter, however often the row is repeated."""
+    words = ["w" + "abcdefghij"[k * k % 10] * (1 + k % 5) for k in range(n)]
+    docs = spark.createDataFrame([(1, "7\n42 " + " - ".join(words))] * copies, "doc_id long, text string")
+    hashes = [r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
+    row = lines._lines(lines._row_key(docs)).collect()
+    assert [(r["line"], r["length"]) for r in row] == [(1, len(" ".join(words)))]
+    assert row[0]["sim"] == sum(1 << b for b in range(56) if 2 * sum(h >> b & 1 for h in hashes) > n)
+
+
+def test_line_ids_tell_orders_apart(spark):
+    texts = ["one two three", "three two one", "ONE, two; 3 three!", "", "one two", "one two three\none two three"]
+    got = lines._lines(lines._row_key(docs_of(spark, texts))).collect()
+    ids = {(r["doc_id"], r["line"]): r["id"] for r in got}
+    order = sorted({r["doc_id"] for r in got})
+    assert len(got) == 6 and len(set(ids.values())) == 3
+    assert ids[order[0], 0] == ids[order[2], 0] == ids[order[-1], 0] == ids[order[-1], 1] != ids[order[1], 0]
 
 
 def edits(a, b):
