@@ -192,9 +192,6 @@ def train(labelled: DataFrame) -> Model:
     return Model(shared, own)
 
 
-_CACHE: dict[str, float] = {}
-
-
 def evidence(llr: np.ndarray) -> list[float]:
     """Length-normalised comparisons of one text, from its words' log-likelihood ratios: per word over the
     whole text, over its most toxic stretch of each length in ``STRETCHES``, over its five most toxic words,
@@ -214,16 +211,17 @@ FEATURES = [f"f{k}" for k in range(len(STRETCHES) + 4)]
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        cache: dict[str, float] = {}  # of this task: a worker that is used again may score by another model
         for batch in batches:
             texts, raw = batch.column(1), []
             for low in range(0, len(texts), 256):
                 split = [words_of(t) for t in texts.slice(low, 256).to_pylist()]
-                if len(_CACHE) > CACHE_WORDS:
-                    _CACHE.clear()
-                new = list({w for words in split for w in words if w not in _CACHE})
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                new = list({w for words in split for w in words if w not in cache})
                 if new:
-                    _CACHE.update(zip(new, model.llr(new).tolist()))
-                raw += [evidence(np.fromiter(map(_CACHE.__getitem__, w), float, len(w))) for w in split]
+                    cache.update(zip(new, model.llr(new).tolist()))
+                raw += [evidence(np.fromiter(map(cache.__getitem__, w), float, len(w))) for w in split]
             columns = zip(*raw) if raw else [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], ["doc_id", *FEATURES])
 
