@@ -111,6 +111,7 @@ def _sign(size: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary()),
                  pa.array(prefixes, pa.list_(pa.binary()))], ["doc_id", "n_shingles", "class", "sig", "prefixes"])
+        _WORDS.clear()
 
     return run
 
@@ -248,6 +249,7 @@ def _sets(size: int):
                 sets = [shingle_set(t, size).tobytes() for t in batch.column(0).slice(low, 256).to_pylist()]
                 names = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["class", "set"])
+        _WORDS.clear()
 
     return run
 

@@ -141,6 +141,13 @@ class WordCache(dict):
         return out
 
 
+    def forget(self) -> None:
+        """Empties both caches: a worker kept for later tasks holds the tokenizer only."""
+        self.clear()
+        self.letters.clear()
+        self[""] = self.letters[""] = b""
+
+
 _CACHES: dict[str, WordCache] = {}
 
 
@@ -192,6 +199,7 @@ def _first_pass(path: str, capacity: int, open_bins: int, with_ids: bool):
                             made += 1
                 if len(rows) >= 20_000:
                     yield flush()
+        cache.forget()
         for content in fit.rest():
             closed(content, None)
             if len(rows) >= 20_000:

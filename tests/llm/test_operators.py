@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,20 @@ def test_wrapper_has_optional_and_repeated_groups():
     assert html.merge(a, b) == ["<ul", ["+", ["<li", "#", "/li"]], "/ul", ["?", ["<b2"]], "#"]
 
 
+def test_toxicity_scores_by_the_model_of_its_task():
+    """Two models, one after the other in one process."""
+    class Fixed:
+        def __init__(self, each):
+            self.value, self.each = self, each
+
+        def llr(self, words):
+            return np.full(len(words), self.each)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words here"])], ["doc_id", "text"])
+    first, second = (next(toxicity._score(Fixed(each))(iter([batch])))["f0"][0].as_py() for each in (2.0, -1.0))
+    assert (first, second) == (2.0, -1.0)
+
+
 def test_toxicity_learns_only_from_its_folds(spark):
     rng = random.Random(1)
     texts, marks = [], []
