@@ -307,6 +307,38 @@ def test_line_dedup_keeps_one_of_each_group(spark):
     assert out.count() == 0 and "piece" in out.columns
 
 
+def test_near_lines_are_found_by_edit_similarity_alone(spark):
+    """Copies with words replaced, up to the edit similarity; brute force over all pairs, without SimHash bits."""
+    rnd = random.Random(21)
+
+    def word():
+        return "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 10)))
+
+    texts = []
+    for k in range(100):
+        words = [word() for _ in range(rnd.choice([10, 15, 20, 27, 40]))]
+        changed, left = list(words), rnd.random() * 0.2 * len(" ".join(words))
+        for at in rnd.sample(range(len(words)), len(words)):
+            new = word()
+            left -= max(len(new), len(words[at]))
+            if left < 0:
+                break
+            changed[at] = new
+        texts += [" ".join(words), " ".join(changed)]
+
+    def linked(i, j):
+        longest = max(len(texts[i]), len(texts[j]))
+        most = int((1 - lines.SIMILARITY) * longest + 1e-9)
+        return abs(len(texts[i]) - len(texts[j])) <= most and (j == i ^ 1 or len(set(texts[i].split()) & set(texts[j].split())) > 3) and (
+            edits(texts[i], texts[j]) <= most)
+
+    low = groups(len(texts), linked)
+    wanted = {i for i in range(len(texts)) if low[i] != i}
+    got = {r["doc_id"] for r in lines.dedup_lines(docs_of(spark, texts)).collect() if r["n_removed"]}
+    print(f"near lines: {len(got & wanted)} of {len(wanted)} found")
+    assert len(wanted) > 80 and got <= wanted and len(got) >= 0.95 * len(wanted)
+
+
 def test_edit_check_is_exact(spark):
     rng = random.Random(2)
     rows = []
