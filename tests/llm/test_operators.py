@@ -339,6 +339,13 @@ def test_near_lines_are_found_by_edit_similarity_alone(spark):
     assert len(wanted) > 80 and got <= wanted and len(got) >= 0.95 * len(wanted)
 
 
+def test_numbers_tell_lines_apart_and_repeat(spark):
+    """Exact repeats of lines of digits go; lines that differ in numbers beyond the edit similarity stay."""
+    texts = ["Total", "Total 730 12", "12 | 40", "12 | 40", "12 | 41", "2024-01-02\n2024-01-02", "Total 730 12", "total, 730 - 12"]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 1, 6: 1, 7: 1}
+
+
 def test_edit_check_is_exact(spark):
     rng = random.Random(2)
     rows = []
