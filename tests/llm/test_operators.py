@@ -244,6 +244,23 @@ def test_secrets_against_regular_expressions(spark):
     assert secrets.scan(docs_of(spark, [])).count() == 0
 
 
+def test_random_keys_are_found_in_a_small_corpus(spark):
+    """No letter-only run is long enough to be a decoy; keys of the greater lengths, one corpus each."""
+    rnd = random.Random(4)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    plain = "the river was wide and slow, and nobody knew how long it had been there before the bridge was built"
+    slug = "chapter-12-of-the-second-part-of-the-book-34-and-more-to-read"
+    for low, used in ((32, signs), (48, signs), (32, signs[26:]), (48, signs[26:])):
+        keys = ["".join(rnd.choice(used) for _ in range(low)) + "7q" for _ in range(10)]
+        texts = [f"{plain} {key} {plain}" for key in keys] + [plain, f"{plain} {slug}"]
+        got = {r["doc_id"]: [tuple(s) for s in r["found"]] for r in secrets.scan(docs_of(spark, texts)).collect()}
+        found = sum(got[k] == [(len(plain) + 1, 3, len(plain) + 1 + low + 2)] for k in range(10))
+        print(f"keys of {low + 2} of {len(used)} signs: {found} of 10 found")
+        assert found >= 6 and got[10] == got[11] == []
+    alone = {r["doc_id"]: r["found"] for r in secrets.scan(docs_of(spark, [keys[0]])).collect()}
+    assert [tuple(s) for s in alone[0]] == [(0, 3, 50)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 200, 300])
 @pytest.mark.parametrize("copies", [1, 2])
 def test_simhash_is_the_majority(spark, n, copies):
