@@ -21,6 +21,8 @@ from headroom.functions.period import q_label
 WALL = 0.85
 CEIL_FUDGE = 0.999999
 WARNING_PERIODS = 2
+# Beyond this many periods a double no longer tells neighbouring periods apart; the count stays there.
+FARTHEST = 1 << 53
 WATCH_PERIODS = 4
 UNKNOWN_STATUS = "unknown — capacity data pending"
 STABLE = "stable"
@@ -29,7 +31,7 @@ WARNING = "COLLISION WARNING"
 WATCH = "watch"
 OK = "ok"
 
-OUTPUTS = ["util_pct", "util_2q_pct", "periods", "breach", "status"]
+OUTPUTS = ["util_pct", "util_2q_pct", "periods", "breach_q", "breach", "status"]
 
 
 def _c(x) -> Column:
@@ -38,8 +40,8 @@ def _c(x) -> Column:
 
 def with_projection(df: DataFrame, prefix: str, capacity, last, growth, last_q,
                     known: Column | None = None) -> DataFrame:
-    """Add ``{prefix}util_pct, {prefix}util_2q_pct, {prefix}periods,
-    {prefix}breach, {prefix}status`` for one constraint.
+    """Add ``{prefix}util_pct, {prefix}util_2q_pct, {prefix}periods (long),
+    {prefix}breach_q (index), {prefix}breach (its label), {prefix}status`` for one constraint.
 
     ``known`` (optional) is an extra gate; when false the constraint is treated
     as having no usable capacity (util, periods and breach are null).
@@ -55,9 +57,10 @@ def with_projection(df: DataFrame, prefix: str, capacity, last, growth, last_q,
     wall = F.lit(WALL) * c
     df = df.select("*", ((wall - l) / F.when(g > 0, g)).alias(f"_{p}raw"))
     raw = F.col(f"_{p}raw")
-    periods = (F.when(c.isNull() | (g <= 0), F.lit(None).cast("int"))
-               .when(l >= wall, F.lit(0))
-               .otherwise((raw + F.lit(CEIL_FUDGE)).cast("int")))
+    far = F.lit(float(FARTHEST))
+    periods = (F.when(c.isNull() | (g <= 0), F.lit(None).cast("long"))
+               .when(l >= wall, F.lit(0).cast("long"))
+               .otherwise(F.least(raw + F.lit(CEIL_FUDGE), far).cast("long")))
     status = (F.when(c.isNull(), F.lit(UNKNOWN_STATUS))
               .when(g <= 0, F.lit(STABLE))
               .when(l >= wall, F.lit(AT_WALL))
@@ -68,13 +71,13 @@ def with_projection(df: DataFrame, prefix: str, capacity, last, growth, last_q,
                    round_half_up(F.lit(100.0) * l / c, 1).alias(f"{p}util_pct"),
                    round_half_up(F.lit(100.0) * (l + 2 * g) / c, 1).alias(f"{p}util_2q_pct"),
                    periods.alias(f"{p}periods"), status.alias(f"{p}status"))
-    per = F.col(f"{p}periods")
-    df = df.select("*", F.when(per.isNotNull(), q_label(F.col(f"_{p}lq") + per)).alias(f"{p}breach"))
+    df = df.select("*", (F.col(f"_{p}lq") + F.col(f"{p}periods")).alias(f"{p}breach_q"))
+    df = df.select("*", q_label(f"{p}breach_q").alias(f"{p}breach"))
     return df.drop(f"_{p}cap", f"_{p}last", f"_{p}g", f"_{p}lq", f"_{p}raw")
 
 
 def with_binding(df: DataFrame, constraints: list[tuple[str, str]], default: str, out: str) -> DataFrame:
-    """Add ``{out}name, {out}periods, {out}breach, {out}status``: the constraint
+    """Add ``{out}name, {out}periods, {out}breach_q, {out}breach, {out}status``: the constraint
     with the fewest periods to its wall (ties go to the one listed first).
     ``constraints`` are ``(name, prefix)`` pairs of ``with_projection``
     outputs.  With no projected breach the name is ``'none'`` and the status is
@@ -94,5 +97,6 @@ def with_binding(df: DataFrame, constraints: list[tuple[str, str]], default: str
 
     default_pre = dict(constraints)[default]
     return df.select("*", pick("name", F.lit("none")).alias(f"{out}name"),
+                     pick("breach_q", F.lit(None).cast("long")).alias(f"{out}breach_q"),
                      pick("breach", F.lit(None).cast("string")).alias(f"{out}breach"),
                      pick("status", F.col(f"{default_pre}status")).alias(f"{out}status"))

@@ -61,6 +61,65 @@ def space_demand(headcount: DataFrame, reqs: DataFrame, archetypes: DataFrame, r
         round_half_up(col("dh") + col("dp"), 2).alias("demanded_units"))
 
 
+def space_events(headcount: DataFrame, reqs: DataFrame, archetypes: DataFrame, ratio_map: DataFrame) -> DataFrame:
+    """What is known when: units per (site, space type) by the period the fact was recorded in (``known_q``)
+    and the one it counts from (``at_q``: the same for staff, fill time later for a requisition)."""
+    m = F.broadcast(ratio_map.select("archetype_id", "space_type_id", "ratio"))   # config: bounded
+    arch = F.broadcast(archetypes.select("archetype_id", col("name").alias("archetype")))
+    staff = (headcount.join(arch, "archetype").join(m, "archetype_id")
+             .select("site_id", "space_type_id", col("q_index").alias("known_q"), col("q_index").alias("at_q"),
+                     (col("headcount") * col("ratio")).alias("staff"), F.lit(None).cast("double").alias("hires")))
+    fill_q = (col("avg_time_to_fill_days") / DAYS_PER_QUARTER + CEIL_FUDGE).cast("int")
+    hires = (reqs.join(m, "archetype_id")
+             .select("site_id", "space_type_id", col("q_index").alias("known_q"), (col("q_index") + fill_q).alias("at_q"),
+                     F.lit(None).cast("double").alias("staff"), (col("open_reqs") * col("ratio")).alias("hires")))
+    return (staff.unionByName(hires).groupBy("site_id", "space_type_id", "known_q", "at_q")
+            .agg(F.sum("staff").alias("staff"), F.sum("hires").alias("hires")))
+
+
+def running_trend(events: DataFrame, until_q: int) -> DataFrame:
+    """The endpoint trend of every (site, space type) as it read at the start of every period up to ``until_q``
+    (``cut_q``: facts recorded before it are known), with the columns of ``endpoint_trend`` over ``demanded_units``.
+
+    One pass without a copy of the facts per cut-off.  The trend's two ends follow from running values over
+    the periods in which a key learnt something: its last demand is the newest staff figure plus all hires so
+    far, its last period the farthest reached; its first period is the running minimum, and the hires that count
+    at it are the running sum of those that hit the minimum while it stood (a lower minimum starts a new sum).
+    A state holds from the period after it was learnt to the next one that changes it, so each is spread over
+    those cut-offs at the end: the output, one row per key and cut-off, is all that grows."""
+    keys = ["site_id", "space_type_id"]
+    step = (events.groupBy(*keys, "known_q")
+            .agg(F.sum("staff").alias("staff"), F.sum("hires").alias("hires"),
+                 F.min(F.when(col("hires").isNotNull(), F.struct("at_q", "hires"))).alias("near"),
+                 F.max("at_q").alias("far"))
+            .select(*keys, "known_q", "staff", "hires", "far", col("near.at_q").alias("near_q"),
+                    col("near.hires").alias("near_units")))
+    order = Window.partitionBy(*keys).orderBy("known_q")
+    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = step.select(
+        *keys, "known_q", "near_q", "near_units", F.lead("known_q").over(order).alias("next_q"),
+        F.min("near_q").over(w).alias("hires_from"), F.max("far").over(w).alias("last_q"),
+        F.coalesce(F.sum("hires").over(w), F.lit(0.0)).alias("all_hires"),
+        F.last("staff", ignorenulls=True).over(w).alias("staff_now"),
+        F.first("staff", ignorenulls=True).over(w).alias("staff_then"),
+        F.min(F.when(col("staff").isNotNull(), col("known_q"))).over(w).alias("staff_from"))
+    stood = (Window.partitionBy(*keys, "hires_from").orderBy("known_q")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    step = step.select("*", F.sum(F.when(col("near_q") == col("hires_from"), col("near_units"))).over(stood).alias("hires_then"))
+    step = step.select("*", F.least("staff_from", "hires_from").alias("first_q"))
+    step = step.select("*", round_half_up(F.coalesce("staff_now", F.lit(0.0)) + col("all_hires"), 2).alias("last_demanded_units"),
+                       round_half_up(F.when(col("staff_from") == col("first_q"), col("staff_then")).otherwise(0.0)
+                                     + F.when(col("hires_from") == col("first_q"), col("hires_then")).otherwise(0.0), 2)
+                       .alias("first_demanded_units"))
+    span = col("last_q") - col("first_q")
+    growth = F.when(span == 0, F.lit(0.0)).otherwise((col("last_demanded_units") - col("first_demanded_units"))
+                                                     / F.when(span != 0, span))
+    cuts = F.sequence(col("known_q") + 1, F.least(F.coalesce(col("next_q"), F.lit(until_q)), F.lit(until_q)))
+    return (step.where(col("known_q") < until_q)
+            .select(*keys, "first_q", "last_q", "first_demanded_units", "last_demanded_units",
+                    growth.alias("growth_demanded_units"), F.explode(cuts).alias("cut_q")))
+
+
 def space_collision(demand: DataFrame, sites: DataFrame, space_types: DataFrame, capacity: DataFrame,
                     by: list[str] | None = None) -> DataFrame:
     """The projection per (site, space type) gated by capacity status;
@@ -68,6 +127,13 @@ def space_collision(demand: DataFrame, sites: DataFrame, space_types: DataFrame,
     by = list(by or [])
     keys = by + ["site_id", "space_type_id"]
     t = endpoint_trend(demand, keys, "q_index", ["demanded_units"])
+    return project_spaces(t, sites, space_types, capacity, by)
+
+
+def project_spaces(t: DataFrame, sites: DataFrame, space_types: DataFrame, capacity: DataFrame,
+                   by: list[str] | None = None) -> DataFrame:
+    """Trends per (``by``, site, space type) to their walls; see ``space_collision``."""
+    by = list(by or [])
     st = F.broadcast(space_types.select("space_type_id", col("name").alias("space_type"), "unit_label",
                                         "lead_time_days", "restricted_sensing"))
     df = (t.join(sites.select("site_id", "site_name"), "site_id")
@@ -91,7 +157,7 @@ def space_collision(demand: DataFrame, sites: DataFrame, space_types: DataFrame,
                    col("p_util_pct").alias("current_util_pct"),
                    col("p_util_2q_pct").alias("projected_util_2q_pct"),
                    col("p_periods").alias("quarters_to_wall"),
-                   col("p_breach").alias("breach_quarter"),
+                   col("p_breach").alias("breach_quarter"), col("p_breach_q").alias("breach_q"),
                    space_status.alias("space_status"),
                    supportable.alias("supportable_units"))
     # at most a handful of space types per site: a small window per site

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headroom.functions.numeric import pct, round_half_up
-from headroom.functions.period import q_label, q_start_date
+from headroom.functions.period import q_index_of_label, q_label, q_first_date, q_start_day
 from headroom.functions.projection import OUTPUTS, with_binding, with_projection
 
 col = F.col
@@ -89,9 +89,16 @@ def _project_sites(t: DataFrame, multiplier=None) -> DataFrame:
         col("b_periods").alias("binding_quarters_to_wall"),
         col("b_breach").alias("binding_breach_quarter"),
         col("b_status").alias("binding_status"),
+        col("b_breach_q").alias("binding_breach_q"),
     )
 
 
+def breach_index(df: DataFrame, index: str, label: str):
+    """The breach period's index: the engine's own integer column where the frame carries it,
+    else read from the label (a stored or foreign table)."""
+    return col(index) if index in df.columns else q_index_of_label(label)
+
+
 COLLISION_COLUMNS = [
     "site_id", "site_name", "region", "available_sqft", "latest_quarter", "latest_demanded_sqft",
     "growth_sqft_per_quarter", "current_util_pct", "projected_util_2q_pct", "quarters_to_wall",
@@ -103,8 +110,9 @@ COLLISION_COLUMNS = [
 
 
 def capacity_collision(sites: DataFrame, demand: DataFrame) -> DataFrame:
-    """Both constraints projected, the binding one chosen (24 columns)."""
-    return _project_sites(collision_trend(sites, demand)).select(*COLLISION_COLUMNS)
+    """Both constraints projected, the binding one chosen (24 columns, and the binding
+    breach's period index for what is computed from it)."""
+    return _project_sites(collision_trend(sites, demand)).select(*COLLISION_COLUMNS, "binding_breach_q")
 
 
 def capacity_vs_demand(sites: DataFrame, demand: DataFrame) -> DataFrame:
@@ -137,17 +145,20 @@ def program_facility_risk(programs: DataFrame, sites: DataFrame, collision: Data
 
 
 def lease_cliff(sites: DataFrame, collision: DataFrame) -> DataFrame:
-    """Days between the lease option deadline and the binding breach."""
-    c = collision.select("site_id", "binding_constraint", "binding_breach_quarter")
+    """Days between the lease option deadline and the binding breach.  The window is a
+    long counted from the period index, so it holds for a breach in any year; ``breach_date`` is
+    null from the year 10000 on."""
+    c = collision.select("site_id", "binding_constraint", "binding_breach_quarter",
+                         breach_index(collision, "binding_breach_q", "binding_breach_quarter").alias("breach_q"))
     df = (sites.select("site_id", "site_name", "lease_expiration_date", "lease_option_deadline")
           .join(c, "site_id", "left")
-          .withColumn("breach_date", q_start_date("binding_breach_quarter")))
-    window = F.datediff("breach_date", "lease_option_deadline")
+          .withColumn("breach_date", q_first_date("breach_q")))
+    window = q_start_day("breach_q") - F.unix_date("lease_option_deadline")
     return df.select(
         "site_id", "site_name", "lease_expiration_date", "lease_option_deadline", "binding_constraint",
         "binding_breach_quarter", "breach_date", window.alias("decision_window_days"),
         F.when(col("lease_option_deadline").isNull(), "no lease cliff")
-        .when(col("breach_date").isNull(), "no breach projected")
+        .when(col("breach_q").isNull(), "no breach projected")
         .when(window < 180, "AT RISK").otherwise("ok").alias("cliff_status"))
 
 

@@ -1,40 +1,68 @@
 """Distributed exact statistics.
 
-``exact_median`` avoids the single final task of Spark's exact ``median``
-(which merges every distinct value in one buffer): an approximate quantile
-sketch brackets the two middle ranks, only the values inside the narrow bracket
-are grouped (duplicates collapse, so a hot value is one row) and ranked.
+``exact_median`` avoids the single final task of Spark's exact ``median`` (which merges
+every distinct value in one buffer) and of a global window: equal values are first folded
+to one row with a count, then the bracket that holds the middle ranks is cut into
+sub-brackets whose counts are taken in one pass, until few distinct values are left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import bisect
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headroom.session import materialize
+
 col = F.col
 
-ACCURACY = 100000
-MARGIN = 50.0 / ACCURACY     # bracket half-width in quantile units (50x the sketch error)
+#: Sub-brackets per round, accuracy of the sketch that places their bounds, and the number of
+#: distinct values that are ranked at once at the end.
+PARTS = 64
+ACCURACY = 10_000
+FEW = 1024
+
+
+def order_statistics(df: DataFrame, value: str, ranks, few: int = FEW) -> list[float | None]:
+    """The values at ``ranks(n)`` (positions from 0 in ascending order of the ``n`` values that are neither null nor
+    NaN); ``[]`` of ranks or no values give none.
+
+    Each round asks an approximate sketch for ``PARTS`` bounds over the distinct values still in question and then
+    counts exactly how many values lie below each bound, so a bad bound costs a round, never a wrong rank.  Only one row of counts
+    per round and at most ``few`` distinct values at the end reach the driver; there are about
+    ``log(distinct / few) / log(PARTS)`` rounds, each over what the last one left."""
+    folded = materialize(df.select(col(value).cast("double").alias("v")).where(col("v").isNotNull() & ~F.isnan("v"))
+                         .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
+    n = folded.agg(F.sum("c")).first()[0] or 0
+    return [_at(folded, rank, few) for rank in ranks(n)] if n else []
+
+
+def _at(folded: DataFrame, rank: int, few: int) -> float:
+    below, inside = 0, folded
+    while True:
+        rows = inside.orderBy("v").limit(few + 1).collect()      # a top-k per task, then few + 1 rows
+        if len(rows) <= few:
+            for row in rows:
+                below += row["c"]
+                if rank < below:
+                    return row["v"]
+        steps = F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)])
+        bounds = sorted(set(inside.agg(F.percentile_approx("v", steps, ACCURACY)).first()[0]))
+        counts = list(inside.agg(*[F.sum(F.when(col("v") < b, col("c")).otherwise(0)).alias(f"b{k}")
+                                   for k, b in enumerate(bounds)]).first())
+        # bounds[at - 1] <= the wanted value < bounds[at]
+        at = bisect.bisect_right(counts, rank - below)
+        if at:
+            inside = inside.where(col("v") >= bounds[at - 1])
+            below += counts[at - 1]
+        if at < len(bounds):
+            inside = inside.where(col("v") < bounds[at])
 
 
 def exact_median(df: DataFrame, value: str, alias: str = "median") -> DataFrame:
     """One-row frame with the exact median of ``value`` (mean of the two middle
-    values for an even count; null when there are no values).  Global scalars
-    (count, bracket, rank targets) enter the plan as scalar subqueries."""
-    v = df.select(col(value).cast("double").alias("v")).where(col("v").isNotNull())
-    stats = v.agg(F.count(F.lit(1)).alias("n"),
-                  F.percentile_approx("v", F.array(F.lit(0.5 - MARGIN), F.lit(0.5 + MARGIN)),
-                                      ACCURACY).alias("br"))
-    s = stats.select(F.struct(col("br")[0].alias("lo"), col("br")[1].alias("hi"),
-                              F.floor((col("n") - 1) / 2).alias("k1"), F.floor(col("n") / 2).alias("k2"))).scalar()
-    lo, hi, k1, k2 = s["lo"], s["hi"], s["k1"], s["k2"]
-    below = v.where(col("v") < lo).agg(F.count(F.lit(1))).scalar()
-    inside = v.where((col("v") >= lo) & (col("v") <= hi)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    # The bracket holds ~2*MARGIN of the values (ties collapsed): a bounded,
-    # single ordered partition.
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (inside.withColumn("cum", below + F.sum("c").over(w))
-              .withColumn("prev", col("cum") - col("c")))
-    m1 = F.max(F.when((col("prev") <= k1) & (k1 < col("cum")), col("v")))
-    m2 = F.max(F.when((col("prev") <= k2) & (k2 < col("cum")), col("v")))
-    return ranked.agg(((m1 + m2) / 2).alias(alias))
+    values for an even count; null when there are no values)."""
+    middle = order_statistics(df, value, lambda n: sorted({(n - 1) // 2, n // 2}))
+    median = sum(middle) / len(middle) if middle else None
+    return df.sparkSession.range(1).select(F.lit(median).cast("double").alias(alias))

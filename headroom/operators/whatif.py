@@ -38,7 +38,7 @@ def what_if(trend: DataFrame, multipliers: DataFrame | None = None) -> DataFrame
         t = (trend.join(multipliers.select("site_id", col("factor").cast("double").alias("f")), "site_id", "left")
              .withColumn("growth_multiplier", F.coalesce("f", F.lit(1.0))).drop("f"))
     out = _project_sites(t, col("growth_multiplier"))
-    return out.select(*COLLISION_COLUMNS[:3], "growth_multiplier", *COLLISION_COLUMNS[3:])
+    return out.select(*COLLISION_COLUMNS[:3], "growth_multiplier", *COLLISION_COLUMNS[3:], "binding_breach_q")
 
 
 def scenario_grid(trend: DataFrame) -> DataFrame:

@@ -19,15 +19,11 @@ from headroom.operators import whatif as H
 from headroom.operators import workflow as G
 from headroom.functions.clean import blank_null, int_value, quarter_label
 from headroom.sources.dirty import DirtyExports
-from headroom.sources.driver import DriverCatalog
+from headroom.sources.driver import AS_OF, AS_OF_Q, DriverCatalog
 from headroom.streaming import intake as S
 
 col = F.col
 
-# Fixed values of the driver plan: backtest cut-offs (run date, first period
-# not yet known) — the last one is the as-of date itself.
-CUTOFFS = [("2001-01-01", 8004), ("2001-04-01", 8005), ("2001-07-01", 8006)]
-
 
 class Plan:
     """Composed operators over one catalog.  Shared parents are built once per
@@ -46,7 +42,7 @@ class Plan:
 
     @cached_property
     def collision(self) -> DataFrame:
-        return P._project_sites(self.trend).select(*P.COLLISION_COLUMNS)
+        return P._project_sites(self.trend).select(*P.COLLISION_COLUMNS, "binding_breach_q")
 
     @cached_property
     def cliff(self) -> DataFrame:
@@ -80,9 +76,8 @@ class Plan:
     def space_collision(self) -> DataFrame:
         c = self.cat
         if self._shared_history:
-            # the last cut-off is the as-of date itself: the current projection
-            last = len(CUTOFFS)
-            return self.space_history.where(col("k") == last).drop("k", "snapshot_date")
+            # the last cut-off is the as-of period itself: the current projection
+            return self.space_history.where(col("cut_q") == AS_OF_Q).drop("cut_q", "snapshot_date")
         return O.space_collision(self.space_demand, c.sites, c.space_types, c.space_capacity)
 
     @property
@@ -90,14 +85,14 @@ class Plan:
         """Queries that need both the current projection and the backtest
         evaluate them in one occupancy pipeline (one pass over the aggregated
         facts, materialised once)."""
-        return self.share_history and CUTOFFS[-1][0] == self.as_of
+        return self.share_history and self.as_of == AS_OF
 
     @cached_property
     def space_history(self) -> DataFrame:
         c = self.cat
-        return c.keep(A.backtest_collision(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
-                                           c.archetype_space_map, c.space_types, c.sites, c.space_capacity,
-                                           CUTOFFS), "space_history")
+        return c.keep(A.forecast_history(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
+                                         c.archetype_space_map, c.space_types, c.sites, c.space_capacity,
+                                         AS_OF_Q), "space_history")
 
     @cached_property
     def time_to_seat(self) -> DataFrame:
@@ -113,12 +108,7 @@ class Plan:
     # F ---------------------------------------------------------------------
     @cached_property
     def snapshots(self) -> DataFrame:
-        if self._shared_history:
-            return A.snapshot_rows(self.space_history)
-        c = self.cat
-        return c.keep(A.backtest_snapshots(c.headcount_snapshots, c.requisition_pipeline, c.archetypes,
-                                           c.archetype_space_map, c.space_types, c.sites, c.space_capacity,
-                                           CUTOFFS), "snapshots")
+        return self.cat.keep(A.snapshot_rows(self.space_history), "snapshots")
 
     @cached_property
     def accuracy(self) -> DataFrame:
@@ -272,7 +262,7 @@ def saved_views(p: Plan) -> dict:
     return {"quality_sq": lambda: p.quality_sq, "cost": lambda: p.cost,
             "headcount_vs_seats": lambda: M.headcount_vs_seats(p.cat.headcount_snapshots, p.cat.sites),
             "capacity_vs_demand": lambda: P.capacity_vs_demand(p.cat.sites, p.cat.production_demand),
-            "collision": lambda: p.collision}
+            "collision": lambda: p.collision.drop("binding_breach_q")}
 
 
 # Shared parents each query reads more than once: these are written once as
@@ -320,7 +310,7 @@ def _delay_by_site(p: Plan) -> DataFrame:
 
 PLANS: dict[str, Callable[[Plan], DataFrame]] = {
     # D — projection
-    "capacity_collision": (lambda p: p.collision),
+    "capacity_collision": (lambda p: p.collision.drop("binding_breach_q")),
     "program_facility_risk": (lambda p: P.program_facility_risk(p.cat.programs, p.cat.sites, p.collision)),
     "lease_cliff": (lambda p: p.cliff),
     "cost_of_delay": (lambda p: p.cost_of_delay),
@@ -335,7 +325,7 @@ PLANS: dict[str, Callable[[Plan], DataFrame]] = {
     "integration_summary": (lambda p: M.integration_summary(p.integration)),
     # E — occupancy
     "space_demand": (lambda p: p.space_demand),
-    "space_collision": (lambda p: p.space_collision),
+    "space_collision": (lambda p: p.space_collision.drop("breach_q")),
     "time_to_seat": (lambda p: p.time_to_seat),
     "plan_reconciliation": (lambda p: p.plan_reconciliation),
     "space_capacity_effective": (lambda p: O.space_capacity_effective(
@@ -343,7 +333,7 @@ PLANS: dict[str, Callable[[Plan], DataFrame]] = {
     "accreditation_pipeline": (lambda p: O.accreditation_pipeline(
         p.cat.accreditation_milestones, p.cat.sites, p.cat.space_types)),
     # F — accountability
-    "forecast_snapshots": (lambda p: p.snapshots),
+    "forecast_snapshots": (lambda p: p.snapshots.drop("predicted_breach_q")),
     "forecast_accuracy": (lambda p: p.accuracy),
     "material_changes": (lambda p: A.material_changes(p.snapshots, p.cat.sites, p.cat.space_types)),
     "incentive_compliance": (lambda p: A.incentive_compliance(
@@ -366,7 +356,7 @@ PLANS: dict[str, Callable[[Plan], DataFrame]] = {
     "brief_decisions": (lambda p: G.brief_decisions(
         G.decision_queue(p.cat.decisions, p.cat.sites, p.cat.space_types, p.as_of))),
     # H — what-if
-    "what_if": (lambda p: H.what_if(p.trend, p.growth_factors)),
+    "what_if": (lambda p: H.what_if(p.trend, p.growth_factors).drop("binding_breach_q")),
     "scenario_grid": (lambda p: H.scenario_grid(p.trend)),
     "relocation": (lambda p: p.relocation),
     "change_impact": (lambda p: H.change_impact(p.trend, p.cat.programs, p.program_changes, _delay_by_site(p))),

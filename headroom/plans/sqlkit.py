@@ -15,16 +15,18 @@ def qlabel(idx: str) -> str:
 
 
 def qindex_label(label: str) -> str:
-    return f"(CAST(substr({label}, 1, 4) AS INTEGER) * 4 + CAST(substr({label}, 7, 1) AS INTEGER) - 1)"
+    return f"(CAST(split_part({label}, '-Q', 1) AS BIGINT) * 4 + CAST(split_part({label}, '-Q', 2) AS BIGINT) - 1)"
 
 
-def qnum_label(label: str) -> str:
-    return f"(CAST(substr({label}, 1, 4) AS INTEGER) * 4 + CAST(substr({label}, 7, 1) AS INTEGER))"
+def qstart(idx: str) -> str:
+    """First day of a period before the year 10000, else null."""
+    return f"CASE WHEN ({idx}) < 40000 THEN make_date(({idx}) // 4, (({idx}) % 4) * 3 + 1, 1) END"
 
 
-def qstart(label: str) -> str:
-    return (f"make_date(CAST(substr({label}, 1, 4) AS INTEGER), "
-            f"(CAST(substr({label}, 7, 1) AS INTEGER) - 1) * 3 + 1, 1)")
+def qstart_day(idx: str) -> str:
+    """Days from 1970-01-01 to a period's first day: whole 400-year cycles of 146097 days, and the day in one."""
+    return (f"((({idx}) // 1600) * 146097 + (make_date(2000 + ((({idx}) // 4) % 400), (({idx}) % 4) * 3 + 1, 1)"
+            f" - DATE '2000-01-01') - 719528)")
 
 
 def trunc_int(x: str) -> str:
@@ -32,6 +34,11 @@ def trunc_int(x: str) -> str:
     return f"CAST(trunc({x}) AS INTEGER)"
 
 
+def trunc_periods(x: str) -> str:
+    """A count of periods, which stays at 2^53 where a double has no neighbouring whole numbers."""
+    return f"CAST(trunc(least({x}, 9007199254740992.0)) AS BIGINT)"
+
+
 def cols(columns) -> str:
     return ",\n  ".join(f"{expr} AS {name}" for name, expr in columns)
 

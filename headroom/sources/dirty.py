@@ -19,7 +19,6 @@ SITE_CODE = "lower(replace(s_name, '#', '-'))"
 
 KNOWN_COLUMNS = [("code", SITE_CODE), ("site_id", "s_suppkey")]
 ALIAS_COLUMNS = [("alias", "'sup' || CAST(s_suppkey AS STRING)"), ("code", SITE_CODE)]
-ALIAS_FILTER = "s_suppkey % 5 = 0"
 
 # headcount rows (from the headcount role) rendered as an HRIS export
 _V = "(site_id + q_index)"
@@ -27,7 +26,7 @@ HRIS_BASE_COLUMNS = [
     ("seq", "site_id * 1000000 + q_index * 10 + archetype_id"),
     ("site_code", f"CASE {_V} % 4 WHEN 0 THEN code WHEN 1 THEN '  ' || upper(code) || ' ' "
                   f"WHEN 2 THEN replace(code, '-', ' ') "
-                  f"ELSE CASE WHEN site_id % 5 = 0 THEN 'SUP' || CAST(site_id AS STRING) ELSE code END END"),
+                  f"ELSE 'SUP' || CAST(site_id AS STRING) END"),
     ("quarter_raw", f"CASE WHEN {_V} % 3 = 0 THEN lpad(CAST((CAST(substr(quarter, 7, 1) AS INT) - 1) * 3 + 2 AS STRING), "
                     f"2, '0') || '/' || substr(quarter, 1, 4) ELSE quarter END"),
     ("program", "archetype"),
@@ -50,7 +49,7 @@ HRIS_ORPHAN_COLUMNS = [
 ]
 HRIS_ORPHAN_FILTER = "(site_id * 7 + q_index) % 13 = 0"
 
-# acquired sites (site_status acquired_integrating) arrive as two raw rows
+# every site also arrives as two raw rows of an acquired-site dump
 _RENT = "(1000000 + s_suppkey * 1000)"
 _CAD_RENT = "(1370000 + s_suppkey * 1370)"
 
@@ -82,7 +81,6 @@ ACQ_CAD_COLUMNS = [
     ("op_ex", "''"),
     ("currency", "'cad'"),
 ]
-ACQ_FILTER = "s_suppkey % 10 = 1"
 
 
 # space capacity rows rendered as an export; blank status means 'confirmed'
@@ -120,7 +118,7 @@ class DirtyExports:
 
     @cached_property
     def aliases(self) -> DataFrame:
-        return _select(self.cat.raw("supplier").where(F.expr(ALIAS_FILTER)), ALIAS_COLUMNS)
+        return _select(self.cat.raw("supplier"), ALIAS_COLUMNS)
 
     @cached_property
     def hris(self) -> DataFrame:
@@ -142,5 +140,5 @@ class DirtyExports:
 
     @cached_property
     def acquired_dump(self) -> DataFrame:
-        s = self.cat.supplier_geo.where(F.expr(ACQ_FILTER))
+        s = self.cat.supplier_geo
         return _select(s, ACQ_USD_COLUMNS).unionByName(_select(s, ACQ_CAD_COLUMNS))

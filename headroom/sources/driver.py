@@ -27,6 +27,7 @@ from headroom.session import materialize
 AS_OF = "2001-07-01"
 DEMAND_FROM = "0001-01-01"      # ship-date window for demand, headcount, leases
 DEMAND_TO = "2001-07-01"        # exclusive
+AS_OF_Q = 2001 * 4 + 2          # the as-of date's period: facts before it are known
 REQ_FROM = "0001-01-01"         # order-date window for open requisitions
 ACTION_FROM = "0001-01-01"      # order-date window for actions and decisions
 
@@ -116,7 +117,6 @@ SPACE_CAPACITY_COLUMNS = [
     ("capacity_status", "CASE WHEN (s_suppkey + space_type_id) % 7 = 0 THEN 'audit_pending' "
                         "WHEN (s_suppkey + space_type_id) % 7 = 1 THEN 'planned' ELSE 'confirmed' END"),
 ]
-SPACE_CAPACITY_FILTER = "(s_suppkey + space_type_id) % 9 <> 0"
 
 ACTION_COLUMNS = [
     ("action_id", "o_orderkey"),
@@ -156,7 +156,6 @@ INCENTIVE_COLUMNS = [
     ("measurement_date", "DATE '2001-05-01' + CAST((s_suppkey * 13) % 500 AS INT)"),
     ("clawback_risk_usd", "CAST(50000 + (s_suppkey % 10) * 10000 AS DECIMAL(18,2))"),
 ]
-INCENTIVE_FILTER = "s_suppkey % 3 = 0"
 
 COHORT_COLUMNS = [
     ("cohort_id", "s_suppkey * 10 + archetype_id"),
@@ -169,7 +168,6 @@ COHORT_COLUMNS = [
     ("badge_ready", "CASE WHEN (s_suppkey + 2 * archetype_id) % 7 = 0 THEN 0 ELSE 1 END"),
     ("parking_ready", "CASE WHEN (s_suppkey + archetype_id) % 2 = 0 THEN 1 ELSE 0 END"),
 ]
-COHORT_FILTER = "(s_suppkey + archetype_id) % 4 = 0"
 
 MILESTONE_COLUMNS = [
     ("milestone_id", "(site_id * 10 + space_type_id) * 10 + stage_no"),
@@ -195,7 +193,6 @@ PROGRAM_COLUMNS = [
     ("kw_per_unit", "CAST(1 + s_suppkey % 5 AS DOUBLE)"),
     ("sqft_per_unit", "CAST(10 + s_suppkey % 9 AS DOUBLE)"),
 ]
-PROGRAM_FILTER = "s_suppkey % 4 = 1"
 
 
 def _select(df: DataFrame, columns) -> DataFrame:
@@ -380,19 +377,17 @@ class DriverCatalog:
     @cached_property
     def space_capacity(self) -> DataFrame:
         ids = F.array(*[F.lit(r[0]) for r in SPACE_TYPES])
-        df = (self.raw("supplier").select("s_suppkey", F.explode(ids).alias("space_type_id"))
-              .where(F.expr(SPACE_CAPACITY_FILTER)))
+        df = self.raw("supplier").select("s_suppkey", F.explode(ids).alias("space_type_id"))
         return _select(df, SPACE_CAPACITY_COLUMNS)
 
     @cached_property
     def incentive_agreements(self) -> DataFrame:
-        return _select(self.supplier_geo.where(F.expr(INCENTIVE_FILTER)), INCENTIVE_COLUMNS)
+        return _select(self.supplier_geo, INCENTIVE_COLUMNS)
 
     @cached_property
     def onboarding_cohorts(self) -> DataFrame:
         ids = F.array(*[F.lit(a) for a, _ in ARCHETYPES])
-        df = (self.raw("supplier").select("s_suppkey", F.explode(ids).alias("archetype_id"))
-              .where(F.expr(COHORT_FILTER)))
+        df = self.raw("supplier").select("s_suppkey", F.explode(ids).alias("archetype_id"))
         return _select(df, COHORT_COLUMNS).withColumn("start_quarter", q_label("start_q_index")).drop("start_q_index")
 
     @cached_property
@@ -405,4 +400,4 @@ class DriverCatalog:
 
     @cached_property
     def programs(self) -> DataFrame:
-        return _select(self.raw("supplier").where(F.expr(PROGRAM_FILTER)), PROGRAM_COLUMNS)
+        return _select(self.raw("supplier"), PROGRAM_COLUMNS)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headroom.operators.accountability import snapshot_rows
+
 col = F.col
 
 
@@ -36,11 +38,7 @@ def append_snapshot(space_collision: DataFrame, run_date: str, path: str) -> Dat
     """A3: replace this run date's predictions (partition overwrite) with the
     current (site, space, breach, util) rows whose utilisation is known.
     Idempotent per date.  Returns the rows written."""
-    rows = (space_collision.where(col("current_util_pct").isNotNull())
-            .select((col("site_id") * 10 + col("space_type_id")).alias("snapshot_id"), "site_id", "space_type_id",
-                    col("breach_quarter").alias("predicted_breach_quarter"),
-                    col("current_util_pct").alias("predicted_util_pct"),
-                    F.lit(run_date).cast("date").alias("snapshot_date")))
+    rows = snapshot_rows(space_collision.withColumn("snapshot_date", F.lit(run_date).cast("date")))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("snapshot_date").parquet(path))
     return rows

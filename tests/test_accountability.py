@@ -78,3 +78,40 @@ def test_shared_history_equals_direct_projection(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     s1, s2 = shared.snapshots, direct.snapshots
     assert s1.exceptAll(s2).count() == 0 and s2.exceptAll(s1).count() == 0
+
+
+def test_running_trend_equals_a_fresh_run_at_every_cut_off(spark):
+    """Every period's snapshot equals the projection over only the facts recorded before it."""
+    import random
+    from headroom.operators.projection import endpoint_trend
+    rnd = random.Random(13)
+    arch = spark.createDataFrame([(1, "a"), (2, "b")], "archetype_id int, name string")
+    ratio = spark.createDataFrame([(1, 1, 0.5), (1, 2, 1.0), (2, 1, 0.25)], "archetype_id int, space_type_id int, ratio double")
+    st = spark.createDataFrame([(k, f"t{k}", "seat", 90, 0, 60, 85) for k in (1, 2)], ST)
+    hc = [(s, 8000 + q, a, rnd.randint(0, 40)) for s in range(1, 9) for q in range(12) for a in "ab" if rnd.random() < 0.4 and s != 4]
+    rq = [(s, a, 8000 + q, rnd.randint(1, 9), rnd.choice([0, 1, 91, 300, 900])) for s in range(1, 9) for q in range(12) for a in (1, 2)
+          if rnd.random() < 0.4 and s != 5]
+    headcount = spark.createDataFrame(hc, "site_id long, q_index int, archetype string, headcount int")
+    reqs = spark.createDataFrame(rq, "site_id long, archetype_id int, q_index int, open_reqs int, avg_time_to_fill_days int")
+    until = 8014
+    got = {(r.site_id, r.space_type_id, r.cut_q): (r.first_q, r.last_q, r.first_demanded_units, r.last_demanded_units,
+                                                   r.growth_demanded_units)
+           for r in O.running_trend(O.space_events(headcount, reqs, arch, ratio), until).collect()}
+    want = {}
+    for cut in range(8000, until + 1):
+        d = O.space_demand(headcount.where(f"q_index < {cut}"), reqs.where(f"q_index < {cut}"), arch, ratio, st)
+        for r in endpoint_trend(d, ["site_id", "space_type_id"], "q_index", ["demanded_units"]).collect():
+            want[r.site_id, r.space_type_id, cut] = (r.first_q, r.last_q, r.first_demanded_units, r.last_demanded_units,
+                                                     r.growth_demanded_units)
+    assert got == want and len(got) > 100
+
+
+def test_history_has_every_quarter_and_reads_each_fact_once(spark):
+    from headroom.plans.registry import Plan
+    from headroom.sources.driver import DriverCatalog
+    p = Plan(DriverCatalog(spark, "/root/testdata/sf0.001", materialize=False))
+    plan = p.snapshots._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 * 3 + 4        # two fact pipelines of three tables, and sites and capacity
+    days = [r[0] for r in p.snapshots.select("snapshot_date").distinct().orderBy("snapshot_date").collect()]
+    assert len(days) > 20 and all((b - a).days in (90, 91, 92) for a, b in zip(days, days[1:]))
+    assert p.snapshots.count() == p.snapshots.select("snapshot_id").distinct().count()

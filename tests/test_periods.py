@@ -31,3 +31,19 @@ def test_month_year_quarters(spark, pairs):
            .select(quarter_label(F.col("x")).alias("q")).collect()]
     want = [f"{y}-Q{(m - 1) // 3 + 1}" for m, y in pairs] * 2
     assert got == want
+
+
+def test_five_digit_years_and_day_counts(spark):
+    """Labels of any year parse back; day counts hold past what a date column carries."""
+    import datetime
+    from headroom.functions.period import q_first_date, q_index_of_label, q_label, q_start_day
+    rows = [(y * 4 + q,) for y in (1, 1600, 1899, 1900, 1970, 2000, 2023, 2024, 9999, 21687, 2 ** 50) for q in range(4)]
+    df = spark.createDataFrame(rows, "i long").select("i", q_label("i").alias("label"), q_first_date("i").alias("d"),
+                                                      q_start_day("i").alias("n"))
+    for r in df.select("*", q_index_of_label("label").alias("back")).collect():
+        year, q = divmod(r["i"], 4)
+        assert r["back"] == r["i"] and r["label"] == f"{year}-Q{q + 1}"
+        cycles = max(0, (year - 2000) // 400)                    # the calendar repeats every 400 years of 146097 days
+        day = datetime.date(year - 400 * cycles, 3 * q + 1, 1)
+        assert r["n"] == (day - datetime.date(1970, 1, 1)).days + cycles * 146097
+        assert r["d"] == (datetime.date(year, 3 * q + 1, 1) if year < 10000 else None)

@@ -117,3 +117,28 @@ def test_change_impact_isolates_the_program_site(spark):
     assert (double.site_id, double.growth_multiplier) == (1, 2.0)
     assert (double.breach_before, double.breach_after) == ("2027-Q4", "2027-Q2")
     assert (double.cost_of_delay_before, double.cost_of_delay_after, double.changed) == (5000.0, 3000.0, True)
+
+
+def test_breaches_thousands_of_years_ahead(spark):
+    """A growth so small that the wall lies past the year 9999, and one with more than 2^31 (and 2^53) periods."""
+    import datetime
+    from headroom.functions.projection import FARTHEST
+    from headroom.operators.projection import lease_cliff
+    from headroom.operators.workflow import alert_feed, at_risk_sites
+    from headroom.operators import whatif as H
+    rows = [(1, "far", "ASIA", 1000, None, 8005, 50.0, 0.01, 1.0, 0.0), (2, "farther", "ASIA", 1000, None, 8005, 50.0, 1e-9, 1.0, 0.0),
+            (3, "farthest", "ASIA", 1000, None, 8005, 50.0, 1e-300, 1.0, 0.0)]
+    trend = spark.createDataFrame(rows, "site_id long, site_name string, region string, available_sqft long, available_kw long, "
+                                        "last_q int, last_sqft double, growth_sqft double, last_kw double, growth_kw double")
+    coll = H.what_if(trend)
+    got = {r.site_id: r for r in coll.collect()}
+    assert got[1].quarters_to_wall == 80000 and got[1].binding_breach_quarter == "22001-Q2"
+    assert abs(got[2].quarters_to_wall - 800000000000) <= 1 and got[3].quarters_to_wall == FARTHEST
+    sites = spark.createDataFrame([(k, r[1], datetime.date(2002, 1, 1), datetime.date(2001, 12, 1)) for k, r in enumerate(rows, 1)],
+                                  "site_id long, site_name string, lease_expiration_date date, lease_option_deadline date")
+    cliff = lease_cliff(sites, coll.drop("binding_breach_q"))          # the label is all this frame carries
+    c = {r.site_id: r for r in cliff.collect()}
+    assert all(r.cliff_status == "ok" and r.breach_date is None for r in c.values())
+    cycles = (22001 - 2001) // 400
+    assert c[1].decision_window_days == cycles * 146097 + (datetime.date(2001, 4, 1) - datetime.date(2001, 12, 1)).days
+    assert alert_feed(at_risk_sites(coll, cliff), coll, cliff, H.relocation(trend, H.adjacency_frame(spark, {}))).count() == 0

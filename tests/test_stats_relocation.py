@@ -97,3 +97,24 @@ def test_hot_site_third_of_rows(spark):
         assert got[s] == (last, qs[last], growth)
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan
+
+
+def test_exact_median_all_values_distinct(spark):
+    """More distinct values than are ranked at once, so rounds of sub-bracket counts decide; no ordered window."""
+    from headroom.operators import stats
+    rnd = random.Random(11)
+    vals = [rnd.uniform(-1, 1) * 10 ** rnd.randint(-9, 9) for _ in range(4001)]
+    df = spark.createDataFrame([(v,) for v in vals] + [(float("nan"),), (None,)], "v double").repartition(5)
+    want = sorted(vals)
+    ranks = [0, 1, 1999, 2000, 3999, 4000]
+    assert stats.order_statistics(df, "v", lambda n: ranks, few=7) == [want[k] for k in ranks]
+    assert stats.exact_median(df, "v").collect()[0][0] == statistics.median(vals)
+    plan = stats.exact_median(df, "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_order_statistics_of_repeated_values(spark):
+    from headroom.operators import stats
+    vals = [1.0] * 500 + [2.0] * 3 + [3.0 + k for k in range(300)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    assert stats.order_statistics(df, "v", lambda n: [0, 499, 500, 502, 503, n - 1], few=2) == [1.0, 1.0, 2.0, 2.0, 3.0, 302.0]
