@@ -6,6 +6,7 @@ from .fingerprint import op6_fingerprints
 from .html import op4_html
 from .licenses import op10_licenses
 from .lines import op9_lines
+from .merkle import op13_manifest
 from .neardup import op7_minhash
 from .packing import op1_packing
 from .pieces import op2_sentencepiece
@@ -14,7 +15,8 @@ from .toxicity import op5_toxicity
 from .vectors import op3_embeddings
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_embeddings, op4_html, op5_toxicity, op6_fingerprints,
-                                 op7_minhash, op8_secrets, op9_lines, op10_licenses)}
+                                 op7_minhash, op8_secrets, op9_lines, op10_licenses,
+                                 op13_manifest)}
 
 OP3_SQL = """
 WITH RECURSIVE v AS (
@@ -52,4 +54,55 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, low.component_id, d.doc_id = lo
 FROM documents d LEFT JOIN n USING (doc_id) JOIN low ON low.a = d.doc_id
 """
 
-ORACLES = {"op3_embeddings": OP3_SQL, "op7_minhash": OP7_SQL}
+_CRC32 = """list_reduce(list_transform(range(1, len({0}) + 1), lambda i: CAST(ascii(substr({0}, CAST(i AS BIGINT), 1)) AS BIGINT)),
+  lambda a, b: list_reduce(range(0, 8), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)),
+  4294967295::BIGINT)"""
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}"))
+
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, sha256({_LEAF.format("text")}) AS leaf,
+    CASE WHEN xor({_CRC32.format("CAST(doc_id AS VARCHAR)")}, 4294967295) % 5 = 0
+         THEN sha256({_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS claimed
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    (SELECT count(*) FROM (SELECT DISTINCT source FROM documents)) AS trees, row_number() OVER () AS id FROM leaves
+), node(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM node WHERE n > 1
+  GROUP BY tree, level, pos // 16, n
+), up(level, pos, h, n) AS (
+  SELECT 0, tree, h, (SELECT max(trees) FROM placed) FROM node WHERE n = 1
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY level, pos // 16, n
+), run AS (
+  SELECT tree, level, pos // 16 AS parent, list(h ORDER BY pos) AS hs FROM node WHERE n > 1 GROUP BY tree, level, pos // 16
+), uprun AS (
+  SELECT level, pos // 16 AS parent, list(h ORDER BY pos) AS hs FROM up WHERE n > 1 GROUP BY level, pos // 16
+), step AS (
+  SELECT p.id, r.level, r.hs, (p.pos // CAST(16 ** r.level AS BIGINT)) % 16 AS place
+  FROM placed p JOIN run r ON r.tree = p.tree AND r.parent = p.pos // CAST(16 ** (r.level + 1) AS BIGINT)
+  UNION ALL
+  SELECT p.id, 1000 + r.level, r.hs, (p.tree // CAST(16 ** r.level AS BIGINT)) % 16
+  FROM placed p JOIN uprun r ON r.parent = p.tree // CAST(16 ** (r.level + 1) AS BIGINT)
+), steps AS (
+  SELECT id, list({{'hs': hs, 'place': place}} ORDER BY level) AS way FROM step GROUP BY id
+), proof AS (
+  SELECT p.*, coalesce(way, []) AS way FROM placed p LEFT JOIN steps USING (id)
+), folded(id, k, h, way) AS (
+  SELECT id, 0, coalesce(claimed, leaf), way FROM proof
+  UNION ALL
+  SELECT id, k + 1, sha256(array_to_string(list_transform(way[k + 1].hs, lambda x, i: CASE WHEN i = way[k + 1].place + 1 THEN h ELSE x END), '')), way
+  FROM folded WHERE k < len(way)
+), last AS (SELECT id, h FROM folded WHERE k = len(way))
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root,
+  sha256(array_to_string(flatten(list_transform(way, lambda w: list_filter(w.hs, lambda x, i: i <> w.place + 1))), '')) AS proof_sha256,
+  last.h AS folded_root, last.h = t.h AS verified
+FROM proof JOIN last USING (id) JOIN (SELECT tree, h FROM node WHERE n = 1) s USING (tree), (SELECT h FROM up WHERE n = 1) t
+"""
+
+ORACLES = {"op3_embeddings": OP3_SQL, "op7_minhash": OP7_SQL, "op13_manifest": OP13_SQL}
