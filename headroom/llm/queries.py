@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprint import op6_fingerprints
 from .html import op4_html
+from .language import op12_language
 from .licenses import op10_licenses
 from .lines import op9_lines
 from .merkle import op13_manifest
@@ -11,12 +12,13 @@ from .neardup import op7_minhash
 from .packing import op1_packing
 from .pieces import op2_sentencepiece
 from .secrets import op8_secrets
+from .spelling import op11_spelling
 from .toxicity import op5_toxicity
 from .vectors import op3_embeddings
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_embeddings, op4_html, op5_toxicity, op6_fingerprints,
                                  op7_minhash, op8_secrets, op9_lines, op10_licenses,
-                                 op13_manifest)}
+                                 op11_spelling, op12_language, op13_manifest)}
 
 OP3_SQL = """
 WITH RECURSIVE v AS (
@@ -105,4 +107,36 @@ SELECT doc_id, leaf, s.h AS subroot, t.h AS root,
 FROM proof JOIN last USING (id) JOIN (SELECT tree, h FROM node WHERE n = 1) s USING (tree), (SELECT h FROM up WHERE n = 1) t
 """
 
-ORACLES = {"op3_embeddings": OP3_SQL, "op7_minhash": OP7_SQL, "op13_manifest": OP13_SQL}
+# Two words are near if leaving out one letter of the longer, or one at the same place of both, makes them equal.
+_BYTES = "list_transform(range(0, strlen({0})), lambda i: CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+_CRC_OF = """xor(list_reduce({0}, lambda a, b: list_reduce(range(0, 8), lambda x, k: xor(x >> 1,
+  CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)), 4294967295::BIGINT), 4294967295)"""
+OP11_SQL = f"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS c, CAST(doc_id AS VARCHAR) || ':' || run AS k FROM found GROUP BY ALL
+), summed AS (SELECT *, {_CRC_OF.format(_BYTES.format("k"))} AS h FROM counted
+), typed AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM summed
+), words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), cut AS (
+  SELECT word, place, substr(word, 1, place - 1) || substr(word, place + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS place FROM words)
+), near AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.place = b.place AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.rest
+), best AS (
+  SELECT x.word, count(*) AS n_near, arg_min(near, (-v.n, near)) AS near, max(v.n) AS near_n
+  FROM near x JOIN words v ON v.word = x.near GROUP BY x.word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form,
+    CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word
+), follow(word, reached, k) AS (
+  SELECT word, word, 0 FROM formed UNION ALL SELECT f.word, g.form, k + 1 FROM follow f JOIN formed g ON g.word = f.reached WHERE g.form IS NOT NULL
+)
+SELECT f.word, form, (SELECT arg_max(reached, k) FROM follow w WHERE w.word = f.word) AS root, n, n_near, form_n FROM formed f
+"""
+
+ORACLES = {"op3_embeddings": OP3_SQL, "op7_minhash": OP7_SQL, "op11_spelling": OP11_SQL, "op13_manifest": OP13_SQL}
