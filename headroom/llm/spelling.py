@@ -7,8 +7,9 @@ they are read off the word; at each place they branch into a replaced, an insert
 edit goes on only along edges that match.  A state whose word is used up at a node that is a word is a pair of neighbours.
 
 A word branches in its second half only, once in the trie of the words and once in that of the reversed words: an edit lies in one
-of the halves, and the branches start at deep nodes with few children instead of at the root, which all words would share.  Edges carry
-which lengths and which last letters occur below them, so a state that cannot end is dropped at once.
+of the halves, and the branches start at deep nodes with few children instead of at the root, which all words would share.  An edge has a row for
+every exit below it (length and last ``TAIL`` letters of a word there), and a state, whose neighbour's exit is known from its own word, follows
+only the edges with that exit, so that nearly all states end as neighbours.
 
 Scale: words are counted with partial sums per task; the frontier grows with the words times their branches, every level is one join on the
 node and written to the shared folder; there are as many levels as the longest word has letters, at most ``LONG``.
@@ -22,6 +23,7 @@ ties between forms go to the smallest word in code-point order; an empty table h
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,17 +32,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headroom.session import ensure_checkpoint_dir
+
 from .common import read_table, stored
 
 RUN = re.compile("[a-zÀ-ÿ]+")
-LOWER = {upper: upper + 32 for upper in range(65, 91)}
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LEAST_LETTERS, LEAST_COUNT = 5, 3
 #: One occurrence in so many, by checksum, loses a letter.
 TYPO = 97
-#: Longest word of the tries; a length mask has a bit for every length up to one more.
-LONG = 32
+#: Longest word of the tries, and the letters of an exit.
+LONG, TAIL = 32, 3
+EDGE = "way int, node string, ch string, goal int, exit string, depth int"
 #: Words counted in memory before a task hands them on.
-HELD = 200_000
+HELD = 400_000
 
 col = F.col
 
@@ -49,7 +54,7 @@ col = F.col
 
 def runs_of(text: str, doc_id: int | None) -> Counter:
     """Counts of the lower-cased letter runs of a text, with the deletions that the checksum orders."""
-    found = Counter(RUN.findall(text.translate(LOWER)))
+    found = Counter(RUN.findall(text.encode().translate(LOWER).decode()))
     if doc_id is None:
         return found
     start, out = zlib.crc32(f"{doc_id}:".encode()), Counter()
@@ -63,7 +68,7 @@ def runs_of(text: str, doc_id: int | None) -> Counter:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    held: dict[str, int] = {}
 
     def out():
         batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
@@ -74,7 +79,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for doc_id, text in zip(batch.column(0), batch.column(1)):
             for word, count in runs_of(text.as_py() or "", doc_id.as_py()).items():
                 if len(word) >= LEAST_LETTERS:
-                    held[word] += count
+                    held[word] = held.get(word, 0) + count
             if len(held) > HELD:
                 yield out()
     yield out()
@@ -93,82 +98,80 @@ def _at(place) -> Column:
     return F.substring(col("word"), place + 1, F.lit(1))
 
 
-def _bit(number: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), number.cast("int"))
-
-
-def _tail(word: str = "word") -> Column:
-    """Bit of a word's last two letters."""
-    return _bit(F.pmod(F.crc32(F.encode(F.right(word, F.lit(2)), "UTF-8")), F.lit(64)))
-
-
-def _has(mask: str, bit: Column) -> Column:
-    return col(mask).bitwiseAND(bit) != 0
-
-
 def _oriented(words: DataFrame) -> DataFrame:
-    """Every word forwards and backwards with its length, the place from which it branches, and its tail."""
-    length = F.char_length("word")
-    both = words.select(F.lit(0).alias("way"), "word", length.alias("size"), F.call_function("div", length, F.lit(2)).alias("start"))
+    """Every word forwards and backwards with its length, the place from which it branches, and its last letters."""
+    length = F.char_length("word").cast("int")
+    half = F.call_function("div", length, F.lit(2)).cast("int")
+    both = words.select(F.lit(0).alias("way"), "word", length.alias("size"), half.alias("start"))
     back = both.select(F.lit(1).alias("way"), F.reverse("word").alias("word"), "size", (col("size") - col("start")).alias("start"))
-    both = both.unionByName(back)
-    return both.select("way", "word", col("size").cast("int").alias("size"), col("start").cast("int").alias("start"), _tail().alias("tail"))
+    return both.unionByName(back).withColumn("last", F.right("word", F.lit(TAIL)))
+
+
+def _exit(goal: Column, depth: Column) -> Column:
+    """The last letters of a word of length ``goal``, where all of them come after the edge at ``depth``."""
+    return F.when(goal - depth - 1 >= TAIL, col("last")).otherwise("")
 
 
 def _edges(oriented: DataFrame, first: int) -> DataFrame:
-    """``depth, way, node, ch`` from depth ``first`` down, with the lengths and tails of the words below."""
-    steps = oriented.where(col("size") > first).select("way", "word", "size", "tail", F.explode(F.sequence(F.lit(first), col("size") - 1)).alias("depth"))
-    return (steps.select("depth", "way", F.substring(col("word"), F.lit(1), col("depth")).alias("node"), _at(col("depth")).alias("ch"),
-                         _bit(col("size")).alias("sizes"), "tail")
-            .groupBy("depth", "way", "node", "ch").agg(F.bit_or("sizes").alias("sizes"), F.bit_or("tail").alias("tails")))
+    """``depth, way, node, ch, goal, exit`` from depth ``first`` down: an edge once per exit."""
+    steps = oriented.where(col("size") > first).select("way", "word", "size", "last", F.explode(F.sequence(F.lit(first), col("size") - 1)).alias("depth"))
+    return steps.select("depth", "way", F.substring(col("word"), F.lit(1), col("depth")).alias("node"), _at(col("depth")).alias("ch"),
+                        col("size").alias("goal"), _exit(col("size"), col("depth")).alias("exit")).distinct()
 
 
 def _level(own: DataFrame, carried: DataFrame | None, edges: DataFrame, depth: int) -> DataFrame:
-    """The states after level ``depth``: ``way, word, size, at`` (letters used up), ``node, goal`` (the neighbour's length), ``done``."""
-    d = F.lit(depth)
-    state = ["way", "word", "size", "at", "node", "goal"]
-    letter = _at(d)
-    joined = own.join(edges, ["way", "node"])
-    fits = lambda goal, left: _has("sizes", _bit(goal)) & ((left < 2) | _has("tails", col("tail")))      # noqa: E731
-    replaced = F.when((col("size") > d) & (col("ch") != letter) & fits(col("size"), col("size") - d - 1),
-                      F.struct((d + 1).alias("at"), col("size").alias("goal")))
-    inserted = F.when(((col("size") == d) | (col("ch") != letter)) & fits(col("size") + 1, col("size") - d),
-                      F.struct(d.alias("at"), (col("size") + 1).alias("goal")))
-    branched = (joined.select("way", "word", "size", F.concat("node", "ch").alias("node"), F.explode(F.filter(F.array(replaced, inserted), lambda s: s.isNotNull())).alias("s"))
-                .select("way", "word", "size", "s.at", "node", "s.goal"))
-    # the last of a run of equal letters stands for the run
-    deleted = own.where((col("size") > d) & ((col("size") == d + 1) | (_at(d + 1) != letter))).select(
-        "way", "word", "size", (d + 1).alias("at"), "node", (col("size") - 1).alias("goal"))
-    pending = deleted if carried is None else deleted.unionByName(carried.select(*state))
-    ended = pending.where(col("at") == col("size"))
-    matched = (pending.where(col("at") < col("size")).withColumn("ch", _at(col("at"))).join(edges, ["way", "node", "ch"])
-               .where(_has("sizes", _bit(col("goal"))))
-               .select("way", "word", "size", (col("at") + 1).alias("at"), F.concat("node", "ch").alias("node"), "goal"))
-    # a deleted last letter ends on this level; all else that is used up now needs no further level
-    out = branched.unionByName(matched).select(*state, (col("at") == col("size")).alias("done"))
-    return out.unionByName(ended.select(*state, F.lit(True).alias("done")))
+    """The states after level ``depth``: ``way, word, size, last, at`` (letters used up), ``node, goal`` (the neighbour's length)."""
+    d, size, letter = F.lit(depth), col("size"), _at(F.lit(depth))
+    none = F.lit(None).cast("string")
+
+    def step(possible: Column, at: Column, goal: Column, wanted: Column, other: Column) -> Column:
+        return F.when(possible, F.struct(at.cast("int").alias("at"), goal.cast("int").alias("goal"), wanted.alias("wanted"), other.alias("other")))
+
+    # a letter is replaced by another, or one is put in; of a run of equal letters the last stands for the run, so neither a letter
+    # equal to the next one is put in nor one before its equal left out.  Leaving one out uses no edge, so its next letter is asked for.
+    steps = F.array(step(size > d, d + 1, size, none, letter), step(size >= d, d, size + 1, none, F.when(size > d, letter)),
+                    step((size > d + 1) & (_at(d + 1) != letter), d + 2, size - 1, _at(d + 1), none))
+    asked = own.select("way", "word", "size", "last", "node", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("x")).select(
+        "way", "word", "size", "last", "node", "x.*")
+    if carried is not None:
+        asked = asked.unionByName(carried.select("way", "word", "size", "last", "node", (col("at") + 1).alias("at"), "goal", _at(col("at")).alias("wanted"),
+                                                 none.alias("other")))
+    asked = asked.withColumn("exit", _exit(col("goal"), d))
+    went = asked.join(edges, ["way", "node", "goal", "exit"]).where(
+        (col("wanted").isNull() | (col("ch") == col("wanted"))) & (col("other").isNull() | (col("ch") != col("other"))))
+    went = went.select("way", "word", "size", "last", "at", F.concat("node", "ch").alias("node"), "goal")
+    ends = own.where(size == d + 1).select("way", "word", "size", "last", (d + 1).alias("at"), "node", (size - 1).alias("goal"))
+    return went.unionByName(ends)
 
 
 def _near_by_trie(words: DataFrame) -> DataFrame:
     short = words.where(F.char_length("word") <= LONG).select("word")
     oriented = stored(_oriented(short))
     least, most = oriented.agg(F.min("start"), F.max("size")).first()
-    empty = words.select("word", col("word").alias("near")).where("false")
+    pairs, carried = words.select("word", col("word").alias("near")).where("false"), None
     if least is None:
-        return empty
-    edges = stored(_edges(oriented, least))
-    pairs, carried = empty, None
+        return pairs
+    edges = oriented.sparkSession.read.schema(EDGE).parquet(_by_depth(_edges(oriented, least)))
     for depth in range(least, most + 1):
         own = (oriented.where((col("start") <= depth) & (col("size") >= depth))
                .withColumn("node", F.substring(col("word"), F.lit(1), F.lit(depth))))
         states = stored(_level(own, carried, edges.where(col("depth") == depth).drop("depth"), depth))
-        carried = states.where(~col("done"))
-        ended = states.where("done").select(F.when(col("way") == 1, F.reverse("word")).otherwise(col("word")).alias("word"),
-                                            F.when(col("way") == 1, F.reverse("node")).otherwise(col("node")).alias("near"))
+        carried = states.where(col("at") < col("size"))
+        ended = states.where(col("at") == col("size")).select(
+            F.when(col("way") == 1, F.reverse("word")).otherwise(col("word")).alias("word"),
+            F.when(col("way") == 1, F.reverse("node")).otherwise(col("node")).alias("near"))
         pairs = pairs.unionByName(ended)
     return pairs.join(short.select(col("word").alias("near")), "near", "left_semi").select("word", "near").distinct()
 
 
+def _by_depth(edges: DataFrame) -> str:
+    """Folder of the edges, one part per level, so that a level reads its own."""
+    spark = edges.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/headroom-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    edges.write.partitionBy("depth").parquet(path)
+    return path
+
+
 # --- words too long for a trie --------------------------------------------------------------
 
 def _near_by_halving(words: DataFrame) -> DataFrame:
@@ -177,12 +180,14 @@ def _near_by_halving(words: DataFrame) -> DataFrame:
     word of the fitting role has the same length and text outside; ranges are halved until they hold one place."""
     long = stored(words.where(F.char_length("word") >= LONG).select("word", F.char_length("word").cast("int").alias("size")))
     most = long.agg(F.max("size")).first()[0]
+    if most is None:
+        return words.select("word", col("word").alias("near")).where("false")
     size = col("size")
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(0).alias("low"), high.alias("high"), goal.alias("goal"))
                       for r, high, goal in (("r", size, size), ("d", size, size - 1), ("s", size + 1, size))])
     states = long.select("word", "size", F.explode(roles).alias("x")).select("word", "x.*")
     span = 1
-    while most is not None and span < most + 1:
+    while span < most + 1:
         span *= 2
 
     def outside(low: Column, high: Column) -> Column:
@@ -198,7 +203,7 @@ def _near_by_halving(words: DataFrame) -> DataFrame:
         met = met.where(((col("kind") == "r") & (col("a") != col("b"))) | ((col("kind") == "i") & (col("ra") != col("rb")))).select(*keys)
         return df.join(met, keys, "left_semi").drop("kind", "rest")
 
-    while most is not None and span > 1:
+    while span > 1:
         span //= 2
         halves = F.array(F.struct("low", F.least("high", col("low") + span).alias("high")), F.struct((col("low") + span).alias("low"), "high"))
         states = states.select("word", "role", "goal", F.explode(halves).alias("x")).select("word", "role", "goal", "x.*").where("low < high")
