@@ -7,6 +7,7 @@ text.  A filter the domain does not offer is an error, not silently ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -46,3 +47,35 @@ def saved_query(views: dict[str, Callable[[], DataFrame]], domain: str, filters:
             raise ValueError(f"invalid view name {promote!r}")
         df.createOrReplaceTempView(promote)
     return df
+
+
+#: Stored definitions: a saved query by its name.
+DEFINITION = "name string, domain string, filters string"
+
+
+def promote(store, views: dict[str, Callable[[], DataFrame]], name: str, domain: str, filters: dict[str, str] | None = None) -> None:
+    """Keep a saved query for good: its definition is validated as ``saved_query`` does and put under its name (replacing
+    one of that name) in the table ``saved_queries`` of a ``TableStore``, and the view exists in this session."""
+    df = saved_query(views, domain, filters)
+    if not VIEW_NAME.match(name):
+        raise ValueError(f"invalid view name {name!r}")
+    row = df.sparkSession.createDataFrame([(name, domain, json.dumps(filters or {}, sort_keys=True))], DEFINITION)
+
+    def work(now: dict) -> dict:
+        kept = store.read("saved_queries", now)
+        rows = row if kept is None else kept.where(F.col("name") != name).unionByName(row)
+        return {**now, "saved_queries": [store.put("saved_queries", rows)]}
+
+    store.change(work)
+    df.createOrReplaceTempView(name)
+
+
+def load_promoted(store, views: dict[str, Callable[[], DataFrame]]) -> dict[str, str]:
+    """Make every stored definition a view of this session; returns ``{name: reason}`` of those that are not valid (any more)."""
+    kept, failed = store.read("saved_queries"), {}
+    for row in [] if kept is None else kept.collect():           # one small row per promoted query
+        try:
+            saved_query(views, row["domain"], json.loads(row["filters"]), promote=row["name"])
+        except ValueError as e:
+            failed[row["name"]] = str(e)
+    return failed

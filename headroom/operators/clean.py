@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from headroom.functions.clean import code_key, code_slug, int_value, money, raw_json
 from headroom.functions.numeric import round_half_up
 from headroom.operators.workflow import dense_ids
+from headroom.session import materialize
 
 col = F.col
 
@@ -131,6 +132,37 @@ def with_surrogate_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return dense_ids(df, order, F.lit(0)).withColumnRenamed("_id", name)
 
 
+def lasting_ids(store, df: DataFrame, keys: list[str], name: str, table: str) -> DataFrame:
+    """B12 with memory: ``df`` with an id per key that stays the key's for good.  ``table`` of a ``TableStore`` holds ``keys, name``; keys that
+    it lacks get the next block of ids in key order, and a run that loses the commit to another numbers only what is still missing.
+    Null key values are values like others."""
+    wanted = materialize(df.select(*keys).distinct())
+
+    def work(now: dict) -> dict:
+        known = store.read(table, now)
+        if known is None:
+            new, top = wanted, F.lit(0).cast("long")
+        else:
+            same = [col(f"w.{k}").eqNullSafe(col(f"k.{k}")) for k in keys]
+            on = same[0]
+            for s in same[1:]:
+                on = on & s
+            new, top = wanted.alias("w").join(known.alias("k"), on, "left_anti"), known.agg(F.coalesce(F.max(name), F.lit(0))).scalar()
+        new = materialize(dense_ids(new, keys, top).select(*keys, col("_id").cast("long").alias(name)))
+        if new.limit(1).count() == 0:
+            return now
+        return {**now, table: now.get(table, []) + [store.put(table, new)]}
+
+    ids = store.read(table, store.change(work))
+    if ids is None:
+        return df.withColumn(name, F.lit(None).cast("long"))
+    on = None
+    for k in keys:
+        same = col(f"d.{k}").eqNullSafe(col(f"i.{k}"))
+        on = same if on is None else on & same
+    return df.alias("d").join(ids.alias("i"), on).select("d.*", col(f"i.{name}").alias(name))
+
+
 def semi_filter(resolved: DataFrame, raw_cols: list[str], source_file: str) -> tuple[DataFrame, DataFrame]:
     """Configuration rows with an unknown site are not loaded; unlike a
     silent drop they are also reported as exceptions."""

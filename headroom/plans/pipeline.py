@@ -15,6 +15,7 @@ from headroom.operators import workflow as G
 from headroom.plans.registry import QUERIES, Plan
 from headroom.sources import io
 from headroom.sources.driver import DriverCatalog
+from headroom.sources.store import TableStore
 
 PUBLISHED = [
     "quality_by_site_quarter", "cost_per_sqft", "headcount_vs_seats", "capacity_vs_demand", "capacity_collision",
@@ -38,21 +39,14 @@ def build(spark: SparkSession, sf_dir: str, out_dir: str, run_date: str | None =
         "requisition_pipeline": cat.requisition_pipeline, "space_capacity": cat.space_capacity,
         "actions": cat.actions, "decisions": cat.decisions,
     }
-    io.rebuild(tables, f"{out}/tables")
+    store = TableStore(spark, f"{out}/tables")
+    store.rebuild(tables)
     plan = Plan(cat)
     # self-scoring: this run's predictions become a snapshot partition
     snap = io.append_snapshot(plan.space_collision, run_date, f"{out}/forecast_snapshots")
     counts = {"snapshot_rows": snap.count()}
-    # decision queue: append only what is missing (idempotent)
-    decisions_path = f"{out}/tables/decisions"
-    current = spark.read.parquet(decisions_path)
-    new = G.queue_decisions(current, G.last_responsible_moment(plan.space_collision, cat.as_of), run_date)
-    new = new.select(*current.columns)
-    new_path = f"{out}/staging/new_decisions"
-    new.write.mode("overwrite").parquet(new_path)          # materialise before appending to the source
-    staged = spark.read.parquet(new_path)
-    counts["decisions_queued"] = staged.count()
-    io.append_rows(staged, decisions_path)
+    # decision queue: only what is missing, by key, in one commit (idempotent)
+    counts["decisions_queued"] = G.commit_decisions(store, G.last_responsible_moment(plan.space_collision, cat.as_of), run_date)
     if publish:
         views = {name: QUERIES[name](spark, sf_dir) for name in PUBLISHED}
         io.publish(views, f"{out}/extracts")
