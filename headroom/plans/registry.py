@@ -12,6 +12,7 @@ from headroom.operators import accountability as A
 from headroom.operators import ask as Q
 from headroom.operators import integrity as I
 from headroom.operators import clean as B
+from headroom.operators import constraints as K
 from headroom.operators import measures as M
 from headroom.operators import occupancy as O
 from headroom.operators import projection as P
@@ -138,6 +139,12 @@ class Plan:
     def at_risk(self) -> DataFrame:
         return G.at_risk_sites(self.collision, self.cliff)
 
+    # any number of constraints ----------------------------------------------
+    @cached_property
+    def constraint_trends(self) -> DataFrame:
+        c = self.cat
+        return c.keep(K.trends(c.constraint_demand, c.constraint_capacity, c.sites, c.constraints), "constraint_trends")
+
     # H ---------------------------------------------------------------------
     @cached_property
     def adjacency(self) -> DataFrame:
@@ -284,6 +291,10 @@ REUSED: dict[str, set[str]] = {
     "at_risk_sites": {"trend"},
     "alert_feed": {"trend"},
     "change_impact": {"trend"},
+    "constraint_collision": {"constraint_trends"},
+    "constraint_what_if": {"constraint_trends"},
+    "constraint_relocation": {"constraint_trends"},
+    "constraint_impact": {"constraint_trends"},
     "clean_headcount": _CLEAN,
     "dedupe_log": _CLEAN,
     "etl_exceptions": _CLEAN,
@@ -360,6 +371,11 @@ PLANS: dict[str, Callable[[Plan], DataFrame]] = {
     "scenario_grid": (lambda p: H.scenario_grid(p.trend)),
     "relocation": (lambda p: p.relocation),
     "change_impact": (lambda p: H.change_impact(p.trend, p.cat.programs, p.program_changes, _delay_by_site(p))),
+    # D8, H1, H3, H4 over any number of constraints (three in the driver's data)
+    "constraint_collision": (lambda p: K.collision(p.constraint_trends)),
+    "constraint_what_if": (lambda p: K.what_if(p.constraint_trends, p.growth_factors)),
+    "constraint_relocation": (lambda p: K.relocation(p.constraint_trends, p.adjacency)),
+    "constraint_impact": (lambda p: K.change_impact(p.constraint_trends, p.cat.programs, p.program_changes, _delay_by_site(p))),
     # B — cleaning and reconciliation
     "canonical_codes": (lambda p: CleanPlan(p).codes),
     "clean_headcount": (lambda p: CleanPlan(p).clean_headcount),

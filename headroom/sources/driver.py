@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headroom.functions.period import q_index_of_date, q_label
+from headroom.operators import constraints as K
 from headroom.session import materialize
 
 # Fixed values of the driver adapter: the as-of date of every time-relative
@@ -69,6 +70,14 @@ SITE_COLUMNS = [
     ("source_system", "CASE WHEN s_suppkey % 10 IN (1, 2) THEN 'acquired_import' ELSE 'master' END"),
 ]
 
+# Ceilings as data: (constraint, priority on ties, unit, gives the status of a site with no breach), and a site's capacity of each
+CONSTRAINTS = [("power", 1, "kW", 0), ("floor", 2, "sq ft", 1), ("dock", 3, "lines", 0)]
+CAPACITY_COLUMNS = [
+    ("floor", "CASE WHEN s_acctbal < 0 THEN NULL ELSE CAST(500 + floor(s_acctbal / 8) AS DOUBLE) END"),
+    ("power", "CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE CAST(12000 + (s_suppkey * 7919) % 30000 AS DOUBLE) END"),
+    ("dock", "CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE CAST(20 + (s_suppkey * 13) % 90 AS DOUBLE) END"),
+]
+
 ISSUE_COLUMNS = [
     ("issue_id", "l_orderkey * 8 + l_linenumber"),
     ("site_id", "l_suppkey"),
@@ -373,6 +382,24 @@ class DriverCatalog:
     def decisions(self) -> DataFrame:
         return _select(self._orders_with_site.where(F.col("o_orderpriority") == "1-URGENT"), DECISION_COLUMNS)
 
+    @cached_property
+    def constraints(self) -> DataFrame:
+        return self._literal(CONSTRAINTS, K.CONSTRAINTS)
+
+    @cached_property
+    def constraint_capacity(self) -> DataFrame:
+        wide = self.raw("supplier").select(F.col("s_suppkey").alias("site_id"), *[F.expr(e).alias(n) for n, e in CAPACITY_COLUMNS])
+        return K.spread(wide, ["site_id"], {n: n for n, _ in CAPACITY_COLUMNS}, "capacity")
+
+    @cached_property
+    def constraint_demand(self) -> DataFrame:
+        """Floor, power and dock lines per (site, period), aggregated once and then spread over the constraints."""
+        d = self.production_demand
+        per = d.groupBy("site_id", "q_index").agg(F.sum(F.col("units_planned") * F.col("sqft_per_unit")).alias("floor"),
+                                                  F.sum(F.col("units_planned") * F.col("kw_per_unit")).alias("power"),
+                                                  F.count(F.lit(1)).alias("dock"))
+        return K.spread(per, ["site_id", "q_index"], {c: c for c, *_ in CONSTRAINTS}, "amount")
+
     # per-site configuration -----------------------------------------------------
     @cached_property
     def space_capacity(self) -> DataFrame:
