@@ -49,9 +49,12 @@ def windows_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     owner = np.repeat(np.arange(len(starts)), count)
     first = starts[owner] + WINDOW * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
     size = np.minimum(ends[owner] - first, WINDOW)
-    place = np.arange(WINDOW)
-    out = data[np.minimum(first[:, None] + place, max(len(data) - 1, 0))] if len(owner) else np.zeros((0, WINDOW), np.uint8)
-    return np.where(place < size[:, None], _LOWER[out], 0).astype(np.uint8), owner, size
+    place, out = np.arange(WINDOW), np.zeros((len(owner), WINDOW), np.uint8)
+    for low in range(0, len(owner), CHUNK):                    # the places of a chunk of windows at a time, not of all
+        part = slice(low, low + CHUNK)
+        found = _LOWER[data[np.minimum(first[part, None] + place, len(data) - 1)]]
+        out[part] = np.where(place < size[part, None], found, 0)
+    return out, owner, size
 
 
 def _text_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
