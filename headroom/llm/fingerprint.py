@@ -7,11 +7,14 @@ The lowest ``BITS`` bits of each bin are stored; likeness corrects for chance ag
 
 Only built-in expressions.  Fingerprints are computed inside the scan; the text that follows
 in id order comes from a window inside ranges of ids, with one row per range carried over to
-the range before.  Texts are shuffled once.
+the range before.  Texts are shuffled once.  Ranges are cut in two levels, so their number
+follows the rows; an id that repeats beyond a range is cut by a hash of its texts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,9 @@ from .common import read_table, stored, whole_text
 
 SHINGLE = 5
 BINS, BITS = 128, 8
-#: Documents per range of ids, and the most ranges.
-RANGE_ROWS, MAX_RANGES = 1000, 1024
+#: Documents per range of ids; most parts of a level (its cuts are broadcast: 2 * PARTS squared longs, 4 MB);
+#: parts of one repeated id.
+RANGE_ROWS, PARTS, TIES = 1000, 512, 256
 
 
 def _bin(x: Column) -> Column:
@@ -67,43 +71,71 @@ def packed(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x.cast("long"))), 2, "0")), "")
 
 
-def with_next(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """Adds columns of the next row in ascending ``key`` (the first row's after the last).
-
-    Nulls come first, and rows of one key by their content.  Ranges of keys are sorted
-    apart; the first row of the next filled range serves the last row of each."""
-    stats = df.agg(F.count("*").alias("n")).first()["n"]
-    ranges = max(1, min(MAX_RANGES, stats // RANGE_ROWS))
-    cuts = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    tie = F.xxhash64(*(c for c in sorted(columns)))
-    df = df.withColumns({"__range": F.greatest(bucket, F.lit(0)), "__tie": tie})
-    both = df.withColumn("__own", F.struct(*columns))
-    first = both.groupBy("__range").agg(F.min_by("__own", F.struct(F.col(key).isNotNull(), F.col(key), F.col("__tie"))).alias("__first"))
-    first = stored(first)
-    order = Window.orderBy("__range")  # at most MAX_RANGES rows
-    ring = first.select("__range", F.lead("__range").over(order).alias("__to"), F.min("__range").over(
-        Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__start"))
-    carried = ring.select("__range", F.coalesce("__to", "__start").alias("__to")).join(
-        first.select(F.col("__range").alias("__to"), "__first"), "__to").drop("__to")
-    within = Window.partitionBy("__range").orderBy(F.col(key).asc_nulls_first(), "__tie")
-    led = df.select("*", *(F.lead(c).over(within).alias(f"__{n}") for c, n in columns.items()),
-                    F.lead(F.lit(True)).over(within).alias("__more"))
+def _parted(grouped, key: str, parts: int) -> DataFrame:
+    """``cuts``: ascending cuts of ``key`` into about equal parts; a value that fills a part has one to itself."""
+    if parts < 2:
+        return grouped.agg(F.expr("cast(array() as array<bigint>)").alias("cuts"))
+    found = grouped.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10_000).alias("at"))
+    full = F.filter("at", lambda x, i: (i > 0) & (x == F.get("at", i - 1)))
+    cuts = F.concat("at", F.filter(F.transform(full, lambda x: F.try_add(x, F.lit(1).cast("long"))), lambda x: x.isNotNull()))
+    return found.withColumn("cuts", F.array_sort(F.array_distinct(F.coalesce(cuts, F.expr("cast(array() as array<bigint>)"))))).drop("at")
+
+
+def _part(cuts: Column, key: str) -> Column:
+    """Number of cuts at or below the key; 0 for a null key."""
+    return F.size(F.filter(cuts, lambda c: c <= F.col(key)))
+
+
+def _ranged(df: DataFrame, key: str, content: str) -> DataFrame:
+    """Adds ``__tie``, a hash of the content, and ``__range``, whose order follows that of (key, ``__tie``), nulls first."""
+    each = df.select(key)
+    parts = min(PARTS, math.ceil(math.sqrt(max(1, each.count() / RANGE_ROWS))))
+    cuts = _parted(each.groupBy(), key, parts).first()["cuts"] or [0]  # one cut at least, or the ranges are a constant
+    first = F.array(*(F.lit(c).cast("long") for c in cuts))
+    low = each.where(F.col(key).isNotNull()).withColumn("__one", _part(first, key))
+    second = _parted(low.groupBy("__one"), key, parts).withColumnRenamed("cuts", "__cuts")
+    df = df.withColumns({"__tie": F.xxhash64(content), "__one": _part(first, key)}).join(F.broadcast(second), "__one", "left")
+    # A part of one value alone (or of nulls) is cut by the tie, whose order it has.
+    both = F.array_sort(F.concat(first, F.coalesce("__cuts", F.expr("cast(array() as array<bigint>)"))))
+    alone = F.array_contains(both, F.col(key)) & F.array_contains(both, F.try_add(F.col(key), F.lit(1).cast("long")))
+    tie = F.floor(F.col("__tie") / F.lit(float(2**64 // TIES))).cast("long") + TIES // 2
+    tie = F.when(F.coalesce(alone, F.col(key).isNull()), tie).otherwise(F.lit(0))
+    part = F.when(F.col(key).isNull(), 0).otherwise((F.col("__one") + 1) * (4 * PARTS) + F.coalesce(_part(F.col("__cuts"), key), F.lit(0)))
+    return df.withColumn("__range", part.cast("long") * (2 * TIES) + tie).drop("__one", "__cuts")
+
+
+def with_next(df: DataFrame, key: str, derive) -> DataFrame:
+    """Adds ``next_text`` and ``next_fp``: those of the next row in ascending ``key`` (the first row's after the last).
+
+    ``derive`` adds ``fp`` to rows with a ``text``.  Nulls come first, and rows of one key by
+    their text.  Ranges of keys are sorted apart; the first row of the next filled range
+    serves the last row of each, so only those are fingerprinted twice."""
+    ranged = _ranged(df, key, "text")
+    order = [F.col(key).asc_nulls_first(), F.col("__tie")]
+    first = ranged.groupBy("__range").agg(
+        F.min_by("text", F.struct(F.col(key).isNotNull(), F.col(key), F.col("__tie"))).alias("text"))
+    first = stored(derive(first))
+    ids = Window.orderBy("__range")  # one id per range, without texts
+    everything = ids.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ring = first.select("__range", F.coalesce(F.lead("__range").over(ids), F.min("__range").over(everything)).alias("__to"))
+    carried = ring.join(first.select(F.col("__range").alias("__to"), F.col("text").alias("__text"), F.col("fp").alias("__fp")), "__to").drop("__to")
+    within = Window.partitionBy("__range").orderBy(*order)
+    led = derive(ranged)
+    led = led.select("*", F.lead("text").over(within).alias("next_text"), F.lead("fp").over(within).alias("next_fp"))
     out = led.join(carried, "__range")
-    return out.select(*[c for c in df.columns if not c.startswith("__")],
-                      *(F.when(F.col("__more"), F.col(f"__{n}")).otherwise(F.col("__first")[c]).alias(n) for c, n in columns.items()))
+    last = F.col("next_text").isNull()  # texts are never null here
+    return out.select(*df.columns, "fp", F.when(last, F.col("__text")).otherwise(F.col("next_text")).alias("next_text"),
+                      F.when(last, F.col("__fp")).otherwise(F.col("next_fp")).alias("next_fp"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
     Null text is empty.  An empty text has an empty fingerprint.  A single document is its own
-    next one.  Null ids come first and repeated ids in order of content; other columns are
-    ignored; an empty table gives no rows."""
+    next one.  Null ids come first and repeated ids in order of a hash of their texts; other
+    columns are ignored; an empty table gives no rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    own = with_fingerprint(texts.withColumn("n_chars", F.length("text").cast("long")), "text", "fp")
-    ring = with_next(own, "doc_id", {"text": "next_text", "fp": "next_fp"})
+    ring = with_next(texts, "doc_id", lambda df: with_fingerprint(df, "text", "fp")).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cast(floor(n_chars / 4) as int))"),
                       F.when(cut > 0, F.expr("substring(next_text, 1, cast(floor(n_chars / 4) as int))")).otherwise(""))
