@@ -4,7 +4,8 @@ Every vector is turned by ``ROTATIONS`` random orthogonal matrices; the signs of
 coordinates are its binary code, and the inner product of the code's unit vector with the
 turned vector is stored beside it.  That product corrects the code: <code, y> / <code, x>
 is an unbiased estimate of <x, y> over the random rotation, with an error bound from the
-same product.  Bands of code bits bring vectors together; inside a band's bucket the
+same product.  Bands of code bits bring vectors together, so many that a pair at the
+threshold misses all of them with probability ``MISS`` at most; inside a band's bucket the
 estimate's upper bound decides which vectors need an exact comparison, and only those are
 compared by exact double-precision cosine.
 
@@ -16,6 +17,7 @@ links are summed as partial counts per vector, never emitted as pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,28 +31,37 @@ from .graph import components
 THRESHOLD = 0.95
 #: Code bits come from this many rotations of at least MIN_DIM coordinates.
 MIN_DIM = 64
-BANDS, BAND_BITS = 48, 20
+BAND_BITS = 20
+#: Probability at most with which a pair at exactly the threshold meets in no band; decides their number.
+MISS = 1e-4
 #: Width of the estimate's confidence bound, in standard errors.
 WIDTH = 4.0
 BLOCK = 512
 
 
-def _rotations(dim: int) -> np.ndarray:
-    """Stacked random orthogonal matrices, at least BANDS * BAND_BITS rows; the seed is the dimension."""
+def band_count(threshold: float) -> int:
+    """Bands so that a pair at ``threshold`` shares none with probability MISS at most: a sign of both
+    agrees with probability 1 - angle / pi."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return 1 if agree == 1 else math.ceil(math.log(MISS) / math.log1p(-agree**BAND_BITS))
+
+
+def _rotations(dim: int, bands: int) -> np.ndarray:
+    """Stacked random orthogonal matrices, at least a row for each bit of the bands; the seed is the dimension."""
     rng, rows = np.random.default_rng(1000 + dim), []
     padded = max(dim, MIN_DIM)
-    while sum(map(len, rows)) < BANDS * BAND_BITS:
+    while sum(map(len, rows)) < bands * BAND_BITS:
         rows.append(np.linalg.qr(rng.standard_normal((padded, padded)))[0])
     return np.concatenate(rows)[:, :dim]
 
 
-_TURNS: dict[int, np.ndarray] = {}
+_TURNS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _turn(dim: int) -> np.ndarray:
-    if dim not in _TURNS:
-        _TURNS[dim] = _rotations(dim)
-    return _TURNS[dim]
+def _turn(dim: int, bands: int) -> np.ndarray:
+    if (dim, bands) not in _TURNS:
+        _TURNS[dim, bands] = _rotations(dim, bands)
+    return _TURNS[dim, bands]
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -59,27 +70,31 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _code(count: int):
     """class, dim, code bits, the code's product with its own vector, an 8-bit copy, band keys."""
-    for batch in batches:
-        rows = batch.column(1).to_pylist()
-        for dim in sorted({len(r) for r in rows}):
-            at = [k for k, r in enumerate(rows) if len(r) == dim]
-            for low in range(0, len(at), 1024):
-                part = at[low:low + 1024]
-                unit = _unit(np.array([rows[k] for k in part], np.float64))
-                turned = unit @ _turn(dim).T
-                bits = turned > 0
-                own = np.abs(turned).sum(1) / np.sqrt(turned.shape[1])
-                coarse = np.rint(unit * 127).astype(np.int8)
-                bands = bits[:, :BANDS * BAND_BITS].reshape(len(part), BANDS, BAND_BITS)
-                keys = bands @ (1 << np.arange(BAND_BITS)) + (np.arange(BANDS) << BAND_BITS)
-                keys = keys * 65_536 + dim % 65_536
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(part)), pa.array(np.full(len(part), dim, np.int32)),
-                     pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary()), pa.array(own),
-                     pa.array([c.tobytes() for c in coarse], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))],
-                    ["class", "dim", "code", "own", "coarse", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            for dim in sorted({len(r) for r in rows}):
+                at = [k for k, r in enumerate(rows) if len(r) == dim]
+                for low in range(0, len(at), 1024):
+                    part = at[low:low + 1024]
+                    unit = _unit(np.array([rows[k] for k in part], np.float64))
+                    turned = unit @ _turn(dim, count).T
+                    bits = turned > 0
+                    own = np.abs(turned).sum(1) / np.sqrt(turned.shape[1])
+                    coarse = np.rint(unit * 127).astype(np.int8)
+                    bands = bits[:, :count * BAND_BITS].reshape(len(part), count, BAND_BITS)
+                    keys = bands @ (1 << np.arange(BAND_BITS)) + (np.arange(count) << BAND_BITS)
+                    keys = keys * 65_536 + dim % 65_536
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(part)), pa.array(np.full(len(part), dim, np.int32)),
+                         pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary()), pa.array(own),
+                         pa.array([c.tobytes() for c in coarse], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))],
+                        ["class", "dim", "code", "own", "coarse", "keys"])
+
+    return run
 
 
 _CODED = "class long, dim int, code binary, own double, coarse binary, keys array<long>"
@@ -105,13 +120,13 @@ def _sides(group: pa.RecordBatch) -> np.ndarray:
     return ((side[:, None] == 3) | (side[:, None] != side)) & ~np.eye(len(side), dtype=bool)
 
 
-def _suspects(threshold: float):
+def _suspects(threshold: float, count: int):
     """Members of a bucket with a partner whose estimated cosine may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ("key", "i", "j")):
             dim = group.column("dim")[0].as_py()
-            turns = _turn(dim)
+            turns = _turn(dim, count)
             bits = np.unpackbits(_matrix(group.column("code"), np.uint8), axis=1)[:, :len(turns)]
             codes = (bits * 2.0 - 1.0) / np.sqrt(len(turns))
             coarse = _matrix(group.column("coarse"), np.int8) / 127.0
@@ -128,7 +143,7 @@ def _suspects(threshold: float):
     return run
 
 
-def _exact(threshold: float):
+def _exact(threshold: float, count: int):
     """Exact links of a bucket: partial link counts (in the pair's first shared band) and a star per group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +153,8 @@ def _exact(threshold: float):
             x, y = np.nonzero(linked)
             if not len(x):
                 continue
-            bits = np.unpackbits(_matrix(group.column("code"), np.uint8), axis=1)[:, :BANDS * BAND_BITS]
-            bands = bits.reshape(len(bits), BANDS, BAND_BITS) @ (1 << np.arange(BAND_BITS))
+            bits = np.unpackbits(_matrix(group.column("code"), np.uint8), axis=1)[:, :count * BAND_BITS]
+            bands = bits.reshape(len(bits), count, BAND_BITS) @ (1 << np.arange(BAND_BITS))
             band = (group.column("key")[0].as_py() // 65_536) >> BAND_BITS
             first = np.empty(len(x), np.int64)
             for k in range(0, len(x), 65_536):
@@ -174,29 +189,34 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     good = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall(
         "vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), array.alias("vector"))
-    rows = rows.withColumn("class", F.when(F.coalesce(good, F.lit(False)), F.xxhash64(F.transform("vector", lambda x: x + F.lit(0.0)))))
-    rows = stored(rows)
-    classes = stored(rows.where("class is not null").groupBy("class").agg(
-        F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("vector").alias("vector")))
-    coded = stored(classes.select("class", "vector").mapInArrow(_code, _CODED))
+    # Equal vectors are told by 128 bits: two hashes, one of them from the last component on.
+    plain = F.when(F.coalesce(good, F.lit(False)), F.transform("vector", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
+    rows = rows.withColumn("plain", plain)
+    rows = stored(rows.select("vec_id", "vector", F.when(F.col("plain").isNotNull(), F.xxhash64("plain")).alias("h"),
+                              F.when(F.col("plain").isNotNull(), F.xxhash64(F.lit(1), F.reverse("plain"))).alias("g")))
+    classes = stored(rows.where("h is not null").groupBy("h", "g").agg(
+        F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("vector").alias("vector")
+    ).withColumn("class", F.monotonically_increasing_id()))
+    count = band_count(threshold)
+    coded = stored(classes.select("class", "vector").mapInArrow(_code(count), _CODED))
     keyed = coded.select("class", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = _blocks(keyed.join(sizes, "key")).join(coded.drop("keys"), "class")
     dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     schema = "key long, i int, j int, side int, class long, code binary"
-    suspects = dealt.mapInArrow(_suspects(threshold), schema)
+    suspects = dealt.mapInArrow(_suspects(threshold, count), schema)
     exact = suspects.join(classes.select("class", "weight", "vector"), "class")
     dealt = exact.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = stored(dealt.mapInArrow(_exact(threshold), "class long, star long, links long"))
+    found = stored(dealt.mapInArrow(_exact(threshold, count), "class long, star long, links long"))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     groups = components(found, "class", "star").withColumnRenamed("node", "class")
-    joined = classes.select("class", "weight", "least").join(groups, "class", "left").withColumn(
+    joined = classes.select("class", "h", "g", "weight", "least").join(groups, "class", "left").withColumn(
         "component", F.coalesce("component", "class"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = (joined.join(smallest, "component").join(links, "class", "left")
-                .select("class", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n")))
-    out = rows.select("vec_id", "class").join(by_class, "class", "left")
-    alone = F.col("class").isNull()
+                .select("h", "g", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n")))
+    out = rows.select("vec_id", "h", "g").join(by_class, ["h", "g"], "left")
+    alone = F.col("h").isNull()
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
                       F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
                       ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
