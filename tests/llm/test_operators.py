@@ -99,6 +99,19 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_meet_at_the_threshold(spark):
+    """Recall of pairs at a cosine just above the threshold, on 64 coordinates; extra columns with working names."""
+    rng, near = np.random.default_rng(6), []
+    for k in range(1000):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        near += [a, 0.9501 * a + np.sqrt(1 - 0.9501**2) * b]
+    rows = [(k, [float(x) for x in v], 1, 2, "h") for k, v in enumerate(near)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, class long, key int, h string")).collect()
+    found = sum(r["n_links"] for r in got) / 2
+    print(f"pairs at 0.9501: {found} of 1000 found")
+    assert vectors.band_count(0.95) == 73 and found >= 998
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(300)]
@@ -229,6 +242,41 @@ def test_fingerprints_follow_the_texts(spark):
     assert fingerprint.fingerprints(docs_of(spark, [])).count() == 0
 
 
+def test_fingerprints_with_repeated_and_null_ids(spark, monkeypatch):
+    """The next document follows (id, hash of the text), nulls first, over many ranges and a hot id cut by its texts."""
+    import xxhash
+
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+
+    def spark_hash(text):
+        h = xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - (h >> 63 << 64)
+
+    for ids in ([None] * 30 + [7] * 60 + list(range(60)) + [2**63 - 1] * 20, [5], [None, None, None], [3, 3, 3, 3]):
+        monkeypatch.setattr(fingerprint, "RANGE_ROWS", 4)
+        texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(30))) for _ in ids]
+        docs = docs_of(spark, texts, ids).withColumn("text_key", F.lit(1)).withColumn("fp", F.lit("x"))
+        got = fingerprint.fingerprints(docs).collect()
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, spark_hash(texts[k])))
+        want = []
+        for at, k in enumerate(order):
+            text, after = texts[k], texts[order[(at + 1) % len(order)]]
+            q = len(text) // 4
+            want.append((ids[k], hashlib.sha256((text[:len(text) - q] + after[:q]).encode()).hexdigest(), after))
+        key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+        assert sorted([(r["doc_id"], r["edited_sha256"]) for r in got], key=key) == sorted([w[:2] for w in want], key=key)
+        prints = {t: r["fingerprint"] for t, r in zip(texts, fingerprint.fingerprints(docs_of(spark, texts)).orderBy("doc_id").collect())}
+        near = {}
+        for doc_id, sha, after in want:
+            a = next(r["fingerprint"] for r in got if (r["doc_id"], r["edited_sha256"]) == (doc_id, sha))
+            b = prints[after]
+            same = sum(a[j:j + 2] == b[j:j + 2] for j in range(0, len(a), 2)) / fingerprint.BINS if a and b else 0
+            near.setdefault((doc_id, sha), []).append(1.0 if not a and not b else max(0.0, (same - 1 / 256) / (1 - 1 / 256)) if a and b else 0.0)
+        for r in got:
+            assert any(abs(r["near_next"] - x) < 1e-9 for x in near[r["doc_id"], r["edited_sha256"]])
+
+
 def test_secrets_against_regular_expressions(spark):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     texts = [r["text"] for r in read_table(spark, SF, "documents").collect()] + ODD + [
@@ -415,6 +463,10 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.STAGES[3][1](spark, odd, SF)
     assert {r["doc_id"]: r["text"] for r in out.collect()}[8] == "x [SECRET] y" and out.count() == 9
     assert corpus_pipeline.run(spark, SF).count() >= 150
+    clash = odd.selectExpr("*", "1 a", "2 t", "'x' found", "3 n_lines", "4 n_removed", "5 base", "6 line", "7 text_key", "8 __text", "9 __row")
+    for at in (1, 3):
+        out = corpus_pipeline.STAGES[at][1](spark, clash, SF)
+        assert out.columns == clash.columns and [tuple(r)[-10:] for r in out.collect()] == [(1, 2, "x", 3, 4, 5, 6, 7, 8, 9)] * 9
 
 
 def test_best_fit_closes_the_fullest():
