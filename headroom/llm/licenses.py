@@ -1,86 +1,160 @@
-"""License scan: TF-IDF cosine of notices to templates, and inheritance from ancestor directories.
+"""License scan: TF-IDF cosine of headers and licence files to templates, and inheritance from ancestor directories.
 
-A file's notice is its line most like a template, by cosine of sparse TF-IDF vectors; a licence
-file (named so, or wholly like a template) also speaks for its directory.  A file without a
+Templates are licence texts, file headers and short notices (``license_texts``).  A template is
+compared by the cosine of sparse TF-IDF vectors with each line, with runs of lines of its own
+length (so a wrapped header is seen whole) and with the whole file; a file's notice is the best
+of these.  A short notice counts only where it holds the words that name its licence.  A licence
+file (named so, or a match as a whole without a word foreign to the template) also speaks for its directory.  A file without a
 notice inherits from its nearest ancestor directory that has one, by a join on paths.
 
-Only built-in expressions.  Document frequencies are counted over all files for the template
-words (a fixed vocabulary, so the counts that reach the driver are bounded); every other word
-counts as one seen in a single file.  Directories, not files, are joined with ancestors.
+Only built-in expressions.  Document frequencies of all words are an aggregation over all
+files.  A text is looked at line by line only if it holds enough of a template's heaviest words
+for a match to be possible (Cauchy-Schwarz: the shared words must carry LEAST ** 2 of the
+template's square); such texts are taken once however often they repeat.  What the driver
+gathers are counts of template words, whose number is fixed.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
+from collections import Counter
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, stored, whole_text
+from .license_texts import IDENTIFIER, NAMES, PHRASES, TEXTS
 
-# Short notices by licence name.  Fixed values.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
 #: Least cosine of a match, and names of licence files.
 LEAST = 0.7
-LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
+LICENSE_FILE = r"(?i)(^|/)((un)?licen[sc]e|copying(\.lesser)?|notice)(\.[a-z]+)?$"
+#: Share of a template's square that its lighter words may hold unseen when texts are chosen.
+LIGHT = 0.25
 
 _SPLIT = r"[^a-z0-9]+"
 
 
-def _tokens(text: str) -> list[str]:
-    import re
-
+def tokens(text: str) -> list[str]:
     return [w for w in re.split(_SPLIT, text.lower()) if w]
 
 
-VOCABULARY = sorted({w for _, t in TEMPLATES for w in _tokens(t)})
-
-
-def _cosines(words: Column, idf: dict[str, float], rare: float) -> Column:
-    """``array<struct<cosine, name>>`` of a word array to every template, best first."""
-    known = F.create_map(*(F.lit(x) for w in VOCABULARY for x in (w, idf[w])))
-    distinct = F.array_distinct(words)
-
-    def tf(w: Column) -> Column:
-        return F.size(F.filter(words, lambda x: x == w)).cast("double")
-
-    norm = F.sqrt(F.aggregate(distinct, F.lit(0.0), lambda s, w: s + F.pow(tf(w) * F.coalesce(F.element_at(known, w), F.lit(rare)), F.lit(2.0))))
-    scored = []
-    for name, text in TEMPLATES:
-        counts: dict[str, int] = {}
-        for w in _tokens(text):
-            counts[w] = counts.get(w, 0) + 1
-        length = math.sqrt(sum((n * idf[w]) ** 2 for w, n in counts.items()))
-        dot = sum((tf(F.lit(w)) * (n * idf[w] ** 2) for w, n in sorted(counts.items())), F.lit(0.0))
-        scored.append(F.struct((-F.round(dot / (norm * length), 9)).alias("order"), F.lit(name).alias("name")))
-    return F.array_sort(F.array(*scored))
-
-
-def _needed(idf: dict[str, float]) -> list[str]:
-    """Words of which a match holds at least one: of each template the heaviest, until the words left
-    could not reach LEAST (a cosine is at most the shared words' part of the template's length)."""
-    out = set()
-    for _, text in TEMPLATES:
-        words = _tokens(text)
-        weight = {w: (words.count(w) * idf[w]) ** 2 for w in words}
-        left = whole = sum(weight.values())
-        for w in sorted(weight, key=lambda w: (-weight[w], w)):
-            if left < LEAST**2 * whole * 0.999:
-                break
-            out.add(w)
-            left -= weight[w]
-    return sorted(out)
+def templates() -> list[tuple[str, Counter, frozenset]]:
+    """``(licence, words, marks)`` of every template."""
+    short = [(licence, phrase.format(name=name), marks) for licence, name, marks in NAMES for phrase in PHRASES]
+    short += [(licence, IDENTIFIER.format(licence=licence), "spdx " + " ".join(tokens(licence)[:1])) for licence in sorted({n[0] for n in NAMES})]
+    return [(licence, Counter(tokens(text)), frozenset(marks.split())) for licence, text, marks in [*((x, t, "") for x, t in TEXTS), *short]]
+
+
+TEMPLATES = templates()
+VOCABULARY = sorted({w for _, words, _ in TEMPLATES for w in words})
+
+
+def _idf(n: int, df):
+    return math.log((1 + n) / (1 + df)) + 1
+
+
+def _demand(words: Counter, idf: dict[str, float]) -> tuple[list[str], int]:
+    """The heaviest words of a template, and how many of them a match holds at least."""
+    square = {w: (k * idf[w]) ** 2 for w, k in words.items()}
+    whole = left = sum(square.values())
+    heavy = []
+    for w in sorted(square, key=lambda w: (-square[w], w)):
+        if left < LIGHT * whole:
+            break
+        heavy.append(w)
+        left -= square[w]
+    missing, least = LEAST**2 * whole * 0.999 - left, 0
+    for w in heavy:
+        if missing <= 0:
+            break
+        missing -= square[w]
+        least += 1
+    return heavy, max(least, 1)
+
+
+def _words(texts: list[str]) -> Column:
+    return F.array(*map(F.lit, texts))
+
+
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small fixed table as one literal."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def _once(value: Column) -> Column:
+    """The value as a generated column, which a filter above reads and does not compute again."""
+    return F.explode_outer(F.array(value))
+
+
+def _runs(lines: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``__id, s, e, size``: from each line shorter than ``size`` words, the shortest run of at least so many
+    (or to the end).  ``lengths``: the sizes asked for by text."""
+    asked = lines.join(lengths, "__id").where("n < size")
+    starts = asked.select("__id", "size", F.lit(1).alias("kind"), (F.col("upto") - F.col("n") + F.col("size")).alias("at"), F.col("pos").alias("s"),
+                          F.col("seen").alias("before"), F.lit(None).cast("struct<pos:int,seen:long>").alias("end"))
+    stops = lines.join(asked.select("__id", "size").distinct(), "__id").select(
+        "__id", "size", F.lit(0).alias("kind"), F.col("upto").alias("at"), F.lit(None).cast("int").alias("s"),
+        F.lit(None).cast("long").alias("before"), F.struct("pos", (F.col("seen") + F.col("hit")).alias("seen")).alias("end"))
+    down = Window.partitionBy("__id", "size").orderBy(F.col("at").desc(), "kind")
+    whole = Window.partitionBy("__id", "size").orderBy(F.col("at").desc(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = starts.unionByName(stops).select("*", F.last("end", ignorenulls=True).over(whole).alias("last"),
+                                            F.first("end", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("final"))
+    both = both.where("kind = 1").select("__id", "s", "size", "before", F.coalesce("last", "final").alias("last"))
+    return both.where("last.seen > before and last.pos > s").select("__id", "s", F.col("last.pos").alias("e"), "size")
+
+
+def _notices(texts: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """``__id, best: struct<order, name>, whole`` of every text (``__id, text``) with a notice."""
+    spark = texts.sparkSession
+    known = {r["word"]: r["df"] for r in counts.where(F.col("word").isin(VOCABULARY)).collect()}  # one row per template word at most
+    idf = {w: _idf(n, known.get(w, 0)) for w in VOCABULARY}
+    demands = [_demand(words, idf) if not marks else ([max(marks, key=lambda w: (idf[w], w))], 1) for _, words, marks in TEMPLATES]
+    wanted = sorted({w for heavy, _ in demands for w in heavy})
+    # Templates of one demand are asked for once.
+    fits: dict[tuple, set[int]] = {}
+    for (_, words, _), (heavy, least) in zip(TEMPLATES, demands):
+        fits.setdefault((tuple(heavy), least), set()).add(sum(words.values()))
+    held = {key: F.size(F.array_intersect(F.col("held"), _words(list(key[0])))) >= key[1] for key in fits}
+    split = F.split(F.lower("text"), _SPLIT)
+    chosen = (texts.select("__id", "text", _once(F.array_intersect(split, _words(wanted))).alias("held"))
+              .where(F.size("held") > 0).where(reduce(Column.__or__, held.values())).dropDuplicates(["__id"]))
+    sizes = F.array_distinct(F.flatten(F.array(*(F.when(held[key], F.array(*map(F.lit, sorted(lengths)))).otherwise(
+        F.expr("cast(array() as array<int>)")) for key, lengths in fits.items()))))
+    chosen = stored(chosen.select("__id", "text", sizes.alias("sizes")))
+    each = chosen.select("__id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+    each = each.select("__id", "line", _once(F.array_remove(F.split("raw", _SPLIT), "")).alias("words")).where(F.size("words") > 0)
+    order = Window.partitionBy("__id").orderBy("line")
+    each = each.select("__id", "line", "words", F.size("words").alias("n"), F.arrays_overlap("words", _words(wanted)).cast("long").alias("hit"))
+    lines = stored(each.select("__id", "words", "n", "hit", (F.row_number().over(order) - 1).alias("pos"), F.sum("n").over(order).alias("upto"),
+                               (F.sum("hit").over(order) - F.col("hit")).alias("seen")))
+    flat = lines.drop("words")
+    ends = flat.groupBy("__id").agg(F.max("pos").alias("e"))
+    single = flat.where("hit = 1").join(ends, "__id").select("__id", F.col("pos").alias("s"), F.col("pos").alias("e"), F.lit(0).alias("size"),
+                                                              (F.col("e") == 0).alias("whole"))
+    whole = ends.where("e > 0").select("__id", F.lit(0).alias("s"), "e", F.lit(0).alias("size"), F.lit(True).alias("whole"))
+    several = _runs(flat, chosen.select("__id", F.explode("sizes").alias("size"))).withColumn("whole", F.lit(False))
+    span = ["__id", "s", "e", "size", "whole"]
+    spans = single.unionByName(whole).unionByName(several)
+    content = spans.select(*span, F.explode(F.sequence("s", "e")).alias("pos")).join(lines.select("__id", "pos", "words"), ["__id", "pos"])
+    tf = content.select(*span, F.explode("words").alias("word")).groupBy(*span, "word").agg(F.count("*").alias("tf"))
+    weight = F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
+    weighted = stored(tf.join(counts, "word").select(*span, "word", "tf", weight.alias("x")))
+    norms = weighted.groupBy(*span).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").alias("total"))
+    rows, info = [], []
+    for t, (licence, words, marks) in enumerate(TEMPLATES):
+        length = math.sqrt(sum((k * idf[w]) ** 2 for w, k in words.items()))
+        rows += [{"word": w, "t": t, "part": k * idf[w] / length, "mark": int(w in marks), "length": sum(words.values())} for w, k in words.items()]
+        info.append({"t": t, "name": licence, "marks": len(marks)})
+    weights = F.broadcast(_table(spark, rows, "word:string,t:int,part:double,mark:int,length:int"))  # fixed templates
+    names = F.broadcast(_table(spark, info, "t:int,name:string,marks:int"))
+    dots = weighted.join(weights, "word").where("size = 0 or size = length").groupBy(*span, "t").agg(
+        F.sum(F.col("x") * F.col("part")).alias("dot"), F.sum("mark").alias("held"), F.sum("tf").alias("shared"))
+    scored = dots.join(norms, span).join(names, "t").where("held = marks").select(
+        "__id", (F.col("whole") & (F.col("shared") == F.col("total"))).alias("whole"), "name", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= LEAST)
+    return scored.groupBy("__id").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "name")).alias("best"), F.max("whole").alias("whole"))
 
 
 def _ancestors(directory: Column) -> Column:
@@ -90,30 +164,20 @@ def _ancestors(directory: Column) -> Column:
 
 
 def scan(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``path``, the columns ``keep``, ``own_license``, ``cosine``, ``license``, ``inherited_from``.
+    """``path``, the columns ``keep`` (of any name), ``own_license``, ``cosine`` (0 without a match), ``license``, ``inherited_from``.
 
-    Every line of a whole text is judged.  Null text is empty; a null path has no directory
+    Whole texts are judged.  Null text is empty; a null path has no directory
     and inherits nothing; repeated rows are each judged; ties go to the smaller name; an empty
     table gives no rows."""
-    vocabulary = F.array(*map(F.lit, VOCABULARY))
-    text = files.select("path", *keep, whole_text().alias("text"))
-    words = text.select("path", *keep, F.transform(F.split(F.lower("text"), "\n"), lambda x: F.split(x, _SPLIT)).alias("words"))
-    present = F.array_distinct(F.array_intersect(F.flatten("words"), vocabulary))
-    counted = words.select(F.explode(present).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()  # one row per template word
-    counts, n = {r["w"]: r["n"] for r in counted}, files.count()
-    rare = math.log((1 + n) / 2) + 1
-    idf = {w: math.log((1 + n) / (1 + counts.get(w, 0))) + 1 for w in VOCABULARY}
-    needed = F.array(*map(F.lit, _needed(idf)))
-    total = F.aggregate("words", F.lit(0), lambda k, ws: k + F.size(F.array_remove(ws, "")))
-    hits = F.transform(F.filter("words", lambda ws: F.arrays_overlap(ws, needed)), lambda ws: F.array_remove(ws, ""))
-    scored = F.transform("hits", lambda ws: F.struct(F.get(_cosines(ws, idf, rare), 0).alias("best"), F.size(ws).alias("size")))
-    judged = (words.select("path", *keep, total.alias("total"), hits.alias("hits"))
-              .select("path", *keep, "total", scored.alias("scored"))
-              .select("path", *keep, "total", "scored", F.array_min("scored")["best"].alias("best")))
-    matched = F.aggregate(F.filter("scored", lambda x: -x["best"]["order"] >= LEAST), F.lit(0), lambda k, x: k + x["size"])
-    judged = stored(judged.select(
-        "path", *keep, (-F.col("best.order")).alias("cosine"), F.when(-F.col("best.order") >= LEAST, F.col("best.name")).alias("own_license"),
-        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("__dir"), (matched == F.col("total")).alias("__whole")))
+    boxed = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("boolean")
+    rows = files.select("path", boxed.alias("__keep"), whole_text().alias("text")).withColumn("__id", F.md5(F.col("text").cast("binary")))
+    once = F.array_remove(F.array_distinct(F.split(F.lower("text"), _SPLIT)), "")
+    counts = stored(rows.select(F.explode_outer(once).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("df")))
+    notices = stored(_notices(rows.select("__id", "text"), counts, files.count()))
+    judged = rows.select("path", "__keep", "__id").join(notices, "__id", "left").select(
+        "path", "__keep", (-F.col("best.order")).alias("cosine"), F.col("best.name").alias("own_license"),
+        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("__dir"), F.coalesce("whole", F.lit(False)).alias("__whole"))
+    judged = stored(judged)
     speaks = judged.where("own_license is not null").where(F.col("path").rlike(LICENSE_FILE) | F.col("__whole"))
     holders = speaks.groupBy("__dir").agg(F.min(F.struct(-F.col("cosine"), "own_license")).alias("m")).select(
         F.col("__dir").alias("__above"), F.col("m.own_license").alias("__license"))
@@ -122,7 +186,7 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     nearest = above.join(holders, "__above").groupBy("__dir").agg(F.min(F.struct("__up", "__above", "__license")).alias("__n"))
     out = judged.join(nearest, "__dir", "left")
     inherits = F.col("own_license").isNull() & F.col("path").isNotNull()
-    return out.select("path", *keep, "own_license", F.coalesce("cosine", F.lit(0.0)).alias("cosine"),
+    return out.select("path", *(F.col("__keep").getField(c).alias(c) for c in keep), "own_license", F.coalesce("cosine", F.lit(0.0)).alias("cosine"),
                       F.coalesce("own_license", F.when(inherits, F.col("__n.__license"))).alias("license"),
                       F.when(inherits, F.col("__n.__above")).alias("inherited_from"))
 
