@@ -31,8 +31,9 @@ from .license_texts import IDENTIFIER, NAMES, PHRASES, TEXTS
 #: Least cosine of a match, and names of licence files.
 LEAST = 0.7
 LICENSE_FILE = r"(?i)(^|/)((un)?licen[sc]e|copying(\.lesser)?|notice)(\.[a-z]+)?$"
-#: Share of a template's square that its lighter words may hold unseen when texts are chosen.
-LIGHT = 0.25
+#: Shares of a template's square that its lighter words may hold unseen when texts are chosen; each gives a
+#: necessary condition.  By the first one alone, a match holds at least one of the template's heaviest words.
+LIGHT = (0.48, 0.4, 0.3, 0.2, 0.1)
 
 _SPLIT = r"[^a-z0-9]+"
 
@@ -56,13 +57,13 @@ def _idf(n: int, df):
     return math.log((1 + n) / (1 + df)) + 1
 
 
-def _demand(words: Counter, idf: dict[str, float]) -> tuple[list[str], int]:
-    """The heaviest words of a template, and how many of them a match holds at least."""
+def _demand(words: Counter, idf: dict[str, float], light: float) -> tuple[tuple[str, ...], int]:
+    """The heaviest words of a template, and how many of them a match holds at least, if the others hold ``light`` of its square."""
     square = {w: (k * idf[w]) ** 2 for w, k in words.items()}
     whole = left = sum(square.values())
     heavy = []
     for w in sorted(square, key=lambda w: (-square[w], w)):
-        if left < LIGHT * whole:
+        if left < light * whole:
             break
         heavy.append(w)
         left -= square[w]
@@ -72,7 +73,14 @@ def _demand(words: Counter, idf: dict[str, float]) -> tuple[list[str], int]:
             break
         missing -= square[w]
         least += 1
-    return heavy, max(least, 1)
+    return tuple(heavy), max(least, 1)
+
+
+def _demands(words: Counter, marks: frozenset, idf: dict[str, float]) -> tuple:
+    """Conditions that a match meets, the first one on single words that it holds one of."""
+    if marks:
+        return ((max(sorted(marks), key=lambda w: idf[w]),), 1), (tuple(sorted(marks)), len(marks))
+    return tuple(_demand(words, idf, light) for light in LIGHT)
 
 
 def _words(texts: list[str]) -> Column:
@@ -111,23 +119,24 @@ def _notices(texts: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     spark = texts.sparkSession
     known = {r["word"]: r["df"] for r in counts.where(F.col("word").isin(VOCABULARY)).collect()}  # one row per template word at most
     idf = {w: _idf(n, known.get(w, 0)) for w in VOCABULARY}
-    demands = [_demand(words, idf) if not marks else ([max(marks, key=lambda w: (idf[w], w))], 1) for _, words, marks in TEMPLATES]
-    wanted = sorted({w for heavy, _ in demands for w in heavy})
-    # Templates of one demand are asked for once.
+    demands = [_demands(words, marks, idf) for _, words, marks in TEMPLATES]
+    wanted = sorted({w for several in demands for words, _ in several for w in words})
+    signs = sorted({w for several in demands for w in several[0][0]})
+    # Templates of the same demands are asked for once.
     fits: dict[tuple, set[int]] = {}
-    for (_, words, _), (heavy, least) in zip(TEMPLATES, demands):
-        fits.setdefault((tuple(heavy), least), set()).add(sum(words.values()))
-    held = {key: F.size(F.array_intersect(F.col("held"), _words(list(key[0])))) >= key[1] for key in fits}
+    for (_, words, _), several in zip(TEMPLATES, demands):
+        fits.setdefault(several, set()).add(sum(words.values()))
+    held = {key: reduce(Column.__and__, (F.size(F.array_intersect(F.col("held"), _words(list(words)))) >= least for words, least in key)) for key in fits}
     split = F.split(F.lower("text"), _SPLIT)
     chosen = (texts.select("__id", "text", _once(F.array_intersect(split, _words(wanted))).alias("held"))
-              .where(F.size("held") > 0).where(reduce(Column.__or__, held.values())).dropDuplicates(["__id"]))
+              .where(F.arrays_overlap("held", _words(signs))).where(reduce(Column.__or__, held.values())).dropDuplicates(["__id"]))
     sizes = F.array_distinct(F.flatten(F.array(*(F.when(held[key], F.array(*map(F.lit, sorted(lengths)))).otherwise(
         F.expr("cast(array() as array<int>)")) for key, lengths in fits.items()))))
     chosen = stored(chosen.select("__id", "text", sizes.alias("sizes")))
     each = chosen.select("__id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
     each = each.select("__id", "line", _once(F.array_remove(F.split("raw", _SPLIT), "")).alias("words")).where(F.size("words") > 0)
     order = Window.partitionBy("__id").orderBy("line")
-    each = each.select("__id", "line", "words", F.size("words").alias("n"), F.arrays_overlap("words", _words(wanted)).cast("long").alias("hit"))
+    each = each.select("__id", "line", "words", F.size("words").alias("n"), F.arrays_overlap("words", _words(signs)).cast("long").alias("hit"))
     lines = stored(each.select("__id", "words", "n", "hit", (F.row_number().over(order) - 1).alias("pos"), F.sum("n").over(order).alias("upto"),
                                (F.sum("hit").over(order) - F.col("hit")).alias("seen")))
     flat = lines.drop("words")
