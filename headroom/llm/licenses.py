@@ -137,35 +137,55 @@ def _notices(texts: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     each = each.select("__id", "line", _once(F.array_remove(F.split("raw", _SPLIT), "")).alias("words")).where(F.size("words") > 0)
     order = Window.partitionBy("__id").orderBy("line")
     each = each.select("__id", "line", "words", F.size("words").alias("n"), F.arrays_overlap("words", _words(signs)).cast("long").alias("hit"))
-    lines = stored(each.select("__id", "words", "n", "hit", (F.row_number().over(order) - 1).alias("pos"), F.sum("n").over(order).alias("upto"),
+    known = F.filter("words", lambda w: w.isin(VOCABULARY))
+    lines = stored(each.select("__id", "words", known.alias("known"), "n", "hit", (F.row_number().over(order) - 1).alias("pos"), F.sum("n").over(order).alias("upto"),
                                (F.sum("hit").over(order) - F.col("hit")).alias("seen")))
-    flat = lines.drop("words")
+    flat = lines.drop("words", "known")
     ends = flat.groupBy("__id").agg(F.max("pos").alias("e"))
     single = flat.where("hit = 1").join(ends, "__id").select("__id", F.col("pos").alias("s"), F.col("pos").alias("e"), F.lit(0).alias("size"),
                                                               (F.col("e") == 0).alias("whole"))
     whole = ends.where("e > 0").select("__id", F.lit(0).alias("s"), "e", F.lit(0).alias("size"), F.lit(True).alias("whole"))
     several = _runs(flat, chosen.select("__id", F.explode("sizes").alias("size"))).withColumn("whole", F.lit(False))
     span = ["__id", "s", "e", "size", "whole"]
-    spans = single.unionByName(whole).unionByName(several)
-    content = spans.select(*span, F.explode(F.sequence("s", "e")).alias("pos")).join(lines.select("__id", "pos", "words"), ["__id", "pos"])
-    tf = content.select(*span, F.explode("words").alias("word")).groupBy(*span, "word").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
-    weighted = stored(tf.join(counts, "word").select(*span, "word", "tf", weight.alias("x")))
-    norms = weighted.groupBy(*span).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").alias("total"))
-    rows, info = [], []
-    for t, (licence, words, marks) in enumerate(TEMPLATES):
+    spans = stored(single.unionByName(whole).unionByName(several))
+    rows, info, meant = [], [], {}
+    for t, ((licence, words, marks), several) in enumerate(zip(TEMPLATES, demands)):
         length = math.sqrt(sum((k * idf[w]) ** 2 for w, k in words.items()))
-        rows += [{"word": w, "t": t, "part": k * idf[w] / length, "mark": int(w in marks), "length": sum(words.values())} for w, k in words.items()]
+        rows += [{"word": w, "t": t, "part": k * idf[w] / length, "idf": idf[w], "mark": int(w in marks), "length": sum(words.values())}
+                 for w, k in words.items()]
         info.append({"t": t, "name": licence, "marks": len(marks)})
-    weights = F.broadcast(_table(spark, rows, "word:string,t:int,part:double,mark:int,length:int"))  # fixed templates
+        for w in several[0][0]:
+            meant.setdefault(w, []).append(t)
+    weights = F.broadcast(_table(spark, rows, "word:string,t:int,part:double,idf:double,mark:int,length:int"))  # fixed templates
     names = F.broadcast(_table(spark, info, "t:int,name:string,marks:int"))
-    dots = weighted.join(weights, "word").where("size = 0 or size = length").groupBy(*span, "t").agg(
-        F.sum(F.col("x") * F.col("part")).alias("dot"), F.sum("mark").alias("held"), F.sum("tf").alias("shared"))
-    scored = dots.join(norms, span).join(names, "t").where("held = marks").select(
-        "__id", (F.col("whole") & (F.col("shared") == F.col("total"))).alias("whole"), "name", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= LEAST)
+    # Template words alone give the dot product, and a bound of the cosine: every other word weighs 1 at least.
+    # All of this stays in the task of the span.
+    bags = _content(spans, lines.select("__id", "pos", "n", "known"), span).groupBy(*span).agg(
+        F.sum("n").alias("total"), F.flatten(F.collect_list("known")).alias("bag"))
+    map_of = F.from_json(F.lit(json.dumps(meant)), "map<string,array<int>>")
+    ts = F.array_distinct(F.flatten(F.transform(F.array_intersect("bag", _words(signs)), lambda w: F.element_at(map_of, w))))
+    tf = (bags.select(*span, "total", "bag", F.explode(ts).alias("t")).select(*span, "total", "t", F.explode("bag").alias("word"))
+          .groupBy(*span, "total", "t", "word").agg(F.count("*").alias("tf")).join(weights, ["word", "t"]).where("size = 0 or size = length"))
+    x = F.col("tf") * F.col("idf")
+    dots = tf.groupBy(*span, "total", "t").agg(F.sum(x * F.col("part")).alias("dot"), F.sum(x * x).alias("own"),
+                                               F.sum("mark").alias("held"), F.sum("tf").alias("shared"))
+    likely = F.col("dot") >= LEAST * 0.999 * F.sqrt(F.col("own") + F.col("total") - F.col("shared"))
+    near = stored(dots.join(names, "t").where("held = marks").where(likely))
+    content = _content(near.select(*span).distinct(), lines.select("__id", "pos", "words"), span)
+    each = content.select(*span, F.explode("words").alias("word")).groupBy(*span, "word").agg(F.count("*").alias("tf"))
+    x = F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
+    norms = each.join(counts, "word").groupBy(*span).agg(F.sqrt(F.sum(x * x)).alias("norm"))
+    scored = near.join(norms, span).select(
+        "__id", (F.col("whole") & (F.col("shared") == F.col("total"))).alias("whole"), "name", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
+    scored = scored.where(F.col("cosine") >= LEAST)
     return scored.groupBy("__id").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "name")).alias("best"), F.max("whole").alias("whole"))
 
 
+def _content(spans: DataFrame, lines: DataFrame, span: list[str]) -> DataFrame:
+    """The lines of every span."""
+    return spans.select(*span, F.explode(F.sequence("s", "e")).alias("pos")).join(lines, ["__id", "pos"])
+
+
 def _ancestors(directory: Column) -> Column:
     """The directory and those above it, the nearest first; the root is empty."""
     parts = F.split(directory, "/")
