@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash signatures in an LSH forest, links confirmed on full sets.
 
-Every document's set of word shingles is hashed into ``TREES`` sorted signature orders of
-``DEPTHS[-1]`` hashes each.  Documents that share a prefix in an order stand next to each
+Every document's set of word shingles is hashed into sorted signature orders; their number and
+depth follow from the least similarity of a link and a bound on missed pairs (``forest``).  Documents that share a prefix in an order stand next to each
 other; a region is read at the shortest depth at which it is small, and at the full depth
 where it stays dense, so two documents that agree to the full depth in any order always
 meet.  Inside a region signature likeness proposes links; an exact intersection of the full
@@ -18,7 +18,9 @@ region, every remaining proposal between different groups.  Texts move once.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,10 @@ from .graph import components
 SHINGLE = 3
 #: Least similarity of a link, as numerator and denominator.
 SHARE = (85, 100)
-#: Sorted orders, and the prefix lengths at which their regions may be read.
-TREES, DEPTHS = 24, (4, 6, 8)
+#: Bound on the probability that two documents at the least similarity meet in no order.
+MISS = 5e-4
+#: An order is as deep as such a pair still agrees in it with this probability.
+AGREE = 0.25
 #: A region of at most this many members is not read any deeper.
 REGION = 32
 #: Members of one block of a dense region.
@@ -42,11 +46,28 @@ BLOCK = 256
 SLACK = 3.5
 CACHE_WORDS = 400_000
 
-HASHES = TREES * DEPTHS[-1]
 _WORDS: dict[bytes, int] = {}
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Forest(NamedTuple):
+    trees: int
+    #: Prefix lengths at which regions may be read.
+    depths: tuple[int, ...]
+
+    @property
+    def hashes(self) -> int:
+        return self.trees * self.depths[-1]
+
+
+def forest(share: tuple[int, int]) -> Forest:
+    """Orders for links of at least ``share``: 24 of 8 hashes at 0.85, 25 of 6 at 0.80."""
+    part = min(share[0] / share[1], 0.99)
+    depth = max(1, math.floor(math.log(AGREE) / math.log(part)))
+    trees = math.ceil(math.log(MISS) / math.log1p(-part ** depth))
+    return Forest(trees, tuple(sorted({math.ceil(depth / 2), math.ceil(depth * 3 / 4), depth})))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -76,8 +97,8 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _factors() -> np.ndarray:
-    return np.random.default_rng(20).integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
+def _factors(hashes: int) -> np.ndarray:
+    return np.random.default_rng(20).integers(1, 2**63, hashes, dtype=np.uint64) | np.uint64(1)
 
 
 def signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -91,9 +112,9 @@ def signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, n_shingles long, class binary, sig binary, prefixes array<binary>"
 
 
-def _sign(size: int):
+def _sign(size: int, shape: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = _factors()
+        factors = _factors(shape.hashes)
         for batch in batches:
             sizes, classes, sigs, prefixes = [], [], [], []
             for low in range(0, len(batch), 256):
@@ -106,7 +127,7 @@ def _sign(size: int):
                     classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     sig = signature(s, factors)
                     sigs.append(sig.astype(np.uint8).tobytes())
-                    short = (sig >> np.uint32(8)).astype("<u2").reshape(TREES, -1)
+                    short = (sig >> np.uint32(8)).astype("<u2").reshape(shape.trees, -1)
                     prefixes.append([row.tobytes() for row in short])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary()),
@@ -116,15 +137,15 @@ def _sign(size: int):
     return run
 
 
-def _regions(orders: DataFrame) -> DataFrame:
+def _regions(orders: DataFrame, depths: tuple[int, ...]) -> DataFrame:
     """``(region, class, size)``: members of every region of two or more, read at its own depth."""
     found, rest = None, orders
-    for depth in DEPTHS:
+    for depth in depths:
         # A hash names the region: two that collide are read as one, which only adds proposals.
         keyed = rest.withColumn("region", F.xxhash64("tree", F.substring("prefix", 1, 2 * depth)))
         sizes = keyed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
         keyed = stored(keyed.join(sizes, "region"))
-        here = keyed if depth == DEPTHS[-1] else keyed.where(F.col("size") <= REGION)
+        here = keyed if depth == depths[-1] else keyed.where(F.col("size") <= REGION)
         here = here.select("region", "class", "size")
         found = here if found is None else found.unionByName(here)
         rest = keyed.where(F.col("size") > REGION).select("tree", "prefix", "class")
@@ -285,13 +306,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int]
     takes part in links, and its ``component_id`` is the smallest id of its group, or null.
     Other columns are ignored; an empty table gives no rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    signed = stored(texts.mapInArrow(_sign(size), _SIGNED))
+    shape = forest(share)
+    signed = stored(texts.mapInArrow(_sign(size, shape), _SIGNED))
     # One row per distinct set: its first row carries the signature.
     classes = stored(signed.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"),
         F.first("sig").alias("sig"), F.first("prefixes").alias("prefixes")))
     orders = classes.select("class", F.posexplode("prefixes").alias("tree", "prefix"))
-    members = (_blocks(_regions(orders)).join(classes.select("class", "n_shingles", "sig"), "class"))
+    members = (_blocks(_regions(orders, shape.depths)).join(classes.select("class", "n_shingles", "sig"), "class"))
     members = stored(members.select("region", "i", "j", "side", "class", "n_shingles", "sig"))
 
     def dealt(rows: DataFrame) -> DataFrame:
@@ -299,7 +321,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int]
 
     pair, part = "a binary, b binary", share[0] / share[1]
     first = stored(dealt(members).mapInArrow(_forests(share), pair).distinct())
-    least = part - SLACK * (part * (1 - part) / HASHES) ** 0.5
+    least = part - SLACK * (part * (1 - part) / shape.hashes) ** 0.5
     # Full sets of the classes that stand in a region, from one text each (found by its row's id).
     carriers = classes.join(members.select("class").distinct(), "class", "left_semi").select(F.col("least").alias("id"))
     found = texts.join(carriers, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
