@@ -6,42 +6,49 @@ base 64): chi-squared uniformity of its alphabet, runs about the median, and lag
 correlation, combined to one probability that a random string looks like this.  Which
 probability counts as random is set per class of length and alphabet, so that the share of false finds,
 measured on decoys, stays under ``FDR``.  Decoys are what ordinary text makes: runs of letters only,
-and, as those are rare at greater lengths, words joined to the least length of every class, of
-a sample of the documents and of a fixed list, so that no class is without them however small the input.
+and, as those are rare at greater lengths, the words of every whole text, joined and cut to the least
+lengths of the classes in turn, and words of a fixed list, so that no class is without decoys however small the input.
 Tokens of one case and of the wide alphabet are classes of their own: ordinary words look more even in 36 signs than in 64.
 
-Only built-in expressions.  One pass over whole texts without a shuffle; the thresholds come
-from a table of counts of fixed size.
+Only built-in expressions.  Whole texts are read twice, for spans and for decoys, without a shuffle; the
+thresholds come from a table of counts of fixed size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, stored, whole_text
 
 KINDS = ("assign", "access", "hex", "random")
-ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = (r"""(?=[PpSsTtAa])((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 TOKEN = r"[A-Za-z0-9+/=_-]{20,}+"
 FDR = 0.05
 #: Length classes start here; probabilities are counted in steps of 1 / STEPS.
 LENGTHS, STEPS = (20, 24, 32, 48), 20
-#: Ordinary words, joined in an order of their own to REFERENCES decoys of each class.  Those of the input come from the first HEAD
-#: characters of one document in SAMPLE (by a hash): they only tell what ordinary text looks like, every token is tested.
+#: A sum of squared scores from which the probability is under 1 / STEPS.
+SURE = 8.5
+#: Ordinary words, joined in an order of their own to REFERENCES decoys of each class.
 WORDS = ("the of and to in is that for it was on are with as his they be at one have this from or had by hot but some what there we can out "
          "other were all your when up use word how said an each she which do their time if will way about many then them would write like so these "
          "her long make thing see him two has look more day could go come did my sound no most number who over know water than call first people "
          "may down side been now find any new work part take get place made live where after back little only round man year came show every good").split()
-REFERENCES, HEAD, SAMPLE = 60, 400, 64
+REFERENCES = 60
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also inside higher-order functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _places(text: Column, pattern: str, kind: int) -> Column:
-    """``array<struct<start, kind, end, match, value>>`` of all matches, left to right."""
-    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == 0 else match
+def _places(text: Column, match: Column, pattern: str, kind: int) -> Column:
+    """``array<struct<start, kind, end, match, value>>`` of ``match``, all matches of the pattern in the text, left to right."""
+    value = F.transform(match, lambda m: F.regexp_extract(m, pattern, 2)) if kind == 0 else match
     gaps = F.split(text, pattern, -1)
     empty = F.expr("cast(array() as array<struct<start: long, kind: int, end: long, match: string, value: string>>)")
 
@@ -54,7 +61,21 @@ def _places(text: Column, pattern: str, kind: int) -> Column:
 
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(match)).alias("gap"), match.alias("match"), value.alias("value"))
     walked = F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    return F.when(F.size(match) > 0, walked).otherwise(empty)
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def _inside(tokens: Column, pattern: str, kind: int) -> Column:
+    """The matches of a pattern of token characters only, at least as long as a token: each lies within one token."""
+    def moved(token: Column) -> Column:
+        return F.transform(_let(_matches(token["match"], pattern), lambda m: _places(token["match"], m, pattern, kind)), lambda s: F.struct(
+            (token["start"] + s["start"]).alias("start"), s["kind"].alias("kind"), (token["start"] + s["end"]).alias("end"),
+            s["match"].alias("match"), s["value"].alias("value")))
+
+    return F.flatten(F.transform(tokens, moved))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -70,28 +91,51 @@ def _cube_root_z(x: Column, df: Column) -> Column:
 
 def randomness(token: Column) -> Column:
     """Probability that a random string of the token's encoding looks at least this uneven."""
+    return _let(F.split(token, ""), lambda letters: _let(_rise(token, letters), lambda rise: _randomness(token, letters, rise)))
+
+
+def _step(token: Column) -> Column:
+    """``randomness`` in whole steps; the two tests of order are only made where the letters' shares alone do not give step 0."""
+    return _let(F.split(token, ""), lambda letters: _let(_rise(token, letters), lambda rise: F.when(
+        rise * rise >= SURE, 0).otherwise(F.floor(_randomness(token, letters, rise) * STEPS).cast("int"))))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def _rise(token: Column, letters: Column) -> Column:
+    """Normal score of the letters' unevenness, 0 if they are more even than by chance."""
     n = F.length(token).cast("double")
-    letters = F.split(token, "")
     size = (F.when(token.rlike("^[0-9]+$"), 10).when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(token.rlike("^[A-Z2-7]+=*$"), 32)
             .when(token.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), 36).otherwise(64).cast("double"))
     squares = F.aggregate(F.array_distinct(letters), F.lit(0.0),
                           lambda s, c: s + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
-    uniform = _cube_root_z(F.greatest(size / n * squares - n, F.lit(0.01)), size - 1)
-    codes = F.transform(letters, lambda c: F.ascii(c).cast("double"))
-    middle = F.element_at(F.array_sort(codes), F.floor(n / 2).cast("int") + 1)
-    high = F.transform(codes, lambda c: (c >= middle).cast("double"))
-    ones = F.aggregate(high, F.lit(0.0), lambda s, x: s + x)
-    changes = F.aggregate(F.zip_with(F.slice(high, F.lit(1), (n - 1).cast("int")), F.slice(high, F.lit(2), (n - 1).cast("int")),
-                                     lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
-    expected = 2 * ones * (n - ones) / n
-    runs = (changes - expected) / F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(0.25)))
-    mean = F.aggregate(codes, F.lit(0.0), lambda s, x: s + x) / n
-    spread = F.aggregate(codes, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    lagged = F.aggregate(F.zip_with(F.slice(codes, F.lit(1), (n - 1).cast("int")), F.slice(codes, F.lit(2), (n - 1).cast("int")),
-                                    lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda s, x: s + x)
-    serial = (lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-    rise = F.greatest(uniform, F.lit(0.0))
-    return _normal_tail(_cube_root_z(F.greatest(rise * rise + runs * runs + serial * serial, F.lit(0.01)), F.lit(3.0)))
+    return _let(size, lambda size: F.greatest(_cube_root_z(F.greatest(size / n * squares - n, F.lit(0.01)), size - 1), F.lit(0.0)))
+
+
+def _randomness(token: Column, letters: Column, rise: Column) -> Column:
+    return _let(F.transform(letters, lambda c: F.ascii(c).cast("double")), lambda codes: _combined(F.length(token).cast("double"), codes, rise))
+
+
+def _combined(n: Column, codes: Column, rise: Column) -> Column:
+    """Sums of whole numbers, so that mean and spread are no inner loops; the median is found once."""
+    last, most = (n - 1).cast("int"), F.size(codes)
+    ahead, behind = F.slice(codes, F.lit(2), last), F.slice(codes, F.lit(1), last)
+
+    def runs(middle: Column) -> Column:
+        changes = _sum(F.zip_with(behind, ahead, lambda a, b: ((a >= middle) != (b >= middle)).cast("double")))
+        return _let(F.size(F.filter(codes, lambda c: c >= middle)).cast("double"), lambda ones: _let(
+            2 * ones * (n - ones) / n, lambda e: (changes - e) / F.sqrt(F.greatest(e * (e - 1) / (n - 1), F.lit(0.25)))))
+
+    def serial(total: Column) -> Column:
+        spread = (n * F.aggregate(codes, F.lit(0.0), lambda s, x: s + x * x) - total * total) / n
+        lagged = (n * n * _sum(F.zip_with(behind, ahead, lambda a, b: a * b))
+                  - n * total * (2 * total - F.get(codes, F.lit(0)) - F.get(codes, most - 1)) + (n - 1) * total * total) / (n * n)
+        return (lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
+
+    return _let(_let(F.get(F.sort_array(codes), F.floor(n / 2).cast("int")), runs), lambda r: _let(_let(_sum(codes), serial), lambda c: (
+        _normal_tail(_let(F.greatest(rise * rise + r * r + c * c, F.lit(0.01)), lambda x: _cube_root_z(x, F.lit(3.0)))))))
 
 
 def _length_class(token: Column) -> Column:
@@ -116,24 +160,21 @@ def _reference() -> list[str]:
 
 
 def _joined(text: Column) -> Column:
-    """Two strings of joined words (small, and with capital initials) for every length that the head of the text suffices for;
-    token-like runs are no words."""
-    plain = F.regexp_replace(F.regexp_replace(F.substring(text, 1, HEAD), TOKEN, " "), "[^A-Za-z]+", " ")
-    out = []
-    for words in (F.lower(plain), F.initcap(plain)):
-        joined, start = F.replace(words, F.lit(" "), F.lit("")), 1
-        for low in LENGTHS:
-            out.append(F.when(F.length(joined) >= start + low - 1, F.substring(joined, start, low)))
-            start += low
-    return F.array_compact(F.array(*out))
+    """The letters of all words of the text, joined and cut to the lengths of LENGTHS in turn, by turns in small letters
+    and with capital initials.  Token-like runs are no words; only a rest too short for any class is in no string."""
+    words = F.initcap(F.regexp_replace(F.regexp_replace(text, TOKEN, " "), "[^A-Za-z]+", " "))
+    rounds = F.regexp_extract_all(F.replace(words, F.lit(" "), F.lit("")), F.lit(f".{{1,{sum(LENGTHS)}}}"), F.lit(0))
 
+    def cut(letters: Column, number: Column) -> Column:
+        strings = [F.substring(letters, sum(LENGTHS[:k]) + 1, low) for k, low in enumerate(LENGTHS)]
+        return F.array(*(F.when((number + k) % 2 == 0, F.lower(one)).otherwise(one) for k, one in enumerate(strings)))
 
-def _decoys(strings: Column) -> Column:
-    return F.transform(strings, lambda w: F.struct(_length_class(w).alias("length_class"), F.lit(1).alias("decoy"), _step(w).alias("step")))
+    return F.filter(F.flatten(F.transform(rounds, cut)), lambda one: F.length(one) >= LENGTHS[0])
 
 
-def _step(token: Column) -> Column:
-    return F.floor(randomness(token) * STEPS).cast("int")
+def _decoys(strings: DataFrame) -> DataFrame:
+    """``length_class, decoy, step`` of every string ``w``."""
+    return strings.select(_length_class(F.col("w")).alias("length_class"), F.lit(1).alias("decoy"), _step(F.col("w")).alias("step"))
 
 
 def _thresholds(counts: list) -> dict[int, int]:
@@ -158,11 +199,14 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool =
     ``kind`` numbers ``KINDS``; starts and ends count code points, ends are exclusive.  A null
     or empty text has no spans; ``with_text`` adds ``__text``, the text that was scanned; repeated rows are scanned each; other columns are ignored."""
     carried = [*keep, *["__text"] * with_text]
-    places = docs.select(*keep, whole_text().alias("__text")).select(
-        *carried, *(_places(F.col("__text"), pattern, kind).alias("akht"[kind]) for kind, pattern in enumerate((ASSIGN, ACCESS, HEX, TOKEN))),
-        _decoys(_joined(F.when(F.xxhash64("__text").bitwiseAND(F.lit(SAMPLE - 1)) == 0, F.col("__text")))).alias("d"))
+    text = F.col("__text")
+    # Long matches are few: places are looked for only in the texts that have any, hex runs and access keys only inside tokens.
+    matched = docs.select(*keep, whole_text().alias("__text")).select(
+        *keep, "__text", _matches(text, ASSIGN).alias("__a"), _matches(text, TOKEN).alias("__t"))
+    places = matched.select(*carried, _places(text, F.col("__a"), ASSIGN, 0).alias("a"), _places(text, F.col("__t"), TOKEN, 3).alias("t"))
+    places = places.select(*carried, "a", "t", _inside(F.col("t"), ACCESS, 1).alias("k"), _inside(F.col("t"), HEX, 2).alias("h"))
     base = F.filter(F.concat("a", "k", "h"), lambda s: (s["kind"] > 0) | (F.length(s["value"]) >= 6))
-    tried = (places.select(*carried, F.transform(base, lambda s: s.dropFields("match", "value")).alias("base"), F.col("t"), "d")
+    tried = (places.select(*carried, F.transform(base, lambda s: s.dropFields("match", "value")).alias("base"), F.col("t"))
              .withColumn("t", F.transform("t", lambda s: F.struct(
                  s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
                  _length_class(s["match"]).alias("length_class"),
@@ -172,8 +216,9 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool =
     tried = stored(tried)
     spark = docs.sparkSession
     each = tried.select(F.explode("t").alias("x")).where("x.decoy = 1 or x.mixed").select("x.length_class", "x.decoy", "x.step")
-    each = each.unionByName(tried.select(F.inline("d"))).unionByName(
-        spark.range(1).select(F.inline(_decoys(F.array(*map(F.lit, _reference()))))))
+    words = docs.select(F.explode(_joined(whole_text())).alias("w"))
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, _reference()))).alias("w"))
+    each = each.unionByName(_decoys(words)).unionByName(_decoys(listed))
     counts = each.groupBy("length_class", "decoy", "step").agg(F.count("*").alias("n")).collect()  # 8 * 2 * 21 rows at most
     least = _thresholds(counts)
     bar = F.lit(STEPS + 1)

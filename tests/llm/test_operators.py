@@ -309,6 +309,33 @@ def test_random_keys_are_found_in_a_small_corpus(spark):
     assert [tuple(s) for s in alone[0]] == [(0, 3, 50)]
 
 
+def test_secret_thresholds_count_every_word_of_every_document(spark, monkeypatch):
+    """The joined words of a text hold all its letters, and each of them counts, with the listed ones."""
+    texts = [("The river %d was wide; and slow\u00e9, nobody knew.\n" % k) * (1 + 9 * k) + "x7" * 15 + " \u0391 end" for k in range(70)]
+    texts += [None, "", "12 34", "short"]
+    docs, want = docs_of(spark, texts), 0
+    got = docs.select("doc_id", secrets._joined(F.coalesce("text", F.lit(""))).alias("d")).collect()
+    for row in got:
+        letters = re.sub("[^A-Za-z]", "", re.sub("[A-Za-z0-9+/=_-]{20,}", " ", texts[row["doc_id"]] or "")).lower()
+        joined = "".join(row["d"]).lower()
+        assert letters.startswith(joined) and len(letters) - len(joined) < 20
+        assert all(one.islower() or any(map(str.isupper, one)) for one in row["d"])
+        want += len(row["d"])
+    seen = []
+    monkeypatch.setattr(secrets, "_thresholds", lambda counts: seen.extend(counts) or {})
+    assert secrets.scan(docs).count() == len(texts)
+    assert sum(r["n"] for r in seen if r["decoy"]) == want + len(secrets._reference())
+
+
+def test_randomness_steps_skip_only_what_is_zero(spark):
+    rnd = random.Random(5)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = [("".join(rnd.choice(signs[:2 + k % 60]) for _ in range(20 + k % 50)),) for k in range(600)] + [("a" * 30,), ("ab1" * 9,)]
+    w = F.col("w")
+    got = spark.createDataFrame(rows, "w string").select(secrets._step(w).alias("s"), secrets.randomness(w).alias("p")).collect()
+    assert all(r["s"] == int(r["p"] * secrets.STEPS) for r in got) and len({r["s"] for r in got}) > 10
+
+
 @pytest.mark.parametrize("n", [1, 2, 200, 300])
 @pytest.mark.parametrize("copies", [1, 2])
 def test_simhash_is_the_majority(spark, n, copies):
