@@ -10,8 +10,8 @@ labelled rows that the counts did not use, makes them a probability.
 
 Scale: word counts and gram counts are Spark aggregations with partial sums; the model
 sent to tasks is a fixed number of hashed slots per order (``SLOT_BITS``), whatever the
-corpus; the curve is fitted on at most ``FIT_ROWS`` labelled rows.  Texts are scored whole, in
-one pass without a shuffle.
+corpus; the curve is fitted on every labelled row of its fold, each Newton step one row of sums.
+Texts are scored whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -37,8 +37,6 @@ WORD_CHARS = 64
 CACHE_WORDS = 200_000
 #: Stretches of words over which likelihoods are compared, and the ratio from which a word speaks clearly.
 STRETCHES, CLEAR = (1, 2, 8, 32, 128), 2.5
-#: Bound on the labelled rows that the logistic curve is fitted on (taken by hashed id).
-FIT_ROWS = 50_000
 #: Letters only: digits, punctuation and markup carry no expression.
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -235,16 +233,27 @@ def raw_scores(docs: DataFrame, model: Model) -> DataFrame:
         _score(shared), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a ridge logistic curve, by Newton steps on scaled columns."""
-    if not len(y) or len(set(y)) < 2:
+def fit_curve(rows: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a ridge logistic curve of all rows (``FEATURES, toxic``), by Newton steps on scaled columns."""
+    total, toxic, *mean = rows.agg(F.count("*"), F.sum("toxic"), *map(F.avg, FEATURES)).first()
+    if not total or toxic in (0, total):
         return np.eye(1, len(FEATURES))[0], 0.0
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z, w = np.column_stack([(x - mean) / scale, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
-    ridge = np.array([1.0] * x.shape[1] + [1e-3])
+    spread = rows.agg(*(F.sqrt(F.avg((F.col(name) - m) * (F.col(name) - m))) for name, m in zip(FEATURES, mean))).first()
+    mean, scale = np.array(mean), np.maximum(np.array(spread, float), 1e-6)
+    width = len(FEATURES) + 1
+    scaled = rows.select(F.col("toxic").cast("double").alias("y"), *((F.col(name) - float(m)) / float(d) for name, m, d in zip(FEATURES, mean, scale)),
+                         F.lit(1.0)).toDF("y", *(f"z{k}" for k in range(width)))
+    z, p, upper = [F.col(f"z{k}") for k in range(width)], F.col("p"), np.triu_indices(width)
+    w, ridge = np.zeros(width), np.array([1.0] * (width - 1) + [1e-3])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
+        linear = sum((column * weight for column, weight in zip(z[1:], w[1:].tolist())), z[0] * float(w[0]))
+        judged = scaled.withColumn("p", 1 / (1 + F.exp(-F.least(F.greatest(linear, F.lit(-30.0)), F.lit(30.0)))))
+        sums = np.array(judged.agg(*(F.sum(z[i] * z[j] * p * (1 - p)) for i, j in zip(*upper)),
+                                   *(F.sum(column * (p - F.col("y"))) for column in z)).first(), float)
+        curved = np.zeros((width, width))
+        curved[upper] = sums[:-width]
+        curved = curved + np.triu(curved, 1).T
+        step = np.linalg.solve(curved + np.diag(ridge), sums[-width:] + ridge * w)
         w = w - np.clip(step, -3, 3)
         if abs(step).max() < 1e-9:
             break
@@ -271,9 +280,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     learn = part.where(fold(F.col("doc_id")).isin(1, 2, 3)).join(marks.where(fold(F.col("doc_id")).isin(1, 2, 3)), "doc_id")
     model = train(learn)
     raw = stored(raw_scores(docs, model))
-    sample = (raw.where(fold(F.col("doc_id")) == 4).join(marks.where(fold(F.col("doc_id")) == 4), "doc_id")
-              .select(*FEATURES, "toxic").orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).toArrow().to_pandas())
-    weights, intercept = fit_curve(sample[FEATURES].to_numpy(float), sample["toxic"].to_numpy(float))
+    fitted = stored(raw.where(fold(F.col("doc_id")) == 4).join(marks.where(fold(F.col("doc_id")) == 4), "doc_id").select(*FEATURES, "toxic"))
+    weights, intercept = fit_curve(fitted)
     linear = F.lit(intercept)
     for name, weight in zip(FEATURES, weights.tolist()):
         linear = linear + F.col(name) * F.lit(weight)

@@ -192,6 +192,25 @@ def test_toxicity_scores_by_the_model_of_its_task():
     assert (first, second) == (2.0, -1.0)
 
 
+def test_toxicity_curve_is_fitted_on_every_row(spark):
+    """Against the same Newton steps in numpy, on more rows than were read before (50,000)."""
+    names, n = toxicity.FEATURES, 60_000
+    rows = spark.range(n, numPartitions=4).select(
+        *((F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 250.0 - 2).alias(name) for k, name in enumerate(names)),
+        (F.pmod(F.xxhash64("id", F.lit(0)), F.lit(1000)) + F.pmod(F.xxhash64("id", F.lit(99)), F.lit(600)) > 900).cast("int").alias("toxic"))
+    table = rows.toPandas()
+    x, y = table[names].to_numpy(float), table["toxic"].to_numpy(float)
+    mean, scale = x.mean(0), x.std(0)
+    z, w = np.column_stack([(x - mean) / scale, np.ones(n)]), np.zeros(len(names) + 1)
+    ridge = np.array([1.0] * len(names) + [1e-3])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w = w - np.clip(np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w), -3, 3)
+    weights, intercept = toxicity.fit_curve(rows)
+    assert np.allclose(weights, w[:-1] / scale, atol=1e-7) and abs(intercept - (w[-1] - (w[:-1] / scale) @ mean)) < 1e-7
+    assert toxicity.fit_curve(rows.where("toxic = 1"))[1] == toxicity.fit_curve(rows.limit(0))[1] == 0.0
+
+
 def test_toxicity_learns_only_from_its_folds(spark):
     rng = random.Random(1)
     texts, marks = [], []
