@@ -1,8 +1,10 @@
 """Text operators against brute force on small frames, with nulls, empty tables, ties and repeats."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from headroom.llm import fingerprint, graph, html, licenses, lines, neardup, packing, pieces, queries, secrets, toxicity, vectors
-from headroom.llm.common import read_table
+from headroom.llm.common import read_table, stored
 from llm_frames import docs_of
 
 SF = "/root/testdata/sf0.001"
@@ -457,6 +459,38 @@ def test_numbers_tell_lines_apart_and_repeat(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 1, 6: 1, 7: 1}
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Disk holds the shuffle of the table being written, not those of all tables before it."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {name for top in blocks.localDirs() for _, _, names in os.walk(top.getPath()) for name in names if name.startswith("shuffle_")}
+
+    before = files()
+    table = stored(spark.range(1000).selectExpr("id % 7 k", "id").repartition(5, "k"))
+    for _ in range(50):
+        if not (left := {name for name in files() - before if name.endswith(".data")}):
+            break
+        time.sleep(0.2)
+    assert not left and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_pairs_of_lines_are_all_judged_in_any_number_of_rounds(spark, monkeypatch):
+    texts = [f"alpha beta gamma delta epsilon zeta eta theta iota {w}" for w in ("kappa", "kapps", "koppa", "lambda", "mu")]
+    normal = spark.createDataFrame(list(enumerate(texts)), "id long, normal string")
+    pairs = normal.alias("x").join(normal.alias("y"), F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    frames = []
+    monkeypatch.setattr(lines, "stored", lambda df: frames.append(df.columns) or stored(df))
+    got = []
+    for share in (2, 0.5):
+        monkeypatch.setattr(lines, "PER_ROUND", share)
+        frames.clear()
+        got.append({(r["a"], r["b"]) for r in lines._links(pairs, normal).collect()})
+        assert sum("good" in columns for columns in frames) == (1 if share == 2 else 4)
+    assert got[0] == got[1] and len(got[0]) == 10
+
+
 def test_edit_check_is_exact(spark):
     rng = random.Random(2)
     rows = []
