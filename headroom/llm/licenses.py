@@ -132,20 +132,22 @@ def _notices(texts: DataFrame, counts: DataFrame, n: int) -> DataFrame:
               .where(F.arrays_overlap("held", _words(signs))).where(reduce(Column.__or__, held.values())).dropDuplicates(["__id"]))
     sizes = F.array_distinct(F.flatten(F.array(*(F.when(held[key], F.array(*map(F.lit, sorted(lengths)))).otherwise(
         F.expr("cast(array() as array<int>)")) for key, lengths in fits.items()))))
-    chosen = stored(chosen.select("__id", "text", sizes.alias("sizes")))
-    each = chosen.select("__id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
-    each = each.select("__id", "line", _once(F.array_remove(F.split("raw", _SPLIT), "")).alias("words")).where(F.size("words") > 0)
+    # Texts are dealt once, by the choice of one row of each; their lines are numbered in the same task.
+    each = chosen.select("__id", sizes.alias("sizes"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+    each = each.select("__id", "sizes", "line", _once(F.array_remove(F.split("raw", _SPLIT), "")).alias("words")).where(F.size("words") > 0)
     order = Window.partitionBy("__id").orderBy("line")
-    each = each.select("__id", "line", "words", F.size("words").alias("n"), F.arrays_overlap("words", _words(signs)).cast("long").alias("hit"))
+    each = each.select("__id", "sizes", "line", "words", F.size("words").alias("n"), F.arrays_overlap("words", _words(signs)).cast("long").alias("hit"))
     known = F.filter("words", lambda w: w.isin(VOCABULARY))
-    lines = stored(each.select("__id", "words", known.alias("known"), "n", "hit", (F.row_number().over(order) - 1).alias("pos"), F.sum("n").over(order).alias("upto"),
-                               (F.sum("hit").over(order) - F.col("hit")).alias("seen")))
-    flat = lines.drop("words", "known")
+    # A line travels as one string, less than half the size of an array of its words.
+    lines = each.select("__id", "sizes", F.array_join("words", " ").alias("said"), known.alias("known"), "n", "hit", (F.row_number().over(order) - 1).alias("pos"), F.sum("n").over(order).alias("upto"),
+                        (F.sum("hit").over(order) - F.col("hit")).alias("seen"))
+    lines = stored(lines.withColumn("sizes", F.when(F.col("pos") == 0, F.col("sizes"))))
+    flat = lines.drop("sizes", "said", "known")
     ends = flat.groupBy("__id").agg(F.max("pos").alias("e"))
     single = flat.where("hit = 1").join(ends, "__id").select("__id", F.col("pos").alias("s"), F.col("pos").alias("e"), F.lit(0).alias("size"),
                                                               (F.col("e") == 0).alias("whole"))
     whole = ends.where("e > 0").select("__id", F.lit(0).alias("s"), "e", F.lit(0).alias("size"), F.lit(True).alias("whole"))
-    several = _runs(flat, chosen.select("__id", F.explode("sizes").alias("size"))).withColumn("whole", F.lit(False))
+    several = _runs(flat, lines.where("pos = 0").select("__id", F.explode("sizes").alias("size"))).withColumn("whole", F.lit(False))
     span = ["__id", "s", "e", "size", "whole"]
     spans = stored(single.unionByName(whole).unionByName(several))
     rows, info, meant = [], [], {}
@@ -171,8 +173,8 @@ def _notices(texts: DataFrame, counts: DataFrame, n: int) -> DataFrame:
                                                F.sum("mark").alias("held"), F.sum("tf").alias("shared"))
     likely = F.col("dot") >= LEAST * 0.999 * F.sqrt(F.col("own") + F.col("total") - F.col("shared"))
     near = stored(dots.join(names, "t").where("held = marks").where(likely))
-    content = _content(near.select(*span).distinct(), lines.select("__id", "pos", "words"), span)
-    each = content.select(*span, F.explode("words").alias("word")).groupBy(*span, "word").agg(F.count("*").alias("tf"))
+    content = _content(near.select(*span).distinct(), lines.select("__id", "pos", "said"), span)
+    each = content.select(*span, F.explode(F.split("said", " ")).alias("word")).groupBy(*span, "word").agg(F.count("*").alias("tf"))
     x = F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
     norms = each.join(counts, "word").groupBy(*span).agg(F.sqrt(F.sum(x * x)).alias("norm"))
     scored = near.join(norms, span).select(

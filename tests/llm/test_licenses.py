@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from headroom.llm import licenses
-from headroom.llm.common import read_table
+from headroom.llm.common import read_table, stored
 from headroom.llm.license_texts import TEXTS
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +100,20 @@ def test_long_repeated_and_tied_texts(spark):
     plan = licenses.scan(files.limit(0))
     assert plan.count() == 0 and "Python" not in plan._jdf.queryExecution().executedPlan().toString()
     assert licenses.scan(files.withColumn("n", F.lit(1)), ("n",)).columns[:2] == ["path", "n"]
+
+
+def test_texts_are_dealt_once_and_lines_travel_as_strings(spark, monkeypatch):
+    """Chosen texts are shuffled once on the way to their numbered lines, and no array of a line's words is written."""
+    frames = []
+
+    def spy(df):
+        frames.append((df.schema, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df)
+
+    monkeypatch.setattr(licenses, "stored", spy)
+    texts = [wrapped(full("MIT"), 60), "nothing here\n\nat all", "SPDX-License-Identifier: MIT\nx = 1", None]
+    rows = licenses.scan(spark.createDataFrame([(f"d/{k}", t) for k, t in enumerate(texts)], "path string, text string")).collect()
+    assert {r["path"]: r["own_license"] for r in rows} == {"d/0": "MIT", "d/1": None, "d/2": "MIT", "d/3": None}
+    wide = [(schema, plan) for schema, plan in frames if {"text", "seen"} & set(schema.names)]
+    assert sum(plan.count("hashpartitioning(__id") for _, plan in wide) == 1
+    assert all("words" not in schema.names for schema, _ in wide)
