@@ -15,6 +15,7 @@ task numbers and are fixed by that write.
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,10 @@ OPEN_BINS = 4096
 SECOND_PASS_PIECES = 200_000
 SECOND_PASS_BINS = 1 << 18
 #: Entries of a worker's caches of words as written and of lower-case letter runs.
-CACHE_WORDS, CACHE_STEMS = 300_000, 450_000
+CACHE_WORDS, CACHE_STEMS = 600_000, 450_000
+#: Closing punctuation: a run of it after letters is one tokenizer word (an apostrophe may open a contraction,
+#: and the special tokens hold the other three signs left out).
+CLOSING = "".join(sign for sign in string.punctuation if sign not in "'<|>")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -106,8 +110,8 @@ class WordCache(dict):
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(".,!?;:")
-        if stem.isalpha() and max(stem) < "\u0250" and is_normalized("NFC", stem):
+        stem = word.rstrip(CLOSING)
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and is_normalized("NFC", stem)):
             found = self._letters(stem.lower())
             if len(stem) < len(word):
                 end = word[len(stem):]

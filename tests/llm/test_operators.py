@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter
@@ -59,6 +60,22 @@ def test_packing_is_gapless_and_exact(spark):
     assert len(bins) <= 1.05 * -(-total // 2048) + 1
 
 
+def test_closing_punctuation_needs_no_whole_tokenizer(monkeypatch):
+    """The ids are the tokenizer's for every sign after letters; the whole tokenizer runs once for each distinct end."""
+    from tokenizers import Tokenizer
+
+    tok, cache, whole = Tokenizer.from_file(packing.default_tokenizer()), packing.WordCache(packing.default_tokenizer()), []
+    run = cache._whole
+    monkeypatch.setattr(cache, "_whole", lambda word: whole.append(word) or run(word))
+    ends = [*packing.CLOSING, "$$$", ".%%%", ",***", "!?", "_-", "((", ""]
+    texts = [" ".join(f"{word}{end}" for end in ends) for word in ("Kappa", "kappa", "\u00c9t\u00e9", "stra\u00dfe", "ZU")]
+    for text, ids in zip(texts, cache.ids(texts)):
+        assert ids == struct.pack(f"<{len(ids) // 4}I", *tok.encode(text, add_special_tokens=False).ids)
+    assert sorted(whole) == sorted(e for e in ends if e)
+    for text in ("it's", "it'", "rock'n'roll!", "a<|startoftext|>b", "x<|", "<|endoftext|>.", "don't'", "e\u0301.", "7$", "a7$", "$a", "a.b$"):
+        assert cache.ids([text])[0] == struct.pack(f"<{len(i := tok.encode(text, add_special_tokens=False).ids)}I", *i)
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(docs_of(spark, [])).count() == 0
     assert [r["length"] for r in packing.pack(docs_of(spark, ["", ""], [None, None])).collect()] == [1, 1]
