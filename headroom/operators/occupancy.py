@@ -63,7 +63,10 @@ def space_demand(headcount: DataFrame, reqs: DataFrame, archetypes: DataFrame, r
 
 def space_events(headcount: DataFrame, reqs: DataFrame, archetypes: DataFrame, ratio_map: DataFrame) -> DataFrame:
     """What is known when: units per (site, space type) by the period the fact was recorded in (``known_q``)
-    and the one it counts from (``at_q``: the same for staff, fill time later for a requisition)."""
+    and the one it counts from (``at_q``: the same for staff, fill time later for a requisition).
+
+    Dealt by site once: the sums here, the running values of ``running_trend`` and the window over a site's
+    spaces in ``project_spaces`` all find their rows together, so the history is not shuffled between them."""
     m = F.broadcast(ratio_map.select("archetype_id", "space_type_id", "ratio"))   # config: bounded
     arch = F.broadcast(archetypes.select("archetype_id", col("name").alias("archetype")))
     staff = (headcount.join(arch, "archetype").join(m, "archetype_id")
@@ -73,7 +76,7 @@ def space_events(headcount: DataFrame, reqs: DataFrame, archetypes: DataFrame, r
     hires = (reqs.join(m, "archetype_id")
              .select("site_id", "space_type_id", col("q_index").alias("known_q"), (col("q_index") + fill_q).alias("at_q"),
                      F.lit(None).cast("double").alias("staff"), (col("open_reqs") * col("ratio")).alias("hires")))
-    return (staff.unionByName(hires).groupBy("site_id", "space_type_id", "known_q", "at_q")
+    return (staff.unionByName(hires).repartition("site_id").groupBy("site_id", "space_type_id", "known_q", "at_q")
             .agg(F.sum("staff").alias("staff"), F.sum("hires").alias("hires")))
 
 

@@ -106,6 +106,19 @@ def test_running_trend_equals_a_fresh_run_at_every_cut_off(spark):
     assert got == want and len(got) > 100
 
 
+def test_running_trend_deals_its_facts_once(spark):
+    """The sums per period and the running values of a key need one shuffle together, by site."""
+    arch = spark.createDataFrame([(1, "a")], "archetype_id int, name string")
+    ratio = spark.createDataFrame([(1, 1, 0.5)], "archetype_id int, space_type_id int, ratio double")
+    headcount = spark.createDataFrame([(1, 8000, "a", 4), (None, 8001, "a", 2), (1, 8001, "a", 8)],
+                                      "site_id long, q_index int, archetype string, headcount int")
+    reqs = spark.createDataFrame([(1, 1, 8000, 2, 91)], "site_id long, archetype_id int, q_index int, open_reqs int, avg_time_to_fill_days int")
+    trend = O.running_trend(O.space_events(headcount, reqs, arch, ratio), 8003)
+    assert trend._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+    got = sorted((r.site_id or 0, r.cut_q, r.last_demanded_units) for r in trend.collect())
+    assert got == [(0, 8002, 1.0), (0, 8003, 1.0), (1, 8001, 3.0), (1, 8002, 5.0), (1, 8003, 5.0)]
+
+
 def test_history_has_every_quarter_and_reads_each_fact_once(spark):
     from headroom.plans.registry import Plan
     from headroom.sources.driver import DriverCatalog
