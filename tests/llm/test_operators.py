@@ -508,6 +508,21 @@ def test_pairs_of_lines_are_all_judged_in_any_number_of_rounds(spark, monkeypatc
     assert got[0] == got[1] and len(got[0]) == 10
 
 
+def test_unlike_lines_of_frequent_words_are_not_compared(spark, monkeypatch):
+    """Edit checks follow the near lines, not the square of the lines that share frequent words; every near copy goes."""
+    rnd = random.Random(4)
+    often = ["".join(rnd.choice("abcdefghij") for _ in range(4)) for _ in range(24)]
+    seldom = ["".join(rnd.choice("klmnopqrst") for _ in range(rnd.randint(2, 9))) for _ in range(4000)]
+    unlike = [[rnd.choice(often if rnd.random() < 0.6 else seldom) for _ in range(60)] for _ in range(120)]
+    near = [words[:k % 50] + ["uvwxy"] * 4 + words[k % 50 + 4:] for k, words in enumerate(unlike[:20])]
+    texts = [" ".join(words) for words in unlike + near]
+    judged, real = [], lines._edit_alike
+    monkeypatch.setattr(lines, "_edit_alike", lambda rows, *more: judged.append(rows.count()) or real(rows, *more))
+    got = {r["doc_id"] for r in lines.dedup_lines(docs_of(spark, texts)).collect() if r["n_removed"]}
+    print(f"edit checks: {judged}")
+    assert got == set(range(120, 140)) and 20 <= sum(judged) < 45
+
+
 def test_edit_check_is_exact(spark):
     rng = random.Random(2)
     rows = []
