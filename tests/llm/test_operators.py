@@ -523,6 +523,52 @@ def test_unlike_lines_of_frequent_words_are_not_compared(spark, monkeypatch):
     assert got == set(range(120, 140)) and 20 <= sum(judged) < 45
 
 
+def test_bounds_of_the_edit_distance(spark):
+    """Far heads and sums of pieces never tell a pair wrongly, and decide most pairs of unlike and of alike texts without a full comparison."""
+    rnd = random.Random(31)
+    words = ["".join(rnd.choice("abcdefghiklmnoprstué") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
+    rows = []
+    for k in range(120):
+        a = [rnd.choice(words) for _ in range(rnd.choice([6, 25, 60]))]
+        b = [rnd.choice(words) for _ in a] if k % 3 == 0 else list(a)
+        for _ in range(len(a) // 12 if k % 3 == 1 else rnd.randrange(len(a) // 2 + 1) if k % 3 == 2 else 0):
+            at = rnd.randrange(len(b))
+            b[at:at + rnd.randrange(3)] = [rnd.choice(words)] * rnd.randrange(3)
+            b = b or ["x"]
+        b = b[len(b) // 10:] if k % 4 == 0 else b
+        rows.append((k, " ".join(a), " ".join(b)))
+    frame = spark.createDataFrame(rows, "k long, na string, nb string").withColumn(
+        "most", F.floor((1 - lines.SIMILARITY) * F.greatest(F.length("na"), F.length("nb")) + 1e-9).cast("int"))
+    got = frame.select("k", "most", lines._far("na", "nb").alias("far"), lines._far("nb", "na").alias("raf"), lines._by_pieces("na", "nb").alias("sum")).collect()
+    alike = unlike = 0
+    for r in got:
+        distance = edits(rows[r["k"]][1], rows[r["k"]][2])
+        assert not (r["far"] or r["raf"]) or distance > r["most"]
+        assert r["sum"] > r["most"] or distance <= r["sum"]
+        alike += distance <= r["most"] and r["sum"] <= r["most"]
+        unlike += distance > r["most"] and r["far"]
+    near = sum(edits(a, b) <= r["most"] for r, (_, a, b) in zip(got, rows))
+    print(f"bounds: {alike} of {near} alike, {unlike} of {len(rows) - near} unlike")
+    assert near > 40 and alike >= 0.9 * near and unlike >= 0.5 * (len(rows) - near)
+
+
+def test_line_dedup_leaves_no_used_up_tables(spark, monkeypatch):
+    """Files of tables of lines and pairs go when what was made of them is stored; the links and groups, and the result, stay."""
+    made = []
+
+    def kept(df):
+        made.append(stored(df))
+        return made[-1]
+
+    monkeypatch.setattr(lines, "stored", kept)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    texts = [" ".join(words[:k % 50] + ["near"] + words[k % 50:]) + "\nx" for k in range(20)] + [None, "1 2\n1 2"]
+    out = lines.dedup_lines(docs_of(spark, texts))
+    left = [df.columns for df in made if os.path.exists(df.inputFiles()[0].removeprefix("file://"))]
+    assert len(made) > 8 and all(set(c) in ({"a", "b", "good"}, {"id", "component"}, {"doc_id", "text_key", "removed"}) for c in left)
+    assert sum(r["n_removed"] for r in out.collect()) == 39
+
+
 def test_edit_check_is_exact(spark):
     rng = random.Random(2)
     rows = []
