@@ -569,6 +569,25 @@ def test_line_dedup_leaves_no_used_up_tables(spark, monkeypatch):
     assert sum(r["n_removed"] for r in out.collect()) == 39
 
 
+def test_normal_forms_deal_texts_once(spark, monkeypatch):
+    """Rows that repeat and null ids give each normal form once, without a shuffle of the forms."""
+    made = []
+
+    def kept(df):
+        if df.columns == ["id", "normal"]:
+            made.append((df._jdf.queryExecution().executedPlan().toString(), df.groupBy("id").count().agg(F.max("count"), F.count("*")).first()))
+        return stored(df)
+
+    monkeypatch.setattr(lines, "stored", kept)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    texts = [" ".join(words[:k] + ["near"] + words[k:]) for k in (5, 20, 40)]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[1]), (0, texts[2])], "doc_id long, text string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in lines.dedup_lines(docs).collect())
+    assert got == [(False, 0, 0), (False, 1, 1), (False, 1, 1), (True, 0, 1), (True, 0, 1)]
+    plan, (most, n) = made[0]
+    assert (most, n) == (1, 3) and plan.index("explode(asked") < plan.index("Exchange")
+
+
 def test_edit_check_is_exact(spark):
     rng = random.Random(2)
     rows = []
